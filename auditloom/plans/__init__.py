@@ -1,4 +1,6 @@
 """Named queries over the driver tables, with equivalent DuckDB SQL."""
 
-QUERIES: dict = {}
-ORACLE: dict = {}
+from auditloom.plans import catalog, filings, scalars
+
+QUERIES = filings.QUERIES | catalog.QUERIES | scalars.QUERIES
+ORACLE = filings.ORACLE | catalog.ORACLE | scalars.ORACLE
