@@ -7,7 +7,7 @@ prototype bundles those of its training texts, and a text gets the language whos
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -57,7 +57,8 @@ class Vectors:
 
     def clear(self) -> None:
         self.letters: dict[int, np.ndarray] = {}
-        self.keys, self.rows = np.zeros(0, np.int64), np.zeros((0, WIDTH), np.float32)
+        self.keys, self.places = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.rows = np.empty((REMEMBERED, WIDTH), np.float32)
 
     def letter(self, code: int) -> np.ndarray:
         if code not in self.letters:
@@ -65,8 +66,9 @@ class Vectors:
         return self.letters[code]
 
     def of(self, distinct: np.ndarray) -> np.ndarray:
-        """A row for each of the sorted distinct n-grams."""
-        new = distinct[~np.isin(distinct, self.keys, assume_unique=True)]
+        """A row for each of the sorted distinct n-grams, REMEMBERED at most."""
+        at = np.searchsorted(self.keys, distinct)
+        new = distinct[np.append(self.keys, -1)[at] != distinct]
         if len(new):
             if len(self.keys) + len(new) > REMEMBERED:
                 self.clear()
@@ -75,20 +77,41 @@ class Vectors:
             for i in range(GRAM):
                 codes, back = np.unique((new >> (21 * (GRAM - 1 - i))) & (2**21 - 1), return_inverse=True)
                 made *= np.stack([np.roll(self.letter(int(c)), GRAM - 1 - i) for c in codes])[back]
-            keys = np.concatenate([self.keys, new])
+            used = len(self.keys)
+            self.rows[used : used + len(new)] = made
+            keys, places = np.concatenate([self.keys, new]), np.concatenate([self.places, np.arange(used, used + len(new))])
             order = np.argsort(keys)
-            self.keys, self.rows = keys[order], np.concatenate([self.rows, made.astype(np.float32)])[order]
-        return self.rows[np.searchsorted(self.keys, distinct)]
-
-    def bundle(self, found: np.ndarray) -> np.ndarray:
-        """The sum of the vectors of n-grams, in parts, so that many distinct ones need no more memory."""
-        distinct, counts = np.unique(found, return_counts=True)
-        out = np.zeros(WIDTH)
-        for i in range(0, len(distinct), REMEMBERED // 4):
-            out += counts[i : i + REMEMBERED // 4].astype(np.float32) @ self.of(distinct[i : i + REMEMBERED // 4])
+            self.keys, self.places = keys[order], places[order]
+            at = np.searchsorted(self.keys, distinct)
+        return self.rows[self.places[at]]
+
+    def bundles(self, found: list[np.ndarray]) -> np.ndarray:
+        """A row for each text: the sum of the vectors of its n-grams. Many distinct ones are added in parts."""
+        sizes = [len(x) for x in found]
+        out = np.zeros((len(found), WIDTH))
+        if sum(sizes):
+            distinct, number = np.unique(np.concatenate(found), return_inverse=True)
+            counts = np.bincount(np.repeat(np.arange(len(found)), sizes) * len(distinct) + number, minlength=len(found) * len(distinct))
+            counts = counts.reshape(len(found), len(distinct)).astype(np.float32)
+            for i in range(0, len(distinct), REMEMBERED // 4):
+                out += counts[:, i : i + REMEMBERED // 4] @ self.of(distinct[i : i + REMEMBERED // 4])
         return out
 
 
+def in_blocks(texts: Iterable[str | None], texts_at_most: int = 64, grams_at_most: int = 200_000) -> Iterator[list[np.ndarray]]:
+    """The n-grams of texts, some texts at a time; a block ends when it has either number."""
+    block: list[np.ndarray] = []
+    size = 0
+    for t in texts:
+        block.append(grams(letter_codes(t)))
+        size += len(block[-1])
+        if len(block) >= texts_at_most or size >= grams_at_most:
+            yield block
+            block, size = [], 0
+    if block:
+        yield block
+
+
 def held_out(doc_id: str | Column = "doc_id") -> Column:
     """Whether a document is held out: crc32 of its id as text, modulo 4, is 2."""
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 4 == 2, F.lit(False))
@@ -105,20 +128,13 @@ def prototypes(docs: DataFrame) -> dict[str, np.ndarray]:
         vectors, sums = Vectors(), {}
         for b in batches:
             for lang, texts in b.groupby("lang").text:
-                block, size = [], 0
-                for t in texts:
-                    block.append(grams(letter_codes(t)))
-                    size += len(block[-1])
-                    if size > 2_000_000:
-                        sums[lang] = sums.get(lang, 0) + vectors.bundle(np.concatenate(block))
-                        block, size = [], 0
-                if block:
-                    sums[lang] = sums.get(lang, 0) + vectors.bundle(np.concatenate(block))
+                for block in in_blocks(texts, 100_000, 2_000_000):
+                    sums[lang] = sums.get(lang, 0) + vectors.bundles([np.concatenate(block)])[0]
         slot = (TaskContext.get().partitionId() if TaskContext.get() else 0) % SLOTS
         yield pd.DataFrame({"lang": list(sums), "slot": slot, "v": [v.tolist() for v in sums.values()]})
 
     def added(group: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"lang": group.lang[:1], "slot": group.slot[:1], "v": [np.sum(group.v.tolist(), axis=0)]})
+        return pd.DataFrame({"lang": [group.lang.iloc[0]], "slot": [group.slot.iloc[0]], "v": [np.sum(np.stack(group.v.to_list()), axis=0).tolist()]})
 
     kind = "lang string, slot int, v array<double>"
     parts = docs.select("text", F.col("lang").cast("string")).dropna().mapInPandas(partial, kind)
@@ -140,17 +156,13 @@ def identify(docs: DataFrame, learned: dict[str, np.ndarray]) -> DataFrame:
         vectors = Vectors()
         for b in batches:
             lang, score = [], []
-            for t in b.text:
-                found = grams(letter_codes(t))
-                if not len(found) or not names:
-                    lang.append("und")
-                    score.append(0.0)
-                    continue
-                v = vectors.bundle(found)
-                near = table @ v / max(np.linalg.norm(v), 1e-9)
-                best = int(near.argmax())
-                lang.append(names[best])
-                score.append(float(min(max(near[best], 0.0), 1.0)))
+            for block in in_blocks(b.text):
+                v = vectors.bundles(block)
+                near = v @ table.T / np.maximum(np.linalg.norm(v, axis=1), 1e-9)[:, None]
+                for found, x in zip(block, near, strict=True):
+                    known = len(found) and names
+                    lang.append(names[int(x.argmax())] if known else "und")
+                    score.append(float(np.clip(x.max(), 0.0, 1.0)) if known else 0.0)
             yield pd.DataFrame({"doc_id": b.doc_id.astype("Int64"), "lang_pred": lang, "score": score})
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInPandas(run, "doc_id long, lang_pred string, score double")
