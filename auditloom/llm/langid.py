@@ -131,7 +131,8 @@ def prototypes(docs: DataFrame) -> dict[str, np.ndarray]:
                 for block in in_blocks(texts, 100_000, 2_000_000):
                     sums[lang] = sums.get(lang, 0) + vectors.bundles([np.concatenate(block)])[0]
         slot = (TaskContext.get().partitionId() if TaskContext.get() else 0) % SLOTS
-        yield pd.DataFrame({"lang": list(sums), "slot": slot, "v": [v.tolist() for v in sums.values()]})
+        if sums:
+            yield pd.DataFrame({"lang": list(sums), "slot": slot, "v": [v.tolist() for v in sums.values()]})
 
     def added(group: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame({"lang": [group.lang.iloc[0]], "slot": [group.slot.iloc[0]], "v": [np.sum(np.stack(group.v.to_list()), axis=0).tolist()]})

@@ -133,4 +133,5 @@ def mixed(docs: DataFrame, seed: int = 11, weights: tuple[int, ...] = WEIGHTS, m
     plan = mix(docs, seed, weights, most).filter("copies > 0").groupBy("doc_id", "text_hash").agg(F.max("copies").alias("copies"))
     d, p = docs.alias("d"), plan.alias("p")
     same = F.col("d.doc_id").cast("long").eqNullSafe(F.col("p.doc_id")) & (F.xxhash64("d.text") == F.col("p.text_hash"))
-    return d.join(p, same).select("d.*", F.explode(F.sequence(F.lit(1), F.col("p.copies"))).alias("_copy")).drop("_copy")
+    copy = "_" + "_".join(docs.columns)  # a name that no column has
+    return d.join(p, same).select("d.*", F.explode(F.sequence(F.lit(1), F.col("p.copies"))).alias(copy)).drop(copy)
