@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -16,7 +19,7 @@ CHOSEN = 1_500
 
 def hashed(values: np.ndarray) -> np.ndarray:
     """64-bit hashes to feature numbers."""
-    return (values >> np.uint64(44)).astype(np.int64)
+    return (values >> np.uint64(44)).astype(np.int32)
 
 
 def sampled(df: DataFrame, rows: int, at_most: int, seed: int) -> DataFrame:
@@ -25,6 +28,16 @@ def sampled(df: DataFrame, rows: int, at_most: int, seed: int) -> DataFrame:
     return df.filter(F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1_000_000)) < round(share * 1_000_000))
 
 
+def gathered(df: DataFrame, by: list[str]) -> tuple[list[np.ndarray], pa.Table]:
+    """The rows of a bounded sample in the order of some columns: their feature numbers (column found), and all columns."""
+    table = df.toArrow().sort_by([(c, "ascending") for c in by]).combine_chunks()
+    if not len(table):
+        return [], table
+    found = table["found"].combine_chunks()
+    values, at = found.values.to_numpy(), found.offsets.to_numpy()
+    return [values[a:b] for a, b in zip(at[:-1], at[1:], strict=True)], table
+
+
 class Linear:
     """Weights of the features that passed selection, of dense extra columns, and an intercept."""
 
@@ -56,18 +69,26 @@ def fit(rows: list[np.ndarray], y: np.ndarray, extra: np.ndarray | None = None,
     """
     n, y = len(rows), np.asarray(y, float)
     extra = np.zeros((n, 0)) if extra is None else np.asarray(extra, float)
-    flat = np.concatenate(rows) if n else np.zeros(0, np.int64)
-    row = np.repeat(np.arange(n), [len(r) for r in rows])
-    yes, no = np.bincount(flat, y[row], SPACE), np.bincount(flat, 1 - y[row], SPACE)
+
+    def blocks() -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Feature numbers and their rows, for a few rows at a time."""
+        for i in range(0, n, 256):
+            part = rows[i : i + 256]
+            yield np.concatenate(part), np.repeat(np.arange(i, i + len(part)), [len(r) for r in part])
+
+    yes, no = np.zeros(SPACE), np.zeros(SPACE)
+    for flat, row in blocks():
+        yes += np.bincount(flat, y[row], SPACE)
+        no += np.bincount(flat, 1 - y[row], SPACE)
     ny, nn = y.sum(), n - y.sum()
     chi = (yes * (nn - no) - no * (ny - yes)) ** 2 * n / np.maximum((yes + no) * (n - yes - no) * ny * nn, 1e-9)
     chosen = np.flatnonzero((chi >= least_chi) & (yes + no >= 5))
     chosen = np.sort(chosen[np.lexsort((chosen, -chi[chosen]))[:CHOSEN]])
-    place = np.full(SPACE, -1)
+    place = np.full(SPACE, -1, np.int32)
     place[chosen] = np.arange(len(chosen))
-    col = place[flat]
-    row, col = row[col >= 0], col[col >= 0]
-    weight = np.where(y >= 0.5, 0.5 / max(y.mean(), 1e-9), 0.5 / max(1 - y.mean(), 1e-9)) / max(n, 1)
+    used = [(row[keep], place[flat[keep]]) for flat, row in blocks() for keep in [place[flat] >= 0]]
+    row, col = (np.concatenate([x[k] for x in used] or [np.zeros(0, int)]) for k in (0, 1))
+    weight = np.where(y >= 0.5, 0.5 / max(ny, 1e-9), 0.5 / max(nn, 1e-9))
     w, v, b = np.zeros(len(chosen)), np.zeros(extra.shape[1]), 0.0
     gw, gv, gb = np.full(len(w), 1e-3), np.full(len(v), 1e-3), 1e-3
     if 0 < ny < n:

@@ -23,7 +23,7 @@ def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels")
-    return toxicity.score(docs, toxicity.train(docs, toxicity.categories(docs, labels), ["insult", "contempt", "toxic"]))
+    return toxicity.score(docs, toxicity.train(toxicity.labelled(docs, labels), ["insult", "contempt", "toxic"]))
 
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from auditloom.llm.common import Words
-from auditloom.llm.linear import SAMPLE, Linear, fit, hashed, sampled
+from auditloom.llm.linear import SAMPLE, Linear, fit, gathered, hashed, sampled
 
 # Words that tell the narrower categories apart among documents labelled as toxic.
 INSULT = ("idiot", "moron", "stupid", "clown", "loser", "scum")
@@ -32,7 +32,7 @@ def features(text: str | None) -> np.ndarray:
     """Feature numbers of the words of a lower-cased text and of their first 4, 5 and 6 bytes."""
     words = Words((text or "").lower().encode("utf-8", "replace"), _LETTERS)
     if not len(words):
-        return np.zeros(0, np.int64)
+        return np.zeros(0, np.int32)
     return hashed(np.concatenate([words.hashes(), *(words.prefixes(k) for k in (4, 5, 6))]))
 
 
@@ -64,26 +64,21 @@ def fit_chain(rows: list[np.ndarray], labels: np.ndarray, names: list[str], fold
     return Chain(names, models)
 
 
-def train(docs: DataFrame, labels: DataFrame, names: list[str], at_most: int = SAMPLE) -> Chain:
-    """Fits a chain on labelled documents.
+def train(labelled: DataFrame, names: list[str]) -> Chain:
+    """Fits a chain on the driver, on a bounded sample of labelled documents (see labelled).
 
-    docs: doc_id, text. labels: doc_id and a 0/1 column for each of names; rows with a null in any are left out.
-    About at_most labelled rows, drawn by a hash of doc_id, are fitted on the driver: the only bound that does not
-    grow with the input.
+    labelled: doc_id, text and a 0/1 column for each of names; rows with a null in any are left out.
     """
-    known = labels.select("doc_id", *names).dropna()
-    picked = sampled(known, known.count(), at_most, 2)
     fold = F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(FOLDS)).cast("int")
-    joined = docs.select("doc_id", "text").join(picked, "doc_id").select("doc_id", fold.alias("fold"), "text", *[F.col(n).cast("double") for n in names])
+    rows = labelled.select("doc_id", "text", fold.alias("fold"), F.array(*[F.col(n).cast("double") for n in names]).alias("y")).filter("not exists(y, v -> v is null)")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            yield pd.DataFrame({"doc_id": b.doc_id, "fold": b.fold, "found": [np.unique(features(t)).astype(np.int32) for t in b.text], "y": list(b[names].to_numpy())})
+            yield pd.DataFrame({"doc_id": b.doc_id, "fold": b.fold, "found": [np.unique(features(t)) for t in b.text], "y": b.y})
 
-    sample = joined.mapInPandas(run, "doc_id long, fold int, found array<int>, y array<double>").toPandas().sort_values("doc_id")
-    rows = [np.asarray(x, np.int64) for x in sample.found]
-    y = np.array(sample.y.tolist(), float).reshape(len(rows), len(names))
-    return fit_chain(rows, y, names, sample.fold.to_numpy())
+    found, table = gathered(rows.mapInPandas(run, "doc_id long, fold int, found array<int>, y array<double>"), ["doc_id"])
+    y = np.array(table["y"].to_pylist(), float).reshape(len(found), len(names))
+    return fit_chain(found, y, names, table["fold"].to_numpy())
 
 
 #: Probability from which the last category counts.
@@ -120,17 +115,17 @@ def clean(docs: DataFrame, chain: Chain, threshold: float = THRESHOLD) -> DataFr
     return docs.filter(keep("text"))
 
 
-def categories(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Category labels from labels (doc_id, toxic) and the words of the labelled documents.
+def labelled(docs: DataFrame, labels: DataFrame, at_most: int = SAMPLE) -> DataFrame:
+    """doc_id, text, insult, contempt and toxic of about at_most labelled documents, drawn by a hash of doc_id.
 
-    The table has one toxic column. The narrower categories are those toxic documents that hold one of the listed
-    words; insult and contempt may overlap. A table with category columns of its own can be given to train directly.
+    labels (doc_id, toxic) has one toxic column; a null says nothing, and 1 holds against 0 for the same doc_id. The
+    narrower categories are those toxic documents that hold one of the listed words; insult and contempt may overlap.
+    The drawn labels are at_most ids and numbers, so they are broadcast, and no text of another document is moved.
+    Of rows that repeat a doc_id, the one with the least text counts.
     """
-    lower = F.lower("text")
-    has = lambda words: lower.rlike(r"\b(" + "|".join(words) + r")\b")
-    toxic = F.col("toxic").cast("int")
-    return (
-        docs.select("doc_id", "text")
-        .join(labels.select("doc_id", "toxic").dropna().dropDuplicates(["doc_id"]), "doc_id")
-        .select("doc_id", (toxic * has(INSULT).cast("int")).alias("insult"), (toxic * has(CONTEMPT).cast("int")).alias("contempt"), toxic.alias("toxic"))
-    )
+    known = labels.select("doc_id", "toxic").dropna().groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
+    drawn = sampled(known, known.count(), at_most, 2)
+    has = lambda words: F.lower("text").rlike(r"\b(" + "|".join(words) + r")\b").cast("int")
+    rows = docs.select("doc_id", "text").join(F.broadcast(drawn), "doc_id").filter("text is not null")
+    rows = rows.groupBy("doc_id").agg(F.min("text").alias("text"), F.first("toxic").alias("toxic"))
+    return rows.select("doc_id", "text", (F.col("toxic") * has(INSULT)).alias("insult"), (F.col("toxic") * has(CONTEMPT)).alias("contempt"), "toxic")
