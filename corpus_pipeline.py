@@ -19,7 +19,7 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that are not toxic, by a chain that is trained on the labelled ones among them."""
-    chain = toxicity.train(docs, toxicity.categories(docs, read_table(spark, sf_dir, "labels")), ["insult", "contempt", "toxic"])
+    chain = toxicity.train(toxicity.labelled(docs, read_table(spark, sf_dir, "labels")), ["insult", "contempt", "toxic"])
     return toxicity.clean(docs, chain)
 
 
