@@ -19,8 +19,8 @@ from pyspark.sql import functions as F
 
 from auditloom.llm.common import Scratch
 
-#: Ranges of doc_id, each sorted on its own.
-RANGES = 256
+#: Ranges of doc_id, each sorted on its own: at least so many, and more so that one has about so many rows at most.
+RANGES, ROWS = 256, 50_000
 
 
 def canonical(text: str | None) -> bytes:
@@ -52,14 +52,17 @@ def fingerprints(docs: DataFrame) -> DataFrame:
 
 
 def _in_ranges(rows: DataFrame, starts: list[int]) -> DataFrame:
-    """Adds the number of the range that doc_id falls in; starts are the ranges' least ids after the first."""
+    """Adds the number of the range that doc_id falls in and whether it is the range's least id, where starts are the least ids of ranges after the first."""
+    at = np.array(starts, np.int64)
 
     @F.pandas_udf("int")
     def number(ids: pd.Series) -> pd.Series:
         x = ids.fillna(-(2**63)).astype("int64").to_numpy()
-        return pd.Series(np.searchsorted(np.array(starts, np.int64), x, side="right").astype(np.int32))
+        found = np.searchsorted(at, x, side="right")
+        return pd.Series((2 * found + ((found > 0) & (np.append(at, 0)[found - 1] == x))).astype(np.int32))
 
-    return rows.withColumn("range", number(F.col("doc_id")) if starts else F.lit(0))
+    coded = rows.withColumn("range", number(F.col("doc_id")) if starts else F.lit(0))
+    return coded.withColumn("opens", F.col("range") % 2 == 1).withColumn("range", F.floor(F.col("range") / 2).cast("int"))
 
 
 def exact_groups(docs: DataFrame) -> DataFrame:
@@ -81,12 +84,13 @@ def exact_groups(docs: DataFrame) -> DataFrame:
     many = prints.groupBy("fingerprint").agg(F.min("doc_id").alias("leader"), F.count("*").alias("n")).filter("n > 1")
     marks = prints.join(many, "fingerprint").select("doc_id", F.lit(None).cast("string").alias("text"), F.lit(True).alias("mark")).distinct()
 
-    cuts = prints.agg(F.min("doc_id").alias("least"), F.percentile_approx("doc_id", [i / RANGES for i in range(1, RANGES)], 100_000).alias("at")).first()
+    ranges = max(RANGES, prints.count() // ROWS)
+    cuts = prints.agg(F.min("doc_id").alias("least"), F.percentile_approx("doc_id", [i / ranges for i in range(1, ranges)], max(100_000, 10 * ranges)).alias("at")).first()
     starts = sorted({x for x in cuts["at"] or [] if x > cuts["least"]})
     last = len(starts)
     ranged = _in_ranges(own.withColumn("mark", F.lit(False)).unionByName(marks), starts)
     # The least row of range k is also the one after the last row of range k - 1; the very first follows the last.
-    first = F.when(F.col("mark"), F.lit(None)).when(F.col("doc_id").isNull() | (F.col("doc_id") <= F.lit(cuts["least"])), F.lit(last)).when(F.col("doc_id").isin(starts) if starts else F.lit(False), F.col("range") - 1)
+    first = F.when(F.col("mark"), F.lit(None)).when(F.col("doc_id").isNull() | (F.col("doc_id") <= F.lit(cuts["least"])), F.lit(last)).when(F.col("opens"), F.col("range") - 1)
     homes = F.filter(F.array(F.struct(F.col("range"), F.lit(False).alias("guest")), F.struct(first.alias("range"), F.lit(True).alias("guest"))), lambda h: h["range"].isNotNull())
     dealt = ranged.select("doc_id", "text", "mark", F.explode(homes).alias("h")).select("h.range", "h.guest", "doc_id", "mark", "text")
 
