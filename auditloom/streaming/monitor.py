@@ -35,13 +35,14 @@ def read_arrivals(spark: SparkSession, path: str, schema: str, files_per_trigger
 
 
 def windowed_counts(events: DataFrame, ts: str, by: list[str], width: str = "5 minutes", late: str = "1 hour") -> DataFrame:
-    """Counts by tumbling window with a watermark; runs on a stream or a table."""
+    """Counts by tumbling window with a watermark; runs on a stream or a table. Times without a zone count as the session's."""
+    events = events.withColumn(ts, F.col(ts).cast("timestamp"))
     return events.withWatermark(ts, late).groupBy(F.window(ts, width), *by).agg(F.count("*").alias("n"))
 
 
 def distinct_events(events: DataFrame, key: str, ts: str, late: str = "1 day") -> DataFrame:
     """Events by key once, with state that the watermark bounds."""
-    return events.withWatermark(ts, late).dropDuplicatesWithinWatermark([key])
+    return events.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, late).dropDuplicatesWithinWatermark([key])
 
 
 def rate(ts: Column, by: list[str], seconds: int) -> Column:
