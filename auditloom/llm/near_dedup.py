@@ -7,9 +7,10 @@ runs of registers (bands) put similar documents into common buckets. Candidates
 together by maximum likelihood, and those that may reach the threshold are verified on the full shingle sets.
 
 No bucket emits all of its pairs. Every member meets the bucket's smallest id; links found so merge into components;
-only buckets that then still hold several components are compared further, in blocks of bounded size, on registers
-alone, and only pairs between different components are verified. A large group of near copies therefore costs about
-one comparison for each member and band, while no link that a band proposes is dropped.
+only buckets that then still hold several components are compared further, in blocks of bounded size, where pairs
+between different components are compared and only those that merge two are returned, to be confirmed on full sets.
+A large group of near copies therefore costs about one comparison for each member and band, while no link that a band
+proposes is dropped.
 """
 
 from __future__ import annotations
@@ -25,8 +26,8 @@ from auditloom.llm.common import Scratch, Words, mix64, rolled
 
 #: Registers, rows of a band, base of the register scale and its rate.
 BANDS, ROWS, BASE, RATE = 32, 5, 1.2, 20.0
-#: Members of a block of a bucket; two blocks meet in one comparison.
-BLOCK = 256
+#: Members of a block of a bucket, of which two meet in one task; shingles of a text that are compared there.
+BLOCK, SET = 1024, 2048
 
 _rng = np.random.default_rng(77)
 _A = _rng.integers(0, 2**32, BANDS * ROWS, dtype=np.uint32) | np.uint32(1)
@@ -132,92 +133,143 @@ def plausible(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
 
 
 def components(scratch: Scratch, links: DataFrame) -> DataFrame:
-    """Connected components as (id, component), component being the smallest id; ids without links are left out.
+    """Connected components of links (a, b) as (id, component), component being the smallest id; ids without links are left out.
 
-    Large-star and small-star steps in turn, until a round changes nothing. Each round is written, so it isn't
-    computed again. Stars of one leader need one round and one that finds nothing to do.
+    Large-star and small-star steps in turn, until every id has one component that has none itself. Each round is
+    written, so it isn't computed again. Neighbours of one id are brought together only where they are smaller than
+    it, which a leader's followers are not; the least neighbour of an id is found by partial minima.
     """
-
-    def state(e: DataFrame) -> tuple:
-        return tuple(e.agg(F.count("*"), F.sum(F.xxhash64("id", "component").cast("decimal(38,0)"))).first())
-
     edges = scratch.write(links.select(F.greatest("a", "b").alias("id"), F.least("a", "b").alias("component")).filter("id != component").distinct())
-    before = state(edges)
-    while before[0]:
+    while True:
+        ends = edges.select("id").union(edges.select("component").distinct())
+        # In stars, an id stands once among the followers and the distinct leaders.
+        if ends.groupBy("id").agg(F.count("*").alias("n")).filter("n > 1").isEmpty():
+            return edges
         both = edges.union(edges.select("component", "id"))
         least = both.groupBy("id").agg(F.least(F.min("component"), F.first("id")).alias("m"))
-        large = both.filter("component > id").join(least, "id").select(F.col("component").alias("id"), F.col("m").alias("component")).union(
-            least.filter("m < id").select("id", F.col("m").alias("component"))
-        ).distinct()
+        large = both.filter("component > id").join(least, "id").select(F.col("component").alias("id"), F.col("m").alias("component"))
+        large = large.union(least.filter("m < id").select("id", F.col("m").alias("component"))).repartition("id").distinct()
         m = large.groupBy("id").agg(F.min("component").alias("m"))
         small = large.join(m, "id").filter("component != m").select(F.col("component").alias("id"), F.col("m").alias("component")).union(m).distinct()
         after = scratch.write(small)
         scratch.drop(edges)
-        edges, now = after, state(after)
-        if now == before:
-            break
-        before = now
-    return edges
+        edges = after
 
 
-def _block_pairs(members: DataFrame, percent: int, best_only: bool) -> DataFrame:
-    """Pairs of different components within blocks of the buckets (band, id, component, n_shingles, sig, size, leader).
+def small_sets(texts: DataFrame, shingle_words: int) -> DataFrame:
+    """id and the SET least 32-bit hashes of the shingles of each text (id, text), ascending: all of them, for most."""
 
-    A bucket of up to BLOCK members is one block. A larger one is dealt out over blocks, and any two blocks meet in
-    one comparison, so that no task holds more than two blocks of a bucket. best_only: for each member and each
-    other component only the partner with the highest estimate, enough to merge components; otherwise all.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [np.unique((shingle_set(t.as_py(), shingle_words) >> np.uint64(32)).astype("<u4"))[:SET].tobytes() for t in batch.column(1).cast(pa.binary())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], names=["id", "set"])
+
+    return texts.select("id", "text").mapInArrow(run, "id long, set binary")
+
+
+class Cell:
+    """Members of one or two blocks of a bucket: (id, component, number of shingles, registers, small set, block)."""
+
+    def __init__(self, rows: list[tuple], percent: int):
+        self.ids, self.sizes, self.block = (np.array([r[i] for r in rows]) for i in (0, 2, 5))
+        _, self.root = np.unique([r[1] for r in rows], return_inverse=True)
+        self.sig = np.frombuffer(b"".join(r[3] for r in rows), np.uint8).reshape(len(rows), -1)
+        bands = np.zeros((len(rows), BANDS, 8), np.uint8)
+        bands[:, :, :ROWS] = self.sig.reshape(len(rows), BANDS, ROWS)
+        self.bands = bands.view(np.uint64)[:, :, 0]
+        sets = [np.frombuffer(r[4], "<u4") for r in rows]
+        self.cut = np.array([len(x) >= SET for x in sets])
+        self.values, self.flat = np.unique(np.concatenate(sets), return_inverse=True)
+        self.ends = np.cumsum([len(x) for x in sets])
+        self.starts = self.ends - [len(x) for x in sets]
+        self.percent, self.least = percent, may_reach(percent / 100)
+
+    def candidates(self, i: int, others: np.ndarray, band: int, leader: int) -> np.ndarray:
+        """Those of the others in another component whose sizes and registers allow a link, if this is the first band that they share."""
+        if self.ids[i] == leader:  # it has met them all
+            return others[:0]
+        n, m = self.sizes[i], self.sizes[others]
+        j = others[(self.root[others] != self.root[i]) & (np.minimum(n, m) * 100 >= np.maximum(n, m) * self.percent) & (self.ids[others] != leader)]
+        j = j[(self.bands[j] == self.bands[i]).argmax(axis=1) == band]
+        if not len(j):
+            return j
+        return j[estimate(np.broadcast_to(self.sig[i], (len(j), self.sig.shape[1])), self.sig[j], np.full(len(j), n), self.sizes[j]) >= self.least]
+
+    def links(self, band: int, leader: int) -> Iterator[tuple[int, int]]:
+        """Pairs to confirm on full sets. Among small sets those that merge components, otherwise all that may be links."""
+        p, q = self.block.min(), self.block.max()
+        inside = np.zeros(len(self.values), bool)
+        for i in np.flatnonzero(self.block == p):
+            others = np.flatnonzero(self.block == q) if p != q else np.arange(i + 1, len(self.ids))
+            j = self.candidates(i, others, band, leader)
+            if not len(j):
+                continue
+            own = self.flat[self.starts[i] : self.ends[i]]
+            inside[own] = True
+            for k in j[np.argsort(self.ids[j])]:
+                if self.root[k] == self.root[i]:
+                    continue
+                other = self.flat[self.starts[k] : self.ends[k]]
+                if self.cut[i] or self.cut[k]:  # compared as far as both sets reach
+                    upto = min(own[-1] if self.cut[i] else len(self.values), other[-1] if self.cut[k] else len(self.values))
+                    common = int(np.count_nonzero(inside[other[other <= upto]]))
+                    union = np.count_nonzero(own <= upto) + np.count_nonzero(other <= upto) - common
+                    share = self.percent / 100
+                    if common >= (share - 4.5 * np.sqrt(share * (1 - share) / max(union, 1))) * union:
+                        yield int(self.ids[i]), int(self.ids[k])
+                    continue
+                common, both = int(np.count_nonzero(inside[other])), int(self.sizes[i] + self.sizes[k])
+                if 100 * (common + 1) >= self.percent * (both - common - 1):  # two hashes of a set may have been one
+                    yield int(self.ids[i]), int(self.ids[k])
+                    if 100 * common >= self.percent * (both - common):
+                        self.root[self.root == self.root[k]] = self.root[i]
+            inside[own] = False
+
+
+def open_pairs(hits: DataFrame, merged: DataFrame, reps: DataFrame, texts: DataFrame, shingle_words: int, percent: int, scratch: Scratch) -> DataFrame:
+    """Pairs to confirm (a, b) among members of buckets that still hold several components.
+
+    A bucket's largest component is its main one, whose members need no comparison with each other. The others are
+    dealt out over blocks of BLOCK members and meet each other and the main one's blocks in cells of two blocks, so
+    that no task holds more of a bucket. In a cell, registers and then small sets are compared. Pairs that are
+    linked join their components at once and only they are returned; a text of more than SET shingles is estimated
+    from the SET least, with all pairs that may be links.
     """
-    least = may_reach(percent / 100)
-    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
+    labelled = scratch.write(hits.filter("size > 2").join(merged, "id", "left").withColumn("component", F.coalesce("component", "id")))
+    parts = labelled.groupBy("band", "no", "component").agg(F.count("*").alias("n"))
+    open_ = scratch.write(parts.groupBy("band", "no").agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.max("n").alias("n_main"), F.sum("n").alias("n")).filter("n > n_main"))
+    members = scratch.write(labelled.join(open_, ["band", "no"]).withColumn("is_main", F.col("component") == F.col("main")))
+    sets = scratch.write(small_sets(texts.join(members.select("id").distinct(), "id"), shingle_words))
+    blocks = lambda n: F.ceil(n / BLOCK).cast("int")
+    rest, mains = blocks(F.col("n") - F.col("n_main")), blocks(F.col("n_main"))
+    own = F.when(F.col("is_main"), rest + F.pmod(F.xxhash64("id"), mains)).otherwise(F.pmod(F.xxhash64("id"), rest)).cast("int")
     dealt = (
-        members.withColumn("own", F.pmod(F.xxhash64("id"), blocks).cast("int"))
-        .withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-        .select("band", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), "id", "component", "n_shingles", "sig", "leader", "own")
+        members.withColumn("own", own)
+        .withColumn("other", F.explode(F.sequence(F.lit(0), F.when(F.col("is_main"), rest).otherwise(rest + mains) - 1)))
+        .select("band", "no", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), "id", "component", "leader", "own")
+        .join(reps.select(F.col("rep").alias("id"), "n_shingles", "sig"), "id")
+        .join(sets, "id")
     )
 
-    def compare(rows: list[tuple]) -> tuple[list[int], list[int]]:
-        ids, comps, sizes = (np.array([r[i] for r in rows]) for i in (0, 1, 2))
-        if len(ids) < 3 or (comps == comps[0]).all():
-            return [], []
-        sig = np.frombuffer(b"".join(r[3] for r in rows), np.uint8).reshape(len(rows), -1)
-        out_a, out_b = [], []
-        for i in range(len(ids) - 1):
-            j = np.arange(i + 1, len(ids))
-            j = j[(comps[j] != comps[i]) & (np.minimum(sizes[j], sizes[i]) * 100 >= np.maximum(sizes[j], sizes[i]) * percent)]
-            j = j[(ids[j] != rows[0][4]) & (ids[i] != rows[0][4])]  # the leader has met them all
-            if len(j):
-                e = estimate(np.broadcast_to(sig[i], (len(j), sig.shape[1])), sig[j], np.full(len(j), sizes[i]), sizes[j])
-                j, e = j[e >= least], e[e >= least]
-                if best_only and len(j):
-                    order = np.lexsort((ids[j], -e))
-                    j = j[order][np.unique(comps[j][order], return_index=True)[1]]
-                out_a += np.minimum(ids[j], ids[i]).tolist()
-                out_b += np.maximum(ids[j], ids[i]).tolist()
-        return out_a, out_b
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, rows = None, []
+
+        def pairs() -> pa.RecordBatch:
+            found = list(Cell(rows, percent).links(key[1], key[4])) if len(rows) > 1 else []
+            return pa.RecordBatch.from_arrays([pa.array([f(x) for x in found], pa.int64()) for f in (min, max)], names=["a", "b"])
+
         for batch in batches:
-            out_a: list[int] = []
-            out_b: list[int] = []
-            for band, p, q, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if key != (band, p, q):
-                    a, b = compare(rows)
-                    out_a += a
-                    out_b += b
-                    key, rows = (band, p, q), []
-                rows.append(tuple(row))
-            yield pa.RecordBatch.from_arrays([pa.array(out_a, pa.int64()), pa.array(out_b, pa.int64())], names=["a", "b"])
-        a, b = compare(rows)
-        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+            for *here, i, component, size, sig, small, block in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if key != here:
+                    if rows:
+                        yield pairs()
+                    key, rows = here, []
+                rows.append((i, component, size, sig, small, block))
+        if rows:
+            yield pairs()
 
-    return (
-        dealt.select("band", "p", "q", "id", "component", "n_shingles", "sig", "leader")
-        .repartition("band", "p", "q")
-        .sortWithinPartitions("band", "p", "q", "id")
-        .mapInArrow(run, "a long, b long")
-        .distinct()
-    )
+    cells = dealt.select("band", "no", "p", "q", "leader", "id", "component", "n_shingles", "sig", "set", "own")
+    return cells.repartition("band", "p", "q").sortWithinPartitions("band", "no", "p", "q", "id").mapInArrow(run, "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80) -> DataFrame:
@@ -238,26 +290,20 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80)
         .groupBy("d1", "d2")
         .agg(F.min("doc_id").alias("rep"), F.min("n_shingles").alias("n_shingles"), F.first("sig").alias("sig"))
     )
-    band = F.explode(F.array(*[F.xxhash64(F.lit(i), F.substring("sig", i * ROWS + 1, ROWS)) for i in range(BANDS)]))
-    bands = reps.select("rep", band.alias("band"))
-    buckets = bands.groupBy("band").agg(F.min("rep").alias("leader"), F.count("*").alias("size")).filter("size > 1")
-    hits = scratch.write(bands.join(buckets, "band").select("band", F.col("rep").alias("id"), "leader", "size"))
+    band = F.posexplode(F.array(*[F.xxhash64(F.lit(i), F.substring("sig", i * ROWS + 1, ROWS)) for i in range(BANDS)]))
+    bands = reps.select("rep", band.alias("no", "band"))
+    buckets = bands.groupBy("band", "no").agg(F.min("rep").alias("leader"), F.count("*").alias("size")).filter("size > 1")
+    hits = scratch.write(bands.join(buckets, ["band", "no"]).select("band", "no", F.col("rep").alias("id"), "leader", "size"))
 
     shared = hits.select("id").distinct()
     texts = scratch.write(docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(shared, "id").dropDuplicates(["id", "text"]))
-    tested = scratch.write(hits.filter("id != leader").select(F.col("leader").alias("a"), F.col("id").alias("b")).distinct())
+    tested = hits.filter("id != leader").select(F.col("leader").alias("a"), F.col("id").alias("b")).distinct()
     links = scratch.write(verified(plausible(tested, reps, percent), texts, shingle_words, percent))
     merged = components(scratch, links)
-    for best_only in (True, False):
-        labelled = hits.filter("size > 2").join(merged, "id", "left").withColumn("component", F.coalesce("component", "id"))
-        open_ = labelled.groupBy("band").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x != y").select("band")
-        members = labelled.join(open_, "band").join(reps.select(F.col("rep").alias("id"), "n_shingles", "sig"), "id")
-        pairs = scratch.write(_block_pairs(members, percent, best_only).join(tested, ["a", "b"], "left_anti"))
-        if pairs.isEmpty():
-            break
-        tested = tested.union(pairs)
-        links = links.union(scratch.write(verified(pairs, texts, shingle_words, percent)))
-        merged = components(scratch, links)
+    pairs = scratch.write(open_pairs(hits, merged, reps, texts, shingle_words, percent, scratch))
+    more = scratch.write(verified(pairs, texts, shingle_words, percent))
+    if not more.isEmpty():
+        merged = components(scratch, merged.toDF("a", "b").union(more))
 
     group = reps.select("d1", "d2", "rep").join(merged.withColumnRenamed("id", "rep"), "rep", "left").select("d1", "d2", F.coalesce("component", "rep").alias("component"))
     lone = F.col("n_shingles") == 0
