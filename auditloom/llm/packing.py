@@ -12,7 +12,10 @@ shuffle. What a partition has left at its end goes to sequences whose length is
 from __future__ import annotations
 
 import functools
+import os
+import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,8 +34,12 @@ WAITING = 256
 REMEMBERED = 200_000
 
 
+_UNEVEN = re.compile(r"\A\s|\s\Z| \s|\s ")
+
+
 @functools.cache
 def _tokenizer(path: str):
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # the tasks share the cores already
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(path)
@@ -55,16 +62,15 @@ class Encoder:
         split = []
         for t in texts:
             parts = t.split(" ")
-            # No empty part, and no part that begins with white space: then each space has a non-space after it.
-            plain = all(parts) and not any(p[0].isspace() or p[-1].isspace() for p in parts)
-            split.append([parts[0], *[" " + p for p in parts[1:]]] if plain else None)
+            # No white space beside a space or at an end: then each space has a non-space before and after it.
+            split.append([parts[0], *[" " + p for p in parts[1:]]] if t and not _UNEVEN.search(t) else None)
         known = self.ids
         if len(known) > REMEMBERED:
             known.clear()
         new = list({c for parts in split if parts for c in parts if c not in known})
         for i in range(0, len(new), 4096):
             for c, e in zip(new[i : i + 4096], self.tokenizer.encode_batch_fast(new[i : i + 4096], add_special_tokens=False), strict=True):
-                known[c] = np.array(e.ids, np.uint32).tobytes()
+                known[c] = array("I", e.ids).tobytes()
         whole = iter(self.tokenizer.encode_batch_fast([t for t, p in zip(texts, split, strict=True) if p is None], add_special_tokens=False))
         return [np.frombuffer(b"".join([known[c] for c in parts]), np.uint32) if parts else np.array(next(whole).ids, np.uint32) for parts in split]
 
