@@ -28,6 +28,8 @@ from auditloom.llm.common import Scratch, Words, mix64, rolled
 BANDS, ROWS, BASE, RATE = 32, 5, 1.2, 20.0
 #: Members of a block of a bucket, of which two meet in one task; shingles of a text that are compared there.
 BLOCK, SET = 1024, 2048
+#: Pairs that are broadcast with one of their sketches, at most (about 20 MB); beyond, they are joined by shuffles.
+PAIRS = 100_000
 
 _rng = np.random.default_rng(77)
 _A = _rng.integers(0, 2**32, BANDS * ROWS, dtype=np.uint32) | np.uint32(1)
@@ -100,9 +102,14 @@ def sketches(docs: DataFrame, shingle_words: int) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_shingles long, d1 long, d2 long, sig binary")
 
 
+def small(pairs: DataFrame, rows: DataFrame) -> DataFrame:
+    """rows, to be broadcast if the written table of pairs that they come from is small."""
+    return F.broadcast(rows) if pairs.count() <= PAIRS else rows
+
+
 def verified(pairs: DataFrame, texts: DataFrame, shingle_words: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full shingle sets reach the threshold."""
-    both = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a").join(texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b")
+    """The pairs (a, b) of a written table whose full shingle sets reach the threshold."""
+    both = small(pairs, pairs).join(texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a").join(texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -117,10 +124,10 @@ def verified(pairs: DataFrame, texts: DataFrame, shingle_words: int, percent: in
 
 
 def plausible(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
-    """Pairs whose sizes allow the threshold and whose sketches make it likely enough to verify."""
+    """Pairs of a written table whose sizes allow the threshold and whose sketches make it likely enough to verify."""
     least = may_reach(percent / 100)
     x, y = (reps.select(F.col("rep").alias(k), F.col("n_shingles").alias(f"n_{k}"), F.col("sig").alias(f"sig_{k}")) for k in "ab")
-    sized = pairs.join(x, "a").join(y, "b").filter(F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent)
+    sized = small(pairs, small(pairs, pairs).join(x, "a")).join(y, "b").filter(F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -297,8 +304,9 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80)
 
     shared = hits.select("id").distinct()
     texts = scratch.write(docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(shared, "id").dropDuplicates(["id", "text"]))
-    tested = hits.filter("id != leader").select(F.col("leader").alias("a"), F.col("id").alias("b")).distinct()
-    links = scratch.write(verified(plausible(tested, reps, percent), texts, shingle_words, percent))
+    tested = scratch.write(hits.filter("id != leader").select(F.col("leader").alias("a"), F.col("id").alias("b")).distinct())
+    likely = scratch.write(plausible(tested, reps, percent))
+    links = scratch.write(verified(likely, texts, shingle_words, percent))
     merged = components(scratch, links)
     pairs = scratch.write(open_pairs(hits, merged, reps, texts, shingle_words, percent, scratch))
     more = scratch.write(verified(pairs, texts, shingle_words, percent))
