@@ -424,3 +424,20 @@ def test_pipeline_on_no_documents(spark, smallest, tmp_path):
     for t in ("documents", "labels"):
         Q.read_table(spark, smallest, t).filter("false").write.parquet(f"{tmp_path}/{t}.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_ids_are_those_of_the_tokenizer():
+    encoder = packing.Encoder(Q.tokenizer_path())
+    slow = lambda t: encoder.tokenizer.encode(t, add_special_tokens=False).ids
+    assert encoder.words is not None
+    around = [f"a{c}b {c}{c} 1{c}  {c}\n" for c in map(chr, range(0x10000)) if c.isspace() or not 0xD800 <= ord(c) < 0xE000 and ord(c) % 7 == 0]
+    rng, letters = random.Random(5), " \n\t\x0b\r\x85\xa0 \x1c'slvremtd1a.é日<|endoftext|>\U0001f600"
+    mixed = ["".join(rng.choice(letters) for _ in range(rng.randint(0, 30))) for _ in range(5000)]
+    for t in [*around, *mixed, " " * 100_000, "\n" * 5000 + "x", "ab" * 50_000]:
+        assert slow(t) == encoder.encode(t).tolist()
+
+
+def test_other_tokenizers_encode_themselves():
+    encoder = packing.Encoder(Q.tokenizer_path("word_bpe_49k.json"))
+    assert encoder.words is None
+    assert encoder.encode("Some words, 12").tolist() == encoder.tokenizer.encode("Some words, 12", add_special_tokens=False).ids
