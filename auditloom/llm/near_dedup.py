@@ -30,6 +30,8 @@ BANDS, ROWS, BASE, RATE = 32, 5, 1.2, 20.0
 BLOCK, SET = 1024, 2048
 #: Pairs that are broadcast with one of their sketches, at most (about 20 MB); beyond, they are joined by shuffles.
 PAIRS = 100_000
+#: Ids that are broadcast by themselves, at most (about 40 MB); beyond, they are joined by shuffles.
+IDS = 1_000_000
 
 _rng = np.random.default_rng(77)
 _A = _rng.integers(0, 2**32, BANDS * ROWS, dtype=np.uint32) | np.uint32(1)
@@ -102,14 +104,21 @@ def sketches(docs: DataFrame, shingle_words: int) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_shingles long, d1 long, d2 long, sig binary")
 
 
-def small(pairs: DataFrame, rows: DataFrame) -> DataFrame:
-    """rows, to be broadcast if the written table of pairs that they come from is small."""
-    return F.broadcast(rows) if pairs.count() <= PAIRS else rows
+def small(written: DataFrame, rows: DataFrame, most: int = PAIRS) -> DataFrame:
+    """rows, to be broadcast if the written table that they come from has no more rows than that."""
+    return F.broadcast(rows) if written.count() <= most else rows
 
 
 def verified(pairs: DataFrame, texts: DataFrame, shingle_words: int, percent: int) -> DataFrame:
-    """The pairs (a, b) of a written table whose full shingle sets reach the threshold."""
-    both = small(pairs, pairs).join(texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a").join(texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b")
+    """The pairs (a, b) of a written table whose full shingle sets reach the threshold.
+
+    Few pairs go to the texts, and only texts of pairs are shuffled; many are joined with all texts by shuffles.
+    """
+    x, y = (texts.select(F.col("id").alias(k), F.col("text").alias(f"text_{k}")) for k in "ab")
+    if pairs.count() <= PAIRS:
+        both = x.join(F.broadcast(pairs), "a").join(y.join(F.broadcast(pairs), "b"), ["a", "b"])
+    else:
+        both = pairs.join(x, "a").join(y, "b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -246,7 +255,7 @@ def open_pairs(hits: DataFrame, merged: DataFrame, reps: DataFrame, texts: DataF
     parts = labelled.groupBy("band", "no", "component").agg(F.count("*").alias("n"))
     open_ = scratch.write(parts.groupBy("band", "no").agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.max("n").alias("n_main"), F.sum("n").alias("n")).filter("n > n_main"))
     members = scratch.write(labelled.join(open_, ["band", "no"]).withColumn("is_main", F.col("component") == F.col("main")))
-    sets = scratch.write(small_sets(texts.join(members.select("id").distinct(), "id"), shingle_words))
+    sets = scratch.write(small_sets(texts.join(small(members, members.select("id").distinct(), IDS), "id"), shingle_words))
     blocks = lambda n: F.ceil(n / BLOCK).cast("int")
     rest, mains = blocks(F.col("n") - F.col("n_main")), blocks(F.col("n_main"))
     own = F.when(F.col("is_main"), rest + F.pmod(F.xxhash64("id"), mains)).otherwise(F.pmod(F.xxhash64("id"), rest)).cast("int")
@@ -302,8 +311,10 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80)
     buckets = bands.groupBy("band", "no").agg(F.min("rep").alias("leader"), F.count("*").alias("size")).filter("size > 1")
     hits = scratch.write(bands.join(buckets, ["band", "no"]).select("band", "no", F.col("rep").alias("id"), "leader", "size"))
 
-    shared = hits.select("id").distinct()
-    texts = scratch.write(docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(shared, "id").dropDuplicates(["id", "text"]))
+    shared = scratch.write(hits.select("id").distinct())
+    texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(small(shared, shared, IDS), "id")
+    repeated = not sketched.groupBy("doc_id").count().filter("doc_id is not null and count > 1").isEmpty()
+    texts = scratch.write(texts.dropDuplicates(["id", "text"]) if repeated else texts)
     tested = scratch.write(hits.filter("id != leader").select(F.col("leader").alias("a"), F.col("id").alias("b")).distinct())
     likely = scratch.write(plausible(tested, reps, percent))
     links = scratch.write(verified(likely, texts, shingle_words, percent))
