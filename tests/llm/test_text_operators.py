@@ -135,6 +135,14 @@ def test_near_duplicates_of_texts_beyond_the_small_sets(spark, monkeypatch):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in out} == brute_components(rows, 4, 80)
 
 
+def test_near_duplicates_without_broadcasts(spark, monkeypatch):
+    monkeypatch.setattr(near_dedup, "PAIRS", 0)
+    monkeypatch.setattr(near_dedup, "IDS", 0)
+    rows = near_copies(random.Random(6), 3, 20, 14)
+    out = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 4, 80).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in out} == brute_components(rows, 4, 80)
+
+
 def test_texts_without_words_are_not_linked(spark):
     df = spark.createDataFrame([(3, ""), (1, None), (2, " \t"), (4, "a b"), (5, "A B")], "doc_id long, text string")
     out = {r.doc_id: r.component_id for r in near_dedup.near_duplicates(df, 4, 80).collect()}
