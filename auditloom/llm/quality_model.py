@@ -26,9 +26,11 @@ LIMITS = {
     "repeats": (0.05, 0.25),  # words equal to the word before
     "separators": (0.02, 0.20),  # words without a letter or digit
     "exclaims": (0.05, 0.30),  # words that end in two exclamation marks
-    "fewness": (0.75, 0.90),  # 1 - distinct words / min(words, 400), for 40 words or more
+    "fewness": (0.75, 0.90),  # 1 - distinct words / words, the highest of all SPAN words in a row, for 40 words or more
 }
 NAMES = tuple(LIMITS)
+#: Words in a row among which distinct ones are counted, so that the share does not grow with the length of a text.
+SPAN = 400
 
 _CLASS = np.arange(256, dtype=np.uint8)
 _CLASS[97:123] = ord("a")
@@ -40,6 +42,23 @@ _SYMBOL = np.zeros(256, bool)
 _SYMBOL[list(b"#$%&*|<>{}[]\\^~=_")] = True
 
 
+def fewest(words: np.ndarray, span: int = SPAN) -> int:
+    """The least number of distinct values in any span of consecutive ones (in all, if there are no more)."""
+    n = len(words)
+    if n <= span:
+        return len(np.unique(words))
+    order = np.argsort(words, kind="stable")
+    before = np.full(n, -1)
+    again = words[order[1:]] == words[order[:-1]]
+    before[order[1:][again]] = order[:-1][again]
+    # A word is the first of its kind in the spans that start after its last occurrence and reach it.
+    at = np.arange(n)
+    first, last = np.maximum(before + 1, at - span + 1), np.minimum(at, n - span)
+    seen = first <= last
+    change = np.bincount(first[seen], minlength=n + 1) - np.bincount(last[seen] + 1, minlength=n + 1)
+    return int(np.cumsum(change)[: n - span + 1].min())
+
+
 def examine(text: str | None) -> tuple[int, np.ndarray, np.ndarray]:
     """Number of words, the labellers' shares (nan: not applicable) and the feature numbers of a text."""
     raw = (text or "").encode("utf-8", "replace")
@@ -56,7 +75,6 @@ def examine(text: str | None) -> tuple[int, np.ndarray, np.ndarray]:
     empty = np.count_nonzero(solid[words.ends] == solid[words.starts])
     bang = np.count_nonzero((data[words.ends - 1] == 33) & (data[np.maximum(words.ends - 2, 0)] == 33))
     same = np.concatenate([[False], own[1:] == own[:-1]])
-    distinct = len(np.unique(own[:400]))
     shares = np.array([
         np.count_nonzero(_SYMBOL[data]) / n,
         np.count_nonzero((solid[words.ends] > solid[words.starts]) & (signs[words.ends] > signs[words.starts])) / n,
@@ -64,7 +82,7 @@ def examine(text: str | None) -> tuple[int, np.ndarray, np.ndarray]:
         same.mean(),
         empty / n,
         bang / n,
-        1 - distinct / min(n, 400) if n >= 40 else np.nan,
+        1 - fewest(own) / min(n, SPAN) if n >= 40 else np.nan,
     ])
     # Word shapes: each run of one kind of character counts as one; how large a share of the words has the shape.
     starts_word = np.zeros(len(data) + 1, bool)

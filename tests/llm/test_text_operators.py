@@ -220,6 +220,23 @@ def test_quality_against_labels_that_it_never_saw(spark, small):
 # --- 3 ---------------------------------------------------------------------------------------------------
 
 
+def test_fewest_distinct_words_of_all_spans():
+    rng = np.random.default_rng(5)
+    for n, span, kinds in [(0, 4, 3), (1, 4, 3), (4, 4, 3), (5, 4, 2), (60, 7, 5), (200, 40, 30), (200, 40, 500)]:
+        own = rng.integers(0, kinds, n).astype(np.uint64)
+        assert quality_model.fewest(own, span) == min(len(set(own[i : i + span].tolist())) for i in range(max(1, n - span + 1)))
+
+
+@pytest.mark.parametrize("clean_words", [400, 650, 5_000])
+def test_a_looping_tail_is_seen_wherever_it_starts(clean_words):
+    fewness = quality_model.NAMES.index("fewness")
+    clean = " ".join(f"word{i}" for i in range(clean_words))
+    loop = " ".join(["read more about our offers on this page today"] * 60)
+    assert quality_model.votes(quality_model.examine(clean)[1])[fewness] == "g"
+    for text in (f"{clean} {loop}", f"{loop} {clean}", f"{clean} {loop} {clean}"):
+        assert quality_model.votes(quality_model.examine(text)[1])[fewness] == "b"
+
+
 def test_mixture_meets_its_targets(spark, small):
     docs = {r.doc_id: r for r in Q.read_table(spark, small, "documents").collect()}
     out = Q.op3_mixing(spark, small).collect()
