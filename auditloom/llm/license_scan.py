@@ -17,18 +17,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from auditloom.llm.common import Words, rolled
+from auditloom.llm.license_texts import TEXTS
 
-# Short license notices, by their common identifiers.
-TEMPLATES = {
-    "Apache-2.0": "Licensed under the Apache License, Version 2.0.",
-    "Apache-2.0-header": 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at',
-    "BSD": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:",
-    "CC-BY-NC-4.0": "Licensed under CC BY-NC 4.0.",
-    "GPL-3.0": "This work is licensed under the GNU General Public License, version 3.",
-    "GPL-header": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation",
-    "MIT": "Released under the MIT License.",
-    "MIT-permission": 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction',
-}
+#: License notices, short license texts and lines that refer to a license.
+TEMPLATES = TEXTS
 #: Words of a k-gram, k-grams of a winnowing window, words by which an alignment may leave its diagonal, least coverage.
 GRAM, WINDOW, BAND, LEAST = 3, 2, 4, 0.8
 
@@ -88,7 +80,9 @@ def align(template: np.ndarray, text: np.ndarray, diagonal: int, band: int) -> t
 def matches(text: str | None, index: Index, band: int = BAND, least: float = LEAST) -> list[tuple[str, float, int, int, int, int]]:
     """(template, coverage, first and last word, first and last character + 1) of each place where a template matches.
 
-    Where places of one template overlap, the one with the highest coverage is kept, the first of equal ones.
+    Where places of one template overlap, the one with the highest coverage is kept, the first of equal ones. A place is
+    left out if an overlapping place of another template is as good in coverage and words matched and better in
+    one of them: a notice of one license holds most words of those of its variants.
     """
     words, hashes = tokens(text)
     grams = rolled(hashes, index.gram)
@@ -106,6 +100,9 @@ def matches(text: str | None, index: Index, band: int = BAND, least: float = LEA
     for cover, first, last, t in sorted(found):
         if not any(o[3] == t and o[1] <= last and first <= o[2] for o in out):
             out.append((cover, first, last, t))
+    worth = lambda o: (-o[0], round(-o[0] * len(index.words[o[3]])))
+    beats = lambda p, o: worth(p) != worth(o) and all(x >= y for x, y in zip(worth(p), worth(o), strict=True))
+    out = [o for o in out if not any(p[1] <= o[2] and o[1] <= p[2] and beats(p, o) for p in out)]
     raw = (text or "").lower().encode("utf-8", "replace")
     char = lambda b: len(raw[:b].decode("utf-8", "replace"))
     return sorted((index.names[t], -c, f, e, char(words.starts[f]), char(words.ends[e])) for c, f, e, t in out)

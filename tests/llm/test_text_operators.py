@@ -415,6 +415,17 @@ def test_license_scan_finds_changed_notices(spark):
     assert 0.8 <= by[2][0].coverage < 1
 
 
+def test_whole_notices_are_compared_and_variants_told_apart():
+    index, names = license_scan.Index(license_scan.TEMPLATES), sorted(license_scan.TEMPLATES)
+    wanted = "MIT ISC 0BSD BSD-2-Clause BSD-3-Clause Apache-2.0 GPL-2.0 GPL-3.0 LGPL-2.1 LGPL-3.0 AGPL-3.0 MPL-2.0 Unlicense CC-BY-4.0 CC-BY-SA-4.0 CC-BY-NC-4.0".split()
+    assert {f"{n}-notice" for n in wanted} <= set(names)
+    for name in names:
+        found = license_scan.matches(f"Some words before. {license_scan.TEMPLATES[name]} And after.", index)
+        assert [(m[0], m[1], m[2]) for m in found] == [(name, 1.0, 3)], name
+    opening, other = license_scan.TEMPLATES["MIT-permission"], " ".join(f"other{i}" for i in range(140))
+    assert [m[0] for m in license_scan.matches(f"{opening} {other}", index)] == ["MIT-permission"]
+
+
 def test_banded_alignment_is_the_longest_common_subsequence():
     rng = np.random.default_rng(4)
     for _ in range(30):
