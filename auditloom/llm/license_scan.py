@@ -1,13 +1,14 @@
 """License scans: winnowed fingerprints pick candidates, banded alignment reports what matches.
 
-The templates' word k-grams are hashed and winnowed into an inverted index. A text's k-grams that hit the index vote
-for a template and a diagonal (place in the text minus place in the template). Around each diagonal with hits the
-template is aligned with the text's words within a band, and the share of its words that match is reported with the
-span of the text.
+The templates' word k-grams are hashed and winnowed into an inverted index, with k and window so small for each template
+that no match of the least coverage goes without a seed. A text's k-grams that hit the index give a template and a diagonal
+(place in the text minus place in the template). Around each diagonal whose band holds enough of the template's words it is
+aligned with the text's words within the band, and the share of its words that match is reported with the span of the text.
 """
 
 from __future__ import annotations
 
+import math
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -21,8 +22,8 @@ from auditloom.llm.license_texts import TEXTS
 
 #: License notices, short license texts and lines that refer to a license.
 TEMPLATES = TEXTS
-#: Words of a k-gram, k-grams of a winnowing window, words by which an alignment may leave its diagonal, least coverage.
-GRAM, WINDOW, BAND, LEAST = 3, 2, 4, 0.8
+#: Words by which an alignment may leave its diagonal, least coverage, and the most words of a k-gram.
+BAND, LEAST, GRAM = 4, 0.8, 3
 
 _WORDY = np.zeros(256, bool)
 _WORDY[48:58] = _WORDY[97:123] = _WORDY[128:] = True
@@ -45,18 +46,77 @@ def winnow(hashes: np.ndarray, window: int) -> list[tuple[int, int]]:
     return [(h, at) for at, h in picked.items()]
 
 
+def seed_size(length: int, need: int, band: int) -> tuple[int, int]:
+    """Words of a k-gram and k-grams of a window, such that any alignment of need of length words leaves a seed.
+
+    The words of a template that don't match and words put into the text break an alignment into runs. Words can be
+    put in at most at so many places as the band has offsets, and once more for each template word that is left out. A
+    run of gram + window - 1 words holds a k-gram that winnowing keeps, and one of the runs has at least the mean length.
+    """
+    missed = length - need
+    run = -(-need // (1 + min(max(need, 1) - 1, missed + 2 * band + missed)))
+    gram = max(1, min(GRAM, run))
+    return gram, run - gram + 1
+
+
 class Index:
-    """Templates by name, with an inverted index of their winnowed k-grams."""
+    """Templates by name, with an inverted index of their winnowed k-grams for each size of k-gram in use."""
 
-    def __init__(self, templates: dict[str, str], gram: int = GRAM, window: int = WINDOW):
-        self.names = sorted(templates)
-        self.gram = gram
+    def __init__(self, templates: dict[str, str], band: int = BAND, least: float = LEAST):
+        self.names, self.band = sorted(templates), band
         self.words = [tokens(templates[n])[1] for n in self.names]
-        self.places: dict[int, list[tuple[int, int]]] = defaultdict(list)
+        self.need = np.array([math.ceil(least * len(w)) for w in self.words])
+        self.vocabulary = np.unique(np.concatenate(self.words))
+        self.counts = np.stack([np.bincount(np.searchsorted(self.vocabulary, w), minlength=len(self.vocabulary)) for w in self.words])
+        self.places: dict[int, dict[int, list[tuple[int, int]]]] = defaultdict(lambda: defaultdict(list))
         for t, words in enumerate(self.words):
+            gram, window = seed_size(len(words), int(self.need[t]), band)
             for h, at in winnow(rolled(words, gram), window):
-                self.places[h].append((t, at))
-        self.keys = np.array(sorted(self.places), np.uint64)
+                self.places[gram][h].append((t, at))
+        self.places = {g: dict(p) for g, p in self.places.items()}
+
+    def diagonals(self, hashes: np.ndarray) -> list[tuple[int, int]]:
+        """(template, diagonal) of all bands around a seed in which enough of the template's words occur to reach LEAST."""
+        if not len(self.vocabulary):
+            return []
+        where = np.minimum(np.searchsorted(self.vocabulary, hashes), len(self.vocabulary) - 1)
+        known = np.flatnonzero(self.vocabulary[where] == hashes)
+        present = np.bincount(where[known], minlength=len(self.vocabulary)) > 0
+        likely = set(np.flatnonzero(self.counts @ present >= self.need).tolist())
+        if not likely:
+            return []
+        seeds = defaultdict(set)
+        for gram, places in self.places.items():
+            if len(hashes) < gram:
+                continue
+            grams = rolled(hashes, gram)
+            for i in known[known < len(grams)].tolist():
+                for t, place in places.get(int(grams[i]), ()):
+                    if t in likely:
+                        seeds[t].add(i - place)
+        out = []
+        for t in sorted(seeds):
+            enough = self._enough(t, hashes, known)
+            out += [(t, d) for d in sorted({d + k for d in seeds[t] for k in range(-self.band, self.band + 1)}) if d in enough]
+        return out
+
+    def _enough(self, t: int, hashes: np.ndarray, known: np.ndarray) -> set[int]:
+        """Diagonals within whose band the text has enough of a template's words."""
+        words, own = self.words[t], known[np.isin(hashes[known], self.words[t])]
+        order = np.argsort(words, kind="stable")
+        low, high = (np.searchsorted(words[order], hashes[own], side) for side in ("left", "right"))
+        n = high - low
+        place = order[np.repeat(low - np.cumsum(n) + n, n) + np.arange(n.sum())]
+        diagonal = np.repeat(own, n) - place
+        by = np.lexsort((diagonal, place))
+        place, diagonal = place[by], diagonal[by]
+        start, end = diagonal - self.band, diagonal + self.band + 1
+        # Each word of the template counts once on a diagonal, however often its band has it.
+        start[1:] = np.where(place[1:] == place[:-1], np.maximum(start[1:], end[:-1]), start[1:])
+        base = int(start.min())
+        size = int(end.max()) - base + 1
+        inside = np.cumsum(np.bincount(start - base, minlength=size) - np.bincount(end - base, minlength=size))
+        return set((np.flatnonzero(inside >= self.need[t]) + base).tolist())
 
 
 def align(template: np.ndarray, text: np.ndarray, diagonal: int, band: int) -> tuple[int, int, int]:
@@ -77,27 +137,21 @@ def align(template: np.ndarray, text: np.ndarray, diagonal: int, band: int) -> t
     return n, -first, last
 
 
-def matches(text: str | None, index: Index, band: int = BAND, least: float = LEAST) -> list[tuple[str, float, int, int, int, int]]:
+def matches(text: str | None, index: Index) -> list[tuple[str, float, int, int, int, int]]:
     """(template, coverage, first and last word, first and last character + 1) of each place where a template matches.
 
-    Where places of one template overlap, the one with the highest coverage is kept, the first of equal ones. A place is
+    Where places of one template overlap, the one with the highest coverage is kept, of equal ones the shortest. A place is
     left out if an overlapping place of another template is as good in coverage and words matched and better in
     one of them: a notice of one license holds most words of those of its variants.
     """
     words, hashes = tokens(text)
-    grams = rolled(hashes, index.gram)
-    at = np.flatnonzero(np.isin(grams, index.keys)) if len(grams) else []
-    diagonals = sorted({(t, int(i) - place) for i in at for t, place in index.places[int(grams[i])]})
-    found, last_tried = [], (-1, 0)
-    for t, d in diagonals:
-        if last_tried[0] == t and d - last_tried[1] <= band // 2:
-            continue  # within the band of the one before
-        last_tried = (t, d)
-        n, first, last = align(index.words[t], hashes, d, band)
-        if n >= least * len(index.words[t]):
-            found.append((-n / len(index.words[t]), first, last, t))
+    found = set()
+    for t, d in index.diagonals(hashes):
+        n, first, last = align(index.words[t], hashes, d, index.band)
+        if n >= index.need[t]:
+            found.add((-n / len(index.words[t]), first, last, t))
     out: list[tuple] = []
-    for cover, first, last, t in sorted(found):
+    for cover, first, last, t in sorted(found, key=lambda o: (o[0], o[2] - o[1], *o)):
         if not any(o[3] == t and o[1] <= last and first <= o[2] for o in out):
             out.append((cover, first, last, t))
     worth = lambda o: (-o[0], round(-o[0] * len(index.words[o[3]])))
@@ -116,11 +170,11 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, band: int = B
     nothing, a null or an empty text has no row. Repeated rows are each reported. The templates go to every task:
     they are given in the call and are few.
     """
-    index = Index(templates or TEMPLATES)
+    index = Index(templates or TEMPLATES, band, least)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            rows = [(None if pd.isna(i) else int(i), *m) for i, t in zip(b.doc_id, b.text, strict=True) for m in matches(t, index, band, least)]
+            rows = [(None if pd.isna(i) else int(i), *m) for i, t in zip(b.doc_id, b.text, strict=True) for m in matches(t, index)]
             yield pd.DataFrame(rows, columns=["doc_id", "license", "coverage", "first_word", "last_word", "first_char", "end_char"]).astype({"doc_id": "Int64"})
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInPandas(run, "doc_id long, license string, coverage double, first_word long, last_word long, first_char long, end_char long")

@@ -426,6 +426,28 @@ def test_whole_notices_are_compared_and_variants_told_apart():
     assert [m[0] for m in license_scan.matches(f"{opening} {other}", index)] == ["MIT-permission"]
 
 
+def test_no_match_of_the_least_coverage_is_missed():
+    """Each template with each single word changed, left out or doubled, and with several, against alignment on every diagonal."""
+    index = license_scan.Index(license_scan.TEMPLATES)
+    rng = random.Random(11)
+    for t, name in enumerate(index.names):
+        own = re.findall(r"[a-z0-9]+", license_scan.TEMPLATES[name].lower())
+        edits = [own[:i] + put + own[i + 1 :] for i in range(len(own)) for put in (["changed"], [], [own[i], "more"])]
+        edits += [[w for x in own for w in rng.choice([[x], [x], [x], [x], [x, "more"], ["changed"], []])] for _ in range(10)]
+        for k, edit in enumerate(edits):
+            text = tokens_of(["intro", "words", *edit, "end"])
+            around = {d: license_scan.align(index.words[t], text, d, license_scan.BAND) for d in (range(-7, 14) if len(own) < 40 else (2,) if k % 9 == 0 else ())}
+            exact = {d for d, (n, _, _) in around.items() if n >= license_scan.LEAST * len(own)}
+            assert exact <= {d for u, d in index.diagonals(text) if u == t}, (name, edit)
+    for text in ("Released under an MIT license", "Licensed under CC or NC 4.0 Licensed under CC or BY NC 4.0", "Released x under x the x MIT x License"):
+        assert license_scan.matches(text, index), text
+    assert [m[2:4] for m in license_scan.matches("Released to us. Released under the MIT License.", index)] == [(3, 7)]
+
+
+def tokens_of(words):
+    return license_scan.tokens(" ".join(words))[1]
+
+
 def test_banded_alignment_is_the_longest_common_subsequence():
     rng = np.random.default_rng(4)
     for _ in range(30):
