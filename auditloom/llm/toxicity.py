@@ -1,7 +1,8 @@
 """Toxicity by a classifier chain.
 
 Categories are predicted one after another by linear models over hashed words and word beginnings. Each model also
-gets the probabilities of the categories before it. In training those are out-of-fold predictions, so that a later
+gets the probabilities of the categories before it. The narrower categories are two kinds of toxic documents that the
+labelled rows show themselves: the features learned from the toxic label are split by the documents they share. In training those are out-of-fold predictions, so that a later
 model sees earlier probabilities as uncertain as they are on new documents.
 """
 
@@ -11,17 +12,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from auditloom.llm.common import Words
+from auditloom.llm.common import Scratch, Words
 from auditloom.llm.linear import SAMPLE, Linear, fit, gathered, hashed, sampled
 
-# Words that tell the narrower categories apart among documents labelled as toxic.
-INSULT = ("idiot", "moron", "stupid", "clown", "loser", "scum")
-CONTEMPT = ("trash", "worthless", "pathetic", "disgusting")
-
 FOLDS = 3
+#: Features that tell two kinds of toxic documents apart, at most: those of the largest weights.
+TELLING = 300
 
 _LETTERS = np.zeros(256, bool)
 _LETTERS[97:123] = True
@@ -64,6 +63,30 @@ def fit_chain(rows: list[np.ndarray], labels: np.ndarray, names: list[str], fold
     return Chain(names, models)
 
 
+def split(rows: list[np.ndarray], toxic: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Features that speak for toxic, in two groups of which each occurs in the same toxic rows (spectral co-clustering).
+
+    Both groups hold all of them if nothing tells two groups apart.
+    """
+    model = fit(rows, toxic)
+    telling = model.chosen[np.lexsort((model.chosen, -model.weights))[:TELLING]]
+    telling = np.sort(telling[np.isin(telling, model.chosen[model.weights > 0])])
+    if not len(telling):
+        return telling, telling
+    held = np.array([np.isin(telling, r) for r, y in zip(rows, toxic, strict=True) if y], float).reshape(-1, len(telling))
+    held = held[held.any(axis=1)]
+    if not held.size:
+        return telling, telling
+    scaled = held / np.sqrt(np.outer(held.sum(axis=1), np.maximum(held.sum(axis=0), 1)))
+    values, vectors = np.linalg.eigh(scaled.T @ scaled)
+    if len(values) < 2 or values[-2] < 1e-9:
+        return telling, telling
+    # Without the part that all features share, divided by their frequency; the first feature lies in the first group.
+    second = vectors[:, -2] / np.sqrt(np.maximum(held.sum(axis=0), 1))
+    first = second * (1 if second[0] >= 0 else -1) >= 0
+    return (telling[first], telling[~first]) if not first.all() else (telling, telling)
+
+
 def train(labelled: DataFrame, names: list[str]) -> Chain:
     """Fits a chain on the driver, on a bounded sample of labelled documents (see labelled).
 
@@ -119,13 +142,29 @@ def labelled(docs: DataFrame, labels: DataFrame, at_most: int = SAMPLE) -> DataF
     """doc_id, text, insult, contempt and toxic of about at_most labelled documents, drawn by a hash of doc_id.
 
     labels (doc_id, toxic) has one toxic column; a null says nothing, and 1 holds against 0 for the same doc_id. The
-    narrower categories are those toxic documents that hold one of the listed words; insult and contempt may overlap.
+    narrower categories are those toxic documents that hold a feature of one of two groups, found by split in the drawn
+    rows. They may overlap, and their names insult and contempt only tell them apart.
     The drawn labels are at_most ids and numbers, so they are broadcast, and no text of another document is moved.
     Of rows that repeat a doc_id, the one with the least text counts.
     """
     known = labels.select("doc_id", "toxic").dropna().groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
     drawn = sampled(known, known.count(), at_most, 2)
-    has = lambda words: F.lower("text").rlike(r"\b(" + "|".join(words) + r")\b").cast("int")
     rows = docs.select("doc_id", "text").join(F.broadcast(drawn), "doc_id").filter("text is not null")
     rows = rows.groupBy("doc_id").agg(F.min("text").alias("text"), F.first("toxic").alias("toxic"))
-    return rows.select("doc_id", "text", (F.col("toxic") * has(INSULT)).alias("insult"), (F.col("toxic") * has(CONTEMPT)).alias("contempt"), "toxic")
+    rows = Scratch(docs.sparkSession, "toxicity").write(rows)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield pd.DataFrame({"doc_id": b.doc_id, "found": [np.unique(features(t)) for t in b.text], "toxic": b.toxic})
+
+    found, table = gathered(rows.mapInPandas(run, "doc_id long, found array<int>, toxic int"), ["doc_id"])
+    groups = split(found, table["toxic"].to_numpy())
+
+    def has(group: np.ndarray) -> Column:
+        @F.pandas_udf("int")
+        def held(text: pd.Series) -> pd.Series:
+            return pd.Series([int(np.isin(features(t), group).any()) for t in text], dtype="int32")
+
+        return held("text")
+
+    return rows.select("doc_id", "text", *[(F.col("toxic") * has(g)).alias(n) for n, g in zip(("insult", "contempt"), groups, strict=True)], "toxic")

@@ -169,6 +169,22 @@ def test_toxicity_on_documents_that_it_was_not_fitted_on(spark, small):
     assert np.mean([r.toxic == r.toxic_pred for r in rows]) >= 0.95
 
 
+def test_categories_do_not_depend_on_listed_words(spark):
+    """Two kinds of toxic documents in an invented vocabulary: each category finds one of them, and no clean document."""
+    rng = random.Random(3)
+    kinds = (["zorbal", "quimp", "frandel"], ["veshtu", "okrim", "plundat"])
+    rows = []
+    for i in range(900):
+        own = rng.choices(["day", "house", "river", "stone", "letter", "window", "garden"], k=12)
+        rows.append((i, " ".join(own + (rng.sample(kinds[i % 3], 2) if i % 3 < 2 else []))))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 3 < 2)) for i in range(900)], "doc_id long, toxic int")
+    scores = toxicity.score(docs, toxicity.train(toxicity.labelled(docs, labels), CATEGORIES)).collect()
+    means = {(c, k): np.mean([r[f"p_{c}"] for r in scores if r.doc_id % 3 == k]) for c in CATEGORIES for k in range(3)}
+    assert abs(means["insult", 0] - means["insult", 1]) > 0.6 and abs(means["contempt", 0] - means["contempt", 1]) > 0.6
+    assert all(means[c, 2] < 0.3 for c in CATEGORIES) and min(means["toxic", 0], means["toxic", 1]) > 0.7
+
+
 def test_later_models_see_out_of_fold_probabilities():
     rng = np.random.default_rng(3)
     rows = [np.sort(rng.choice(50, 12, replace=False)) for _ in range(600)]
