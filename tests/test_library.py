@@ -84,6 +84,17 @@ def test_members_of_archives_stay_inside(spark):
     assert [bool(r.error) for r in rows if r.archive == "bad.zip"] == [True]
 
 
+def test_members_are_not_capped_and_refused_ones_are_listed(spark):
+    raw = io.BytesIO()
+    with zipfile.ZipFile(raw, "w") as z:
+        for i in range(50_001):
+            z.writestr(f"{i}", "")
+        z.writestr("../evil.txt", "no")
+    assert sum(why is None for *_, why in archives._members(raw.getvalue())) == 50_001
+    rows = archives.refused(spark.createDataFrame([("z.zip", raw.getvalue()), ("bad.zip", b"not an archive")], "path string, content binary")).collect()
+    assert [(r.archive, r.member, r.length, r.error) for r in rows] == [("z.zip", "../evil.txt", 2, "unsafe or deep path")]
+
+
 def test_files_are_found_below_a_folder(spark, tmp_path):
     (tmp_path / "sec" / "ACME").mkdir(parents=True)
     (tmp_path / "sec" / "ACME" / "x.xsd").write_text("<a/>")
