@@ -16,10 +16,12 @@ _local_root: list[str] = []
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where it is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where it is unset on a local master (tests)."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if root:
         return root.rstrip("/")
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     if not _local_root:
         _local_root.append(tempfile.mkdtemp(prefix="auditloom-"))
     return "file://" + _local_root[0]
@@ -29,12 +31,12 @@ class Scratch:
     """Written tables that cut the lineage of one operator call.
 
     ``write`` stores a frame as Parquet and returns a frame that reads it, so an executor that is lost later costs
-    a re-read and not a recomputation. ``drop`` removes a table that no later step reads.
+    a re-read and not a recomputation. ``drop`` removes tables that no later step reads, ``clear`` all but some.
     """
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.base = spark, f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
-        self.count = 0
+        self.count, self.paths = 0, []
 
     def write(self, df: DataFrame) -> DataFrame:
         self.count += 1
@@ -43,14 +45,21 @@ class Scratch:
         df.write.parquet(path)
         out = self.spark.read.schema(schema).parquet(path)
         out._scratch_path = path  # noqa: SLF001
+        self.paths.append(path)
         return out
 
+    def _delete(self, path: str) -> None:
+        at = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)  # noqa: SLF001
+        at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)  # noqa: SLF001
+        self.paths.remove(path)
+
     def drop(self, *frames: DataFrame) -> None:
-        jvm = self.spark.sparkContext._jvm  # noqa: SLF001
-        conf = self.spark.sparkContext._jsc.hadoopConfiguration()  # noqa: SLF001
         for df in frames:
-            path = jvm.org.apache.hadoop.fs.Path(df._scratch_path)  # noqa: SLF001
-            path.getFileSystem(conf).delete(path, True)
+            self._delete(df._scratch_path)  # noqa: SLF001
+
+    def clear(self, *kept: DataFrame) -> None:
+        for path in set(self.paths) - {df._scratch_path for df in kept}:  # noqa: SLF001
+            self._delete(path)
 
 
 def n_words(text: Column | str) -> Column:

@@ -93,7 +93,9 @@ def mix(docs: DataFrame, seed: int = 11, weights: tuple[int, ...] = WEIGHTS, mos
     same = lambda a, b: a["source"].eqNullSafe(b["source"])
     classes = sized.filter("size > 0").groupBy("source", "class").agg(F.sum("size").alias("words"))
     classes = classes.join(targets, same(classes, targets)).drop(targets["source"])
-    plan = scratch.write(_class_copies(classes, most).withColumn("whole", F.floor("copies")).withColumn("p", F.col("copies") - F.col("whole")))
+    nearest = F.round("copies")  # a whole number but for rounding is whole
+    snapped = F.when(F.abs(F.col("copies") - nearest) < 1e-9, nearest).otherwise(F.col("copies"))
+    plan = scratch.write(_class_copies(classes, most).withColumn("copies", snapped).withColumn("whole", F.floor("copies")).withColumn("p", F.col("copies") - F.col("whole")))
 
     odds = lambda p: p / (1 - p)
     q = odds(F.col("u")) / odds(F.col("p"))
@@ -108,18 +110,16 @@ def mix(docs: DataFrame, seed: int = 11, weights: tuple[int, ...] = WEIGHTS, mos
     buckets = ranked.filter("rank is not null").groupBy("source", "bucket").agg(F.sum("size").alias("words"))
     run = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     buckets = buckets.withColumn("before", F.coalesce(F.sum("words").over(run), F.lit(0)))
+    # The bucket in which a source's words reach what is left: none before the first if nothing is, the one after all if they don't.
     b, t = buckets.alias("b"), left.alias("t")
-    edge = b.join(t, F.col("b.source").eqNullSafe(F.col("t.source"))).filter("before < left and before + words >= left").select(F.col("b.source").alias("source"), F.col("bucket").alias("edge"), "before", "left")
-    # A source whose buckets never reach what is left (rounding) takes all of them.
+    reached = F.col("t.source").eqNullSafe(F.col("b.source")) & (F.col("before") < F.col("left")) & (F.col("before") + F.col("words") >= F.col("left"))
+    edge = t.join(b, reached, "left").select("t.source", F.when(F.col("left") <= 0, -1).otherwise(F.coalesce("bucket", F.lit(BUCKETS))).alias("edge"), "before", "left")
     r, e = ranked.alias("r"), edge.alias("e")
     placed = r.join(e, F.col("r.source").eqNullSafe(F.col("e.source")), "left").select("doc_id", "text_hash", "r.source", "size", "u", "whole", "rank", "bucket", "edge", "before", "left")
     inside = placed.filter("rank is not null and bucket = edge")
     upto = Window.partitionBy("source").orderBy("rank", "doc_id", "size", "u").rowsBetween(Window.unboundedPreceding, -1)
     inside = inside.withColumn("start", F.col("before") + F.coalesce(F.sum("size").over(upto), F.lit(0))).withColumn("extra", (F.col("start") + F.col("size") / 2 <= F.col("left")).cast("int"))
-    known = F.coalesce(F.col("edge"), F.lit(BUCKETS))
-    outside = placed.filter("rank is null or edge is null or bucket != edge").withColumn(
-        "extra", F.when(F.col("rank").isNotNull() & (F.col("bucket") < known), 1).otherwise(0)
-    )
+    outside = placed.filter("rank is null or edge is null or bucket != edge").withColumn("extra", F.coalesce((F.col("bucket") < F.col("edge")).cast("int"), F.lit(0)))
     cols = ["doc_id", "text_hash", "source", "size", (F.col("whole") + F.col("extra")).cast("int").alias("copies")]
     taken = outside.select(*cols).unionByName(inside.select(*cols))
     k, g = taken.alias("k"), targets.alias("g")

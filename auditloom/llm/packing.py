@@ -1,7 +1,7 @@
 """Packing tokenised texts into sequences by vector bin packing.
 
-A piece of a document needs tokens, one segment and loss-bearing tokens (every token but its first, which nothing
-before it predicts), and a sequence has limits on all three. Open sequences are filled by the dot-product heuristic:
+A piece of a document needs tokens, one segment and loss-bearing tokens (those after the prompt of instruction data, in a
+plain document all but the first, which nothing predicts), and a sequence has limits on all three. Open sequences are filled by the dot-product heuristic:
 of the waiting pieces that fit, the one whose needs, weighted by what the sequence has left, are largest. Pieces may
 be cut, so that a sequence is closed full.
 
@@ -21,7 +21,7 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -123,7 +123,7 @@ class Encoder:
 
 
 class Packer:
-    """Sequences of one task. A piece is (document, start, ids, tokens of its document)."""
+    """Sequences of one task. A piece is (document, start, ids, tokens of its document, place of its first loss-bearing id)."""
 
     def __init__(self, task: int, tokens: int = TOKENS, segments: int = SEGMENTS, loss: int = LOSS):
         self.most = np.array([tokens, segments, loss], float)
@@ -133,20 +133,27 @@ class Packer:
         self.sequence = task << 32
         self.out: list[tuple] = []
 
-    def add(self, doc: object, ids: np.ndarray) -> None:
-        full = min(self.tokens, self.loss + 1)
-        for start in range(0, len(ids), full):
-            piece = (doc, start, ids[start : start + full], len(ids))
-            if len(piece[2]) == self.tokens:
+    def add(self, doc: object, ids: np.ndarray, silent: int = 1) -> None:
+        """Ids of a document, of which the first silent ones bear no loss. It is cut into pieces that fit alone."""
+        start = 0
+        while start < len(ids):
+            end = min(len(ids), start + self.tokens, max(start, silent) + self.loss)
+            piece = (doc, start, ids[start:end], len(ids), silent)
+            if end - start == self.tokens:
                 self._close([piece])
             else:
                 self._wait(piece)
+            start = end
         while len(self.waiting) > WAITING:
             self._fill()
 
+    def _need(self, piece: tuple) -> list[int]:
+        _, start, ids, _, silent = piece
+        return [len(ids), 1, max(0, start + len(ids) - max(start, silent))]
+
     def _wait(self, piece: tuple) -> None:
         self.waiting.append(piece)
-        self.needs = np.vstack([self.needs, [[len(piece[2]), 1, len(piece[2]) - 1]]])
+        self.needs = np.vstack([self.needs, [self._need(piece)]])
 
     def _take(self, k: int) -> tuple:
         self.needs = np.delete(self.needs, k, axis=0)
@@ -154,7 +161,7 @@ class Packer:
 
     def _close(self, pieces: list[tuple]) -> None:
         offset = 0
-        for doc, start, ids, of in pieces:
+        for doc, start, ids, of, _ in pieces:
             self.out.append((doc, start, len(ids), zlib.crc32(ids.astype("<u4").tobytes()), of, self.sequence, offset))
             offset += len(ids)
         self.sequence += 1
@@ -163,25 +170,32 @@ class Packer:
         """Closes one sequence of that many tokens (all that a sequence holds, by default) from the waiting pieces."""
         left = np.array([tokens or self.tokens, self.segments, self.loss], float)
         pieces = []
-        while left.min() >= (0, 1, 0)[int(left.argmin())] and left[0] >= 1 and left[1] >= 1 and self.waiting:
-            room = int(min(left[0], left[2] + 1))
-            fits = self.needs[:, 0] <= room
+        while left[0] >= 1 and left[1] >= 1 and self.waiting:
+            fits = (self.needs <= left).all(axis=1)
             gain = (self.needs / self.most) @ (left / self.most)
-            if fits.any() and (left[1] > 1 or not (~fits).any()):
-                k = int(np.where(fits, gain, -1).argmax())
-                piece = self._take(k)
-            elif (~fits).any():
-                # Nothing that waits is small enough, or one segment is left: cut the piece with the largest gain.
-                k = int(np.where(fits, -1, gain).argmax())
-                doc, start, ids, of = self._take(k)
-                piece = (doc, start, ids[:room], of)
-                self._wait((doc, start + room, ids[room:], of))
+            if fits.any() and (left[1] > 1 or fits.all()):
+                piece = self._take(int(np.where(fits, gain, -1).argmax()))
+            else:
+                # Nothing that waits is small enough, or one segment is left: cut the piece of which most fits.
+                room = np.array([self._room(p, left) for p in self.waiting])
+                k = int(np.where(fits, -1, room + gain / (1 + gain.max())).argmax())
+                if room[k] and not fits[k]:
+                    doc, start, ids, of, silent = self._take(k)
+                    piece = (doc, start, ids[: room[k]], of, silent)
+                    self._wait((doc, start + room[k], ids[room[k] :], of, silent))
+                elif fits.any():
+                    piece = self._take(int(np.where(fits, gain, -1).argmax()))
+                else:
+                    break
             pieces.append(piece)
-            left -= [len(piece[2]), 1, len(piece[2]) - 1]
-            if room == len(piece[2]):
-                break
+            left -= self._need(piece)
         self._close(pieces)
 
+    def _room(self, piece: tuple, left: np.ndarray) -> int:
+        """How many of a piece's ids fit."""
+        _, start, ids, _, silent = piece
+        return int(min(len(ids), left[0], max(silent - start, 0) + left[2]))
+
     def finish(self) -> None:
         """Places what waits: full sequences while there is enough, then powers of two."""
         while (total := int(self.needs[:, 0].sum())) >= self.tokens and len(self.waiting):
@@ -191,30 +205,39 @@ class Packer:
             total = int(self.needs[:, 0].sum())
 
 
-def pack(docs: DataFrame, tokenizer: str, tokens: int = TOKENS, segments: int = SEGMENTS, loss: int = LOSS) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, tokens: int = TOKENS, segments: int = SEGMENTS, loss: int = LOSS, prompt: str | None = None) -> DataFrame:
     """Packs docs (doc_id, text): a row for each piece.
 
+    prompt: for instruction data, the column of what stands before the text. Its ids come before those of the text and
+    bear no loss; a null prompt is empty. Without one, all ids but the document's first bear loss.
+
     doc_id, start (its document's ids before it), length, ids_crc32 (of its ids as little-endian unsigned 32-bit
     numbers), doc_tokens (with the end id), sequence_id and offset in the sequence. A null text counts as empty; an
     empty one has the end id alone. Rows that repeat a doc_id are documents of their own. sequence_id is the task's
-    number times 2**32 plus a running number. A sequence keeps to all three limits. If segments run out while only
+    number times 2**32 plus a running number. A sequence keeps to all three limits. If segments or loss run out while only
     short pieces wait, it is closed early and is padded.
     tokenizer: path of a tokenizer file that every worker can read.
     """
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
+    columns = ["doc_id", "text", *([prompt] if prompt else [])]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(tokenizer)
         packer = Packer(TaskContext.get().partitionId() if TaskContext.get() else 0, tokens, segments, loss)
 
-        def ready() -> pd.DataFrame:
+        def ready() -> pa.RecordBatch:
             rows, packer.out = packer.out, []
-            return pd.DataFrame(rows, columns=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]).astype({"doc_id": "Int64"})
+            return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.int64()) for i in range(len(names))], names=names)
 
-        for b in batches:
-            for doc, text in zip(b.doc_id, b.text, strict=True):
-                packer.add(None if pd.isna(doc) else int(doc), np.append(encoder.encode(text or ""), np.uint32(END)))
+        for batch in batches:
+            for doc, text, *before in zip(*batch.columns, strict=True):  # one text at a time as Python's
+                first = encoder.encode(before[0].as_py() or "") if before else np.zeros(0, np.uint32)
+                ids = np.concatenate([first, encoder.encode(text.as_py() or ""), np.array([END], np.uint32)])
+                packer.add(doc.as_py(), ids, max(len(first), 1))
             yield ready()
         packer.finish()
         yield ready()
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInPandas(run, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
+    rows = docs.select(F.col("doc_id").cast("long"), *[F.col(c).alias(f"text{i}") for i, c in enumerate(columns[1:])])
+    return rows.mapInArrow(run, ", ".join(f"{n} long" for n in names))

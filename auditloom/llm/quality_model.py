@@ -12,7 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from auditloom.llm.common import Scratch, Words, mix64
@@ -134,24 +134,28 @@ class Scorer:
         return self.model.probability(found) if n else 1.0
 
 
-def _examined(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for b in batches:
-        rows = [examine(t) for t in b.text]
-        yield pd.DataFrame({"doc_id": b.doc_id.astype("Int64"), "n_words": [r[0] for r in rows], "votes": [votes(r[1]) for r in rows], "found": [r[2] for r in rows]})
+def examined(text: str) -> Column:
+    """What examine finds in the texts of a column, with the votes, as a struct."""
 
+    @F.pandas_udf("n_words long, votes string, found array<int>")
+    def run(texts: pd.Series) -> pd.DataFrame:
+        rows = [examine(t) for t in texts]
+        return pd.DataFrame({"n_words": [r[0] for r in rows], "votes": [votes(r[1]) for r in rows], "found": [r[2] for r in rows]})
 
-def learn(docs: DataFrame, at_most: int = SAMPLE) -> tuple[Scorer, DataFrame]:
-    """Learns from docs (doc_id, text); also returns what was seen of each row (doc_id, n_words, votes, found).
+    return run(text)
+
+
+def learn(seen: DataFrame, at_most: int = SAMPLE) -> Scorer:
+    """Learns from what was seen of each row (doc_id, n_words, votes, found).
 
     The label model's counts cover all rows. The scorer is fitted on about at_most rows, drawn by a hash of doc_id.
     """
-    seen = Scratch(docs.sparkSession, "quality").write(docs.select(F.col("doc_id").cast("long"), "text").mapInPandas(_examined, "doc_id long, n_words long, votes string, found array<int>"))
     # At most 3 ** len(NAMES) patterns.
     patterns = {r.votes: r.n for r in seen.filter("n_words > 0").groupBy("votes").agg(F.count("*").alias("n")).collect()}
     weak, _, _ = label_model(patterns)
     sample = sampled(seen.filter("n_words > 0"), sum(patterns.values()), at_most, 7).select("doc_id", "votes", "found")
     found, table = gathered(sample, ["doc_id", "votes"])
-    return Scorer(weak, fit(found, np.array([weak[v] for v in table["votes"].to_pylist()]))), seen
+    return Scorer(weak, fit(found, np.array([weak[v] for v in table["votes"].to_pylist()])))
 
 
 def quality(docs: DataFrame, at_most: int = SAMPLE, threshold: float = 0.5) -> DataFrame:
@@ -161,7 +165,9 @@ def quality(docs: DataFrame, at_most: int = SAMPLE, threshold: float = 0.5) -> D
     p_bad that of the linear scorer. kept: the text has a word and p_bad is under the threshold. A null, empty or
     wordless text has p_bad 1. An empty table gives an empty result.
     """
-    scorer, seen = learn(docs, at_most)
+    own = docs.select(F.col("doc_id").cast("long"), examined("text").alias("seen"))
+    seen = Scratch(docs.sparkSession, "quality").write(own).select("doc_id", "seen.*")
+    scorer = learn(seen, at_most)
 
     def scored(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -173,11 +179,13 @@ def quality(docs: DataFrame, at_most: int = SAMPLE, threshold: float = 0.5) -> D
 
 
 def good(docs: DataFrame, at_most: int = SAMPLE, threshold: float = 0.5) -> DataFrame:
-    """The rows of docs that quality keeps, whole. Their texts are looked at a second time and not shuffled."""
-    scorer, _ = learn(docs, at_most)
+    """The rows of docs that quality keeps, whole. Each text is looked at once: its features are written beside the row."""
+    seen = "_".join(["seen", *docs.columns])  # a name that no column has
+    whole = Scratch(docs.sparkSession, "quality").write(docs.withColumn(seen, examined("text")))
+    scorer = learn(whole.select(F.col("doc_id").cast("long"), f"{seen}.*"), at_most)
 
     @F.pandas_udf("boolean")
-    def keep(text: pd.Series) -> pd.Series:
-        return pd.Series([scorer.p_bad(n, found) < threshold for n, _, found in map(examine, text)], dtype=bool)
+    def keep(n_words: pd.Series, found: pd.Series) -> pd.Series:
+        return pd.Series([scorer.p_bad(n, np.asarray(x)) < threshold for n, x in zip(n_words, found, strict=True)], dtype=bool)
 
-    return docs.filter(keep("text"))
+    return whole.filter(keep(f"{seen}.n_words", f"{seen}.found")).select(*docs.columns)

@@ -135,12 +135,26 @@ def test_near_duplicates_of_texts_beyond_the_small_sets(spark, monkeypatch):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in out} == brute_components(rows, 4, 80)
 
 
-def test_near_duplicates_without_broadcasts(spark, monkeypatch):
-    monkeypatch.setattr(near_dedup, "PAIRS", 0)
-    monkeypatch.setattr(near_dedup, "IDS", 0)
-    rows = near_copies(random.Random(6), 3, 20, 14)
+def test_rows_that_repeat_a_doc_id_are_grouped_by_their_own_text(spark):
+    t = ["a b c d e f g h i j", "k l m n o p q r s t", "a b c d e f g h i j x", ""]
+    rows = [(3, t[0]), (5, t[1]), (5, t[0]), (5, t[2]), (5, t[3]), (3, t[3]), (None, t[0]), (5, t[1])]
     out = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 4, 80).collect()
-    assert {r.doc_id: (r.n_shingles, r.component_id) for r in out} == brute_components(rows, 4, 80)
+    assert sorted((r.doc_id or 0, r.n_shingles, r.component_id or 0) for r in out) == [(0, 7, 0), (3, 0, 3), (3, 7, 3), (5, 0, 5), (5, 7, 3), (5, 7, 5), (5, 7, 5), (5, 8, 3)]
+
+
+def test_one_text_of_each_group_stays_where_ids_repeat_or_lack(spark):
+    t = ["a b c d e f g h i j", "k l m n o p q r s t", "a b c d e f g h i j x", ""]
+    rows = [(3, t[0]), (5, t[1]), (5, t[0]), (7, t[2]), (8, t[3]), (9, None), (None, t[0]), (5, t[1]), (None, "u v w x y z"), (None, "u v w x y z")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumns({c: F.lit("x") for c in [*CLASHES, "node", "first_id", "_key"]})
+    out = near_dedup.without_near_copies(df, 4, 80)
+    assert out.columns == df.columns
+    assert sorted((r.doc_id or 0, r.text or "") for r in out.collect()) == [(0, "u v w x y z"), (3, t[0]), (5, t[1]), (8, ""), (9, "")]
+
+
+def test_one_of_different_near_copies_with_one_id_stays(spark):
+    rows = [(5, "a b c d e f g h i j"), (5, "a b c d e f g h i j x"), (6, "a b c d e f g h i j"), (2, "other words are here now")]
+    out = near_dedup.without_near_copies(spark.createDataFrame(rows, "doc_id long, text string"), 4, 80).collect()
+    assert sorted(r.doc_id for r in out) == [2, 5]
 
 
 def test_texts_without_words_are_not_linked(spark):
@@ -282,6 +296,61 @@ def test_mixture_meets_its_targets(spark, small):
     assert sorted(map(tuple, out)) == sorted(map(tuple, Q.op3_mixing(spark, small).collect()))
 
 
+def in_pareto_order(rows, target, most=3):
+    """Copies of the rows (doc_id, size, u) of one source, in Python: whole copies, then the lowest ranks while they fit."""
+    rows = [r for r in rows if r[1]]
+    words = Counter()
+    for _, size, _ in rows:
+        words[size.bit_length() - 1] += size
+    low, high = 0.0, 1e6
+    for _ in range(200):
+        level = (low + high) / 2
+        low, high = (level, high) if sum(min(most, level * 2 ** (-c / 8)) * w for c, w in words.items()) < target else (low, level)
+    expected = {c: min(most, high * 2 ** (-c / 8)) for c in words}
+    expected = {c: round(x) if abs(x - round(x)) < 1e-9 else x for c, x in expected.items()}
+    copies, ranked = {}, []
+    for i, size, u in rows:
+        whole, p = divmod(expected[size.bit_length() - 1], 1)
+        copies[i] = int(whole)
+        if p:
+            q = u / (1 - u) / (p / (1 - p))
+            ranked.append((q / (1 + q), i, size))
+    left, start = target - sum(copies[i] * size for i, size, _ in rows), 0
+    for _, i, size in sorted(ranked):
+        copies[i] += start + size / 2 <= left
+        start += size
+    return copies
+
+
+def test_documents_are_taken_in_pareto_order(spark, smallest):
+    docs = Q.read_table(spark, smallest, "documents")
+    u = {r.doc_id: r for r in docs.select("doc_id", "source", mixing.uniform(11, F.col("doc_id").cast("long"), F.col("text")).alias("u")).collect()}
+    out, by = Q.op3_mixing(spark, smallest).collect(), defaultdict(list)
+    for r in out:
+        by[u[r.doc_id].source].append(r)
+    for rows in by.values():
+        want = in_pareto_order([(r.doc_id, r.size, u[r.doc_id].u) for r in rows], rows[0].target)
+        assert {r.doc_id: r.copies for r in rows if r.size} == want
+
+
+@pytest.mark.parametrize("sizes", [[16] * 93 + [17] * 4, [16], [5] * 3, [1, 2, 4, 8, 16, 900], [7] * 1000])
+def test_a_source_that_is_its_own_target_is_taken_once(spark, sizes):
+    df = spark.createDataFrame([(i, " ".join(["w"] * n), "s") for i, n in enumerate(sizes)], "doc_id long, text string, source string")
+    out = mixing.mix(df).collect()
+    assert abs(sum(r.taken for r in out) - sum(sizes)) <= max(sizes) / 2
+    if len({n.bit_length() for n in sizes}) == 1:
+        assert all(r.copies == 1 for r in out)
+
+
+def test_sources_of_one_size_class_keep_to_their_targets(spark):
+    rng = random.Random(8)
+    rows = [(1000 * s + i, " ".join(["w"] * rng.choice([16, 17, 30])), f"s{s:02}") for s in range(40) for i in range(rng.randint(1, 60))]
+    by = defaultdict(list)
+    for r in mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect():
+        by[r.doc_id // 1000].append(r)
+    assert all(abs(sum(r.taken for r in own) - own[0].target) <= 15.001 for own in by.values())
+
+
 # --- 5 ---------------------------------------------------------------------------------------------------
 
 
@@ -414,6 +483,47 @@ def test_odd_texts_are_tokenised_whole(spark):
     check_packing(packing.pack(df, Q.tokenizer_path()).collect(), texts)
 
 
+def test_limits_on_segments_and_loss_bind(spark):
+    """Instruction data: prompts bear no loss. Each of the limits is met exactly by some sequence and passed by none."""
+    rng = random.Random(12)
+    say = lambda n: " ".join(rng.choices(["day", "house", "river", "stone"], k=n))
+    rows = [(i, rng.choice([None, "", say(rng.randint(1, 150))]), rng.choice([None, say(rng.randint(1, 90)), "x"])) for i in range(400)]
+    df = spark.createDataFrame(rows, "doc_id long, prompt string, text string").repartition(2)
+    tokenizer = packing._tokenizer(Q.tokenizer_path())
+    encode = lambda t: tokenizer.encode(t or "", add_special_tokens=False).ids
+    for tokens, segments, loss in ((256, 3, 60), (256, 64, 256), (128, 2, 128)):
+        pieces, sequences = defaultdict(list), defaultdict(list)
+        for r in packing.pack(df, Q.tokenizer_path(), tokens, segments, loss, "prompt").collect():
+            pieces[r.doc_id].append(r)
+            sequences[r.sequence_id].append(r)
+        silent = {}
+        for i, prompt, text in rows:
+            ids, at = np.array([*encode(prompt), *encode(text), 1], "<u4"), 0
+            silent[i] = max(len(encode(prompt)), 1)
+            for r in sorted(pieces[i], key=lambda r: r.start):
+                assert (r.start, r.doc_tokens, r.ids_crc32) == (at, len(ids), zlib.crc32(ids[at : at + r.length].tobytes()))
+                at += r.length
+            assert at == len(ids)
+        used = [(sum(r.length for r in x), len(x), sum(max(0, r.start + r.length - max(r.start, silent[r.doc_id])) for r in x)) for x in sequences.values()]
+        most = np.array(used).max(axis=0)
+        assert (most <= (tokens, segments, loss)).all() and most[0] == tokens
+        if segments < 64:
+            assert most[1] == segments
+        if loss < tokens:
+            assert most[2] == loss
+
+
+@pytest.mark.parametrize("columns", [[], ["start", "length", "text0", "doc_tokens", "offset"]])
+def test_packing_of_rows_without_ids_and_with_repeated_ones(spark, columns):
+    rows = [(1, "a b"), (1, "a b"), (1, "c"), (None, "d e f"), (None, None), (2, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumns({c: F.lit("x") for c in columns})
+    out = packing.pack(df, Q.tokenizer_path()).collect()
+    tokenizer = packing._tokenizer(Q.tokenizer_path())
+    size = lambda t: len(tokenizer.encode(t or "", add_special_tokens=False).ids) + 1
+    assert sum(r.length for r in out) == sum(size(t) for _, t in rows)
+    assert Counter(r.doc_id for r in out if r.start == 0) == Counter(i for i, _ in rows)
+
+
 # --- 10 --------------------------------------------------------------------------------------------------
 
 
