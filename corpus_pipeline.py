@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from auditloom.llm import mixing, near_dedup, packing, quality_model, toxicity
 from auditloom.llm.common import Scratch, read_table
@@ -24,9 +23,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies, on five words and a similarity of 0.8. Rows that repeat a kept doc_id stay."""
-    gone = near_dedup.near_duplicates(docs).filter("not kept").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
+    """One document of each group of near copies, on five words and a similarity of 0.8."""
+    return near_dedup.without_near_copies(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -52,10 +50,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Applies the stages to documents, each to what the one before has written."""
+    """Applies the stages to documents, each to what the one before has written; a stage's input goes when its result is there."""
     docs, scratch = read_table(spark, sf_dir, "documents"), Scratch(spark, "pipeline")
     for name, stage in STAGES:
         docs = stage(spark, docs, sf_dir)
         if name != STAGES[-1][0]:
             docs = scratch.write(docs)
+            scratch.clear(docs)
     return docs
