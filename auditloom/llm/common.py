@@ -67,7 +67,14 @@ def n_words(text: Column | str) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
+#: The setting that bounds Arrow batches, Spark's own value of it, and ours: a batch of texts lies in memory several times.
+BATCH = ("spark.sql.execution.arrow.maxBytesPerBatch", "67108864b", "8m")
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table of the folder. Arrow batches of the session get smaller, unless it has a size of its own."""
+    if spark.conf.get(BATCH[0]) == BATCH[1]:
+        spark.conf.set(BATCH[0], BATCH[2])
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
