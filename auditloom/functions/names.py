@@ -139,3 +139,100 @@ def dimension_signature(dims: Column) -> Column:
     """d=m pairs of a map in order of d, joined by commas; empty for none."""
     pairs = F.transform(F.array_sort(F.map_entries(dims)), lambda e: F.concat(e["key"], F.lit("="), e["value"]))
     return F.coalesce(F.array_join(pairs, ","), F.lit(""))
+
+
+# Spellings of forms in file and folder names, by form.
+FORM_SPELLINGS = {
+    "10-k": ("10-k", "10_k", "10k", "form10k", "form10-k", "form 10-k", "annual"),
+    "10-q": ("10-q", "10_q", "10q", "form10q", "form10-q", "form 10-q", "quarterly"),
+    "8-k": ("8-k", "8_k", "8k", "form8k", "form8-k", "form 8-k", "current"),
+    "20-f": ("20-f", "20_f", "20f", "form20f", "form20-f", "form 20-f"),
+    "40-f": ("40-f", "40_f", "40f", "form40f", "form40-f", "form 40-f"),
+    "6-k": ("6-k", "6_k", "6k", "form6k", "form6-k", "form 6-k"),
+    "afr": ("afr", "annual-financial-report", "annual_financial_report"),
+    "hyr": ("hyr", "half-year-report", "half_year_report", "interim"),
+    "annual": ("annual", "annual-report", "annual_report", "ar"),
+}
+# Parts of namespace addresses by taxonomy, in order of trial.
+TAXONOMY_PARTS = (
+    ("us-gaap", ("us-gaap", "fasb.org/us-gaap")), ("ifrs", ("ifrs", "iasb")), ("uk-gaap", ("uk-gaap", "frc.org.uk")), ("esef", ("esef", "esma")),
+    ("dei", ("dei", "xbrl.sec.gov/dei")), ("srt", ("srt", "fasb.org/srt")),
+)
+# Kinds of relationships and where their addresses lie.
+ARCROLES = {
+    "http://www.xbrl.org/2003/arcrole/": ("parent-child", "summation-item", "general-special", "essence-alias", "similar-tuples", "requires-element"),
+    "http://xbrl.org/int/dim/arcrole/": ("hypercube-dimension", "dimension-domain", "domain-member", "dimension-default", "all", "notAll"),
+}
+# Ends of statement names that do not tell statements apart.
+STATEMENT_ENDS = ("parenthetical", "details", "policies", "tables", "_parenthetical", "_details", "_policies", "_tables")
+
+
+def last_part_key(concept: Column) -> Column:
+    """The variant of concept_key that cuts after the last colon and then after the last underscore."""
+    return canonical(F.substring_index(F.substring_index(F.coalesce(concept, F.lit("")), ":", -1), "_", -1))
+
+
+def form_variations(form_: Column) -> Column:
+    """Spellings under which a form may be found, each once whatever the case: as given, with other signs, and known ones."""
+    low = F.lower(form_)
+    plain = F.regexp_replace(low, "_", "-")
+    known = F
+    for name, words in FORM_SPELLINGS.items():
+        known = known.when((low == name) | (plain == name) | low.isin(*words), F.array(*map(F.lit, words)))
+    known = known.otherwise(F.array().cast("array<string>"))
+    return F.array_distinct(F.concat(F.array(low, plain, F.translate(plain, "-", "_"), F.translate(plain, "-", "")), known))
+
+
+def local_names_match(a: Column, b: Column) -> Column:
+    return F.coalesce(qname(a)["local"] == qname(b)["local"], F.lit(False))
+
+
+def replace_namespace(c: Column, namespace: Column) -> Column:
+    return F.concat(F.lit("{"), namespace, F.lit("}"), qname(c)["local"])
+
+
+def namespace_uri(c: Column) -> Column:
+    """Without white space around and slashes at the end."""
+    return F.regexp_replace(strip(c), "/+$", "")
+
+
+def statement_name(path: Column) -> Column:
+    """A statement's name from its file: no folders, no extension, words with capitals."""
+    return F.initcap(F.translate(F.regexp_replace(F.substring_index(path, "/", -1), r"\.[^.]*$", ""), "_-", "  "))
+
+
+def statement_key(name: Column) -> Column:
+    """Lower case without signs, and without ends that do not tell statements apart, taken off in order."""
+    t = F.lower(name)
+    for end in STATEMENT_ENDS:
+        t = F.when(t.endswith(end), F.left(t, F.length(t) - len(end))).otherwise(t)
+    return F.translate(t, "_-", "")
+
+
+def taxonomy_of(uri: Column) -> Column:
+    """The taxonomy that an address speaks of, else its last segment."""
+    t, out = F.lower(uri), F
+    for name, parts in TAXONOMY_PARTS:
+        for p in parts:
+            out = out.when(t.contains(p), name)
+    return out.otherwise(last_segment(uri))
+
+
+def form_of_path(path: Column, otherwise: Column) -> Column:
+    """The folder after "filings" in a path, else another."""
+    parts = F.split(path, "/")
+    return F.coalesce(F.when(F.array_contains(parts, "filings"), F.get(parts, F.array_position(parts, "filings").cast("int"))), otherwise)
+
+
+def arcrole_name(uri: Column) -> Column:
+    """The name of a standard relationship; others stay as they are."""
+    known = [base + n for base, kinds in ARCROLES.items() for n in kinds]
+    return F.when(uri.isin(*known), F.substring_index(uri, "/", -1)).otherwise(uri)
+
+
+def arcrole_uri(name: Column) -> Column:
+    """The address of a standard relationship; null for other names."""
+    out = F
+    for base, kinds in ARCROLES.items():
+        out = out.when(name.isin(*kinds), F.concat(F.lit(base), name))
+    return out.otherwise(F.lit(None).cast("string"))

@@ -48,10 +48,14 @@ def round_half_even(v: Column, decimals: Column) -> Column:
 
 
 def equal_at_precision(a: Column, b: Column, da: Column, db: Column) -> Column:
-    """Equal when both are rounded to the lesser decimals. The allowance is half a unit of the last place, at most 0.5."""
+    """Equal when both are rounded to the lesser decimals, which one or both may lack.
+
+    The allowance is half a unit of the last place, at most 0.5. Values without decimals are not rounded and may differ
+    by 0.5.
+    """
     d = F.least(da, db)
     allowance = F.when(d >= 0, 0.5 * F.pow(F.lit(10.0), -d)).otherwise(0.5)
-    return F.when(d.isNull(), a == b).otherwise(F.abs(round_half_even(a, d) - round_half_even(b, d)) < allowance)
+    return F.when(d.isNull(), F.abs(a - b) <= 0.5).otherwise(F.abs(round_half_even(a, d) - round_half_even(b, d)) < allowance)
 
 
 def within_tolerance(expected: Column, actual: Column, d_expected: Column, d_actual: Column, absolute: float = ABSOLUTE, percent: float = PERCENT) -> Column:

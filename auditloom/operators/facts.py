@@ -11,6 +11,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from auditloom.functions import names
 from auditloom.functions import numbers as N
 from auditloom.functions import periods as P
 
@@ -34,7 +35,8 @@ def classify_duplicates(facts: DataFrame) -> DataFrame:
     A single entry has no type. Several are equal when each matches the first at the lesser decimals, or when their
     magnitudes spread by 2 % of the largest at most: complete if they state one precision at most, else consistent.
     Otherwise they are inconsistent and nothing is selected. Selected is the entry with the highest decimals, the
-    first of equal ones; unknown decimals rank last. One shuffle: the window and the aggregate share its keys.
+    first of equal ones; unknown decimals rank last. Precisions are told apart by the attribute as written where there is
+    a column decimals_raw (INF is one of its own), else by decimals. One shuffle: the window and the aggregate share its keys.
     """
     first = Window.partitionBy(*KEY).orderBy("fact_seq")
     seen = facts.withColumn("v0", F.first("value").over(first)).withColumn("d0", F.first("decimals").over(first))
@@ -44,7 +46,7 @@ def classify_duplicates(facts: DataFrame) -> DataFrame:
         F.count("*").alias("n_entries"),
         F.every(alike).alias("all_alike"),
         F.when(top == 0, F.lit(0.0)).otherwise((top - low) / top).alias("spread"),
-        F.count_distinct("decimals").alias("n_precisions"),
+        F.count_distinct("decimals_raw" if "decimals_raw" in facts.columns else "decimals").alias("n_precisions"),
         F.max_by("value", F.struct(F.coalesce("decimals", F.lit(-(2**31))), -F.col("fact_seq"))).alias("best"),
         F.min_by("unit", "fact_seq").alias("unit"),
         F.max("decimals").alias("decimals"),
@@ -54,17 +56,27 @@ def classify_duplicates(facts: DataFrame) -> DataFrame:
     return grouped.withColumn("duplicate_type", kind).withColumn("selected_value", F.when(F.coalesce(kind, F.lit("")) != "inconsistent", F.col("best"))).drop("best")
 
 
-def bind(resolved: DataFrame, arcs: DataFrame, parents: DataFrame) -> DataFrame:
+def by_concept_key(rows: DataFrame, *columns: str) -> DataFrame:
+    """rows with concepts in some columns as keys on which their spellings meet."""
+    return rows.withColumns({c: names.concept_key(F.col(c)) for c in columns or ("concept",)})
+
+
+def bind(resolved: DataFrame, arcs: DataFrame, parents: DataFrame, others: DataFrame | None = None) -> DataFrame:
     """Binds each parent that a context reports to the children of its calculation in the same context.
 
     resolved: classify_duplicates' result. arcs: role, parent, child, weight, arc_seq. parents: filing_id, context_id,
     role, parent with its value, unit, decimals and duplicate_type (value null: not reported).
     Adds status, n_children, n_found, expected (the weighted sum of the children found), child_decimals (the lowest).
-    Statuses, first that applies: no parent, inconsistent parent, the first child in arc order that is inconsistent
+    others: facts as fallback_children takes them. A child that the context lacks altogether then gets its value from the
+    first of them that fits; parents must hold period_key. Statuses, first that applies: no parent, inconsistent parent, the first child in arc order that is inconsistent
     or has another unit, no child found, under half of the children found, else bound.
     """
     kids = resolved.select("filing_id", "context_id", F.col("concept").alias("child"), F.col("selected_value").alias("child_value"), F.col("unit").alias("child_unit"), F.col("decimals").alias("d"), F.col("duplicate_type").alias("child_type"))
     each = parents.join(arcs, ["role", "parent"]).join(kids, ["filing_id", "context_id", "child"], "left")
+    if others is not None:
+        lacking = each.filter(F.col("child_value").isNull() & F.col("child_type").isNull()).select("filing_id", "context_id", "period_key", "unit", "child").distinct()
+        rescue = fallback_children(lacking, others).select("filing_id", "context_id", "child", F.col("child_value").alias("rescued"))
+        each = each.join(rescue, ["filing_id", "context_id", "child"], "left").withColumn("child_value", F.coalesce("child_value", F.when(F.col("child_type").isNull(), F.col("rescued"))))
     found = F.col("child_value").isNotNull() & (F.coalesce("child_type", F.lit("")) != "inconsistent")
     block = F.when(F.col("child_type") == "inconsistent", "skip_inconsistent_child").when(found & ~P.units_equal(F.col("unit"), F.col("child_unit")), "skip_unit_mismatch")
     grouped = each.groupBy("filing_id", "context_id", "role", "parent").agg(

@@ -76,10 +76,11 @@ def first_placements(walked: DataFrame) -> DataFrame:
 
 
 def depth(walked: DataFrame) -> DataFrame:
-    """Levels, concepts and roots of each tree."""
-    return walked.groupBy(*TREE).agg(F.max("level").alias("max_depth"), F.count_distinct("concept").alias("n_concepts"), F.count_if(F.col("level") == 0).alias("n_roots"))
+    """Levels (a root alone is one), concepts and roots of each tree."""
+    return walked.groupBy(*TREE).agg((F.max("level") + 1).alias("max_depth"), F.count_distinct("concept").alias("n_concepts"), F.count_if(F.col("level") == 0).alias("n_roots"))
 
 
-def path_to_root(walked: DataFrame) -> DataFrame:
-    """Each concept's path upward along its first place."""
-    return first_placements(walked).select(*TREE, "concept", F.reverse("path").alias("path"))
+def path_to_root(arcs: DataFrame, max_levels: int = MAX_LEVELS) -> DataFrame:
+    """Each concept's path upward: always to the parent that comes first in the input."""
+    first = arcs.groupBy(*TREE, "child").agg(F.min_by(F.struct(*[c for c in arcs.columns if c not in (*TREE, "child")]), "arc_seq").alias("a"))
+    return walk(first.select(*TREE, "child", "a.*"), max_levels).select(*TREE, "concept", F.reverse("path").alias("path"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from auditloom.functions import classify as C
@@ -71,5 +71,5 @@ def failed_first(checks: DataFrame, most: int = 10) -> DataFrame:
     """The gravest failed checks of each filing, in order of severity and place: a top-k report."""
     rank = F.when(F.col("severity") == "critical", 0).when(F.col("severity") == "warning", 1).otherwise(2)
     failed = checks.filter(~F.coalesce("passed", F.lit(False)))
-    kept = F.slice(F.array_sort(F.collect_list(F.struct(rank.alias("rank"), "check_seq", "check_name", "severity"))), 1, most)
-    return failed.groupBy("filing_id").agg(kept.alias("f")).select("filing_id", F.posexplode("f").alias("place", "f")).select("filing_id", (F.col("place") + 1).alias("place"), "f.check_name", "f.severity", "f.check_seq")
+    place = F.row_number().over(Window.partitionBy("filing_id").orderBy(rank, "check_seq", "check_name", "severity"))
+    return failed.withColumn("place", place).filter(F.col("place") <= most).select("filing_id", "place", "check_name", "severity", "check_seq")

@@ -1,6 +1,6 @@
 """Named queries over the driver tables, with equivalent DuckDB SQL."""
 
-from auditloom.plans import catalog, filings, scalars
+from auditloom.plans import catalog, filings, scalars, verification
 
-QUERIES = filings.QUERIES | catalog.QUERIES | scalars.QUERIES
-ORACLE = filings.ORACLE | catalog.ORACLE | scalars.ORACLE
+QUERIES = filings.QUERIES | catalog.QUERIES | scalars.QUERIES | verification.QUERIES
+ORACLE = filings.ORACLE | catalog.ORACLE | scalars.ORACLE | verification.ORACLE

@@ -163,7 +163,7 @@ def failed_top10(spark: SparkSession, d: str) -> DataFrame:
     return S.failed_first(_checks(spark, d).withColumnRenamed("context_id", "check_seq").distinct(), 10)
 
 
-@_r.add(f"WITH RECURSIVE {X.HIERARCHY_SQL} SELECT role, max(level) AS max_depth, count(DISTINCT concept) AS n_concepts, count(*) FILTER (level = 0) AS n_roots FROM walk GROUP BY role")
+@_r.add(f"WITH RECURSIVE {X.HIERARCHY_SQL} SELECT role, max(level) + 1 AS max_depth, count(DISTINCT concept) AS n_concepts, count(*) FILTER (level = 0) AS n_roots FROM walk GROUP BY role")
 def hierarchy_depth(spark: SparkSession, d: str) -> DataFrame:
     return H.depth(H.walk(X.hierarchy(spark, d), 4)).select("role", "max_depth", "n_concepts", "n_roots")
 
@@ -185,7 +185,7 @@ def hierarchy_paths(spark: SparkSession, d: str) -> DataFrame:
 
 @_r.add(f"WITH RECURSIVE {X.HIERARCHY_SQL} SELECT role, concept, array_to_string(list_reverse(string_split(path, '/')), '/') AS path FROM walk")
 def path_to_root(spark: SparkSession, d: str) -> DataFrame:
-    return H.path_to_root(H.walk(X.hierarchy(spark, d), 4)).select("role", "concept", F.array_join("path", "/").alias("path"))
+    return H.path_to_root(X.hierarchy(spark, d), 4).select("role", "concept", F.array_join("path", "/").alias("path"))
 
 
 @_r.add("""WITH RECURSIVE edges AS (SELECT n_nationkey AS parent, (n_nationkey * 7 + 3) % 25 AS child FROM nation),

@@ -37,7 +37,7 @@ ROUNDED = "CASE {d} WHEN -3 THEN round_even({v} / 1000, 0) * 1000 WHEN 0 THEN ro
 
 def equal_sql(a: str, b: str, d: str) -> str:
     gap = f"abs({ROUNDED.format(v=a, d=d)} - {ROUNDED.format(v=b, d=d)})"
-    return f"(CASE WHEN {d} IS NULL THEN {a} = {b} ELSE {gap} < CASE WHEN {d} >= 0 THEN 0.5 * pow(10.0, -{d}) ELSE 0.5 END END)"
+    return f"(CASE WHEN {d} IS NULL THEN abs({a} - {b}) <= 0.5 ELSE {gap} < CASE WHEN {d} >= 0 THEN 0.5 * pow(10.0, -{d}) ELSE 0.5 END END)"
 
 
 DUPLICATES_SQL = f"""{FACTS_SQL},
