@@ -406,6 +406,18 @@ def test_fingerprints_of_edited_texts(spark, small):
     assert all(out[i].group_id == least[fingerprints.canonical(t)] for i, t in rows)
 
 
+def test_copies_in_several_parts_are_one_group(spark, monkeypatch):
+    monkeypatch.setattr(fingerprints, "COPIES", 3)
+    monkeypatch.setattr(fingerprints, "ROWS", 10)
+    texts = ["Same  Text", "same text", " SAME TEXT ", "other", "", None]
+    rows = [(i, texts[i % 6]) for i in range(120)] + [(None, "same text"), (7, "same text"), (7, "other")]
+    out = fingerprints.exact_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    ids = defaultdict(list)
+    for i, t in rows:
+        ids[fingerprints.canonical(t)].append(i)
+    assert Counter((r.doc_id, r.group_id) for r in out) == Counter((i, min(x for x in of if x is not None)) for of in ids.values() for i in of)
+
+
 def test_canonical_forms():
     assert fingerprints.fingerprint("Straße\t A") == fingerprints.fingerprint("STRASSE a ") != fingerprints.fingerprint("strasse  b")
     assert fingerprints.canonical(None) == fingerprints.canonical(" \n") == b""
