@@ -78,11 +78,13 @@ def split(rows: list[np.ndarray], toxic: np.ndarray) -> tuple[np.ndarray, np.nda
     if not held.size:
         return telling, telling
     scaled = held / np.sqrt(np.outer(held.sum(axis=1), np.maximum(held.sum(axis=0), 1)))
-    values, vectors = np.linalg.eigh(scaled.T @ scaled)
-    if len(values) < 2 or values[-2] < 1e-9:
+    # The part that all features share is taken out first, since two groups without a common row are as strong as it is.
+    common = np.sqrt(held.sum(axis=0)) / np.sqrt(held.sum())
+    values, vectors = np.linalg.eigh(scaled.T @ scaled - np.outer(common, common))
+    if len(values) < 2 or values[-1] < 1e-9:
         return telling, telling
-    # Without the part that all features share, divided by their frequency; the first feature lies in the first group.
-    second = vectors[:, -2] / np.sqrt(np.maximum(held.sum(axis=0), 1))
+    # Divided by their frequency; the first feature lies in the first group.
+    second = vectors[:, -1] / np.sqrt(np.maximum(held.sum(axis=0), 1))
     first = second * (1 if second[0] >= 0 else -1) >= 0
     return (telling[first], telling[~first]) if not first.all() else (telling, telling)
 
