@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 from auditloom.functions import classify as C
 from auditloom.operators import audit as A
+from auditloom.operators import joins as J
 from auditloom.plans.proxies import table
 from auditloom.plans.registry import Registry
-from auditloom.sources import sinks
+from auditloom.sources import searches, sinks
 from auditloom.streaming import monitor as M
 
 _r = Registry()
@@ -169,20 +170,20 @@ def operation_metrics(spark: SparkSession, d: str) -> DataFrame:
 
 @_r.add("""SELECT a.o_orderkey AS instant_key, b.o_orderkey AS duration_key FROM orders a JOIN orders b ON a.o_custkey = b.o_custkey AND a.o_orderkey <> b.o_orderkey AND CAST(a.o_orderdate AS DATE) BETWEEN CAST(b.o_orderdate AS DATE) AND CAST(b.o_orderdate AS DATE) + 90""")
 def instant_in_duration(spark: SparkSession, d: str) -> DataFrame:
-    """Instants within durations of the same owner: a range join inside an equi-join."""
+    """Instants within durations of the same owner: a range join on buckets of days."""
     day = F.to_date("o_orderdate")
     a = table(spark, d, "orders").select("o_custkey", F.col("o_orderkey").alias("instant_key"), day.alias("instant"))
     b = table(spark, d, "orders").select("o_custkey", F.col("o_orderkey").alias("duration_key"), day.alias("start"), F.date_add(day, 90).alias("end"))
-    return a.join(b, "o_custkey").filter("instant_key != duration_key and instant between start and end").select("instant_key", "duration_key")
+    return J.within(a, b, ["o_custkey"], "instant", "start", "end", 90).filter("instant_key != duration_key").select("instant_key", "duration_key")
 
 
 @_r.add("""SELECT a.o_orderkey AS a_key, b.o_orderkey AS b_key FROM orders a JOIN orders b ON a.o_custkey = b.o_custkey AND a.o_orderkey < b.o_orderkey AND abs(date_diff('day', CAST(a.o_orderdate AS DATE), CAST(b.o_orderdate AS DATE))) <= 5""")
 def period_tolerance(spark: SparkSession, d: str) -> DataFrame:
-    """Pairs of dates of one owner that are at most five days apart: a band join."""
+    """Pairs of dates of one owner that are at most five days apart: a band join on buckets of days."""
     day = F.to_date("o_orderdate")
     a = table(spark, d, "orders").select("o_custkey", F.col("o_orderkey").alias("a_key"), day.alias("a_day"))
     b = a.select("o_custkey", F.col("a_key").alias("b_key"), F.col("a_day").alias("b_day"))
-    return a.join(b, "o_custkey").filter((F.col("a_key") < F.col("b_key")) & (F.abs(F.datediff("a_day", "b_day")) <= 5)).select("a_key", "b_key")
+    return J.near(a, b, ["o_custkey"], "a_day", "b_day", 5).filter("a_key < b_key").select("a_key", "b_key")
 
 
 @_r.add("""SELECT o_orderkey, CASE WHEN o_orderkey % 7 >= 6 THEN 'manual_intervention' WHEN o_orderstatus = 'P' THEN 'manual_intervention' WHEN o_orderstatus = 'F' AND o_custkey % 5 >= 3 THEN 'try_alternative_url' WHEN o_orderstatus = 'O' AND o_orderkey % 3 >= 2 THEN 'try_alternative_url' ELSE 'retry_same_url' END AS strategy FROM orders""")
@@ -193,10 +194,21 @@ def retry_strategy(spark: SparkSession, d: str) -> DataFrame:
 
 @_r.add("""SELECT p_partkey, first(s_suppkey ORDER BY s_suppkey) AS s_suppkey FROM part JOIN supplier ON contains(lower(s_name), right(CAST(p_partkey AS VARCHAR), 2)) AND p_size % 5 = s_nationkey % 5 GROUP BY p_partkey""")
 def substring_lookup(spark: SparkSession, d: str) -> DataFrame:
-    """The first supplier whose name holds a text, within the same class: an equi-join with a substring condition."""
-    p = table(spark, d, "part").select("p_partkey", F.right(F.col("p_partkey").cast("string"), F.lit(2)).alias("part_of"), (F.col("p_size") % 5).alias("c"))
-    s = table(spark, d, "supplier").select("s_suppkey", F.lower("s_name").alias("s_name"), (F.col("s_nationkey") % 5).alias("c"))
-    return p.join(s, "c").filter(F.col("s_name").contains(F.col("part_of"))).groupBy("p_partkey").agg(F.min("s_suppkey").alias("s_suppkey"))
+    """The first supplier whose name holds a text, within the same class: a join on pieces of names."""
+    p = table(spark, d, "part").select("p_partkey", F.right(F.col("p_partkey").cast("string"), F.lit(2)).alias("text"), (F.col("p_size") % 5).alias("c"))
+    s = table(spark, d, "supplier").select(F.col("s_suppkey").alias("id"), F.lower("s_name").alias("name"), (F.col("s_nationkey") % 5).alias("c"))
+    return p.join(J.first_holding(p, s, ["c"]), ["c", "text"]).select("p_partkey", F.col("id").alias("s_suppkey"))
+
+
+@_r.add("""SELECT c_custkey, coalesce((SELECT min(c.c_custkey) FROM customer c WHERE c.c_nationkey = w.c_nationkey AND c.c_name = w.t), (SELECT min(c.c_custkey) FROM customer c WHERE c.c_nationkey = w.c_nationkey AND contains(c.c_name, w.t))) AS first_key
+FROM (SELECT c_custkey, c_nationkey, CASE c_custkey % 3 WHEN 0 THEN c_name WHEN 1 THEN right(c_name, 4) ELSE right(c_name, 5) END AS t FROM customer) w""")
+def name_lookup(spark: SparkSession, d: str) -> DataFrame:
+    """Each customer's name, or an end of one, looked up in a nation: an equal name first, else the first that holds it."""
+    k, name = F.col("c_custkey"), F.col("c_name")
+    text = F.when(k % 3 == 0, name).when(k % 3 == 1, F.right(name, F.lit(4))).otherwise(F.right(name, F.lit(5)))
+    wanted = table(spark, d, "customer").select("c_custkey", "c_nationkey", text.alias("text"))
+    names = table(spark, d, "customer").select("c_nationkey", k.alias("id"), name.alias("name"))
+    return wanted.join(J.first_holding(wanted, names, ["c_nationkey"]), ["c_nationkey", "text"]).select("c_custkey", F.col("id").alias("first_key"))
 
 
 @_r.add("""WITH c AS (SELECT o_custkey AS filing_id, o_orderkey AS k, 40000 + o_orderkey % 30000 AS size, CASE o_orderpriority[1] WHEN '1' THEN 'balance' WHEN '2' THEN 'income' WHEN '3' THEN 'cashflow' WHEN '4' THEN 'equity' END AS slot FROM orders)
@@ -213,3 +225,26 @@ def slot_assign(spark: SparkSession, d: str) -> DataFrame:
 def running_counts(spark: SparkSession, d: str) -> DataFrame:
     g = table(spark, d, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.count("*").alias("n"))
     return g.withColumn("running", F.sum("n").over(Window.partitionBy("l_orderkey").orderBy("l_linenumber")))
+
+
+_KIND = "CASE p_partkey % 6 WHEN 0 THEN 'application/zip' WHEN 1 THEN 'Text/XML; charset=utf-8' WHEN 2 THEN 'text/html' WHEN 3 THEN 'application/octet-stream' WHEN 4 THEN '' END"
+_URL = "CASE p_size % 7 WHEN 0 THEN 'http://h/a.ZIP' WHEN 1 THEN 'http://h/a.xsd' WHEN 2 THEN 'http://h/a/' WHEN 3 THEN 'http://h/a.xhtml' WHEN 4 THEN 'http://h/a.tar.xz' WHEN 5 THEN 'http://h/a' END"
+
+
+@_r.add("""SELECT p_partkey, CASE WHEN p_partkey % 6 = 0 THEN 'archive' WHEN p_size % 7 = 3 THEN 'ixbrl' WHEN p_partkey % 6 = 1 THEN 'xsd' WHEN p_partkey % 6 = 2 THEN 'directory'
+WHEN p_size % 7 IN (0, 4) THEN 'archive' WHEN p_size % 7 = 1 THEN 'xsd' WHEN p_size % 7 = 2 THEN 'directory' ELSE 'unknown' END AS kind FROM part""")
+def distribution_types(spark: SparkSession, d: str) -> DataFrame:
+    """What an address serves, by its content type and its end."""
+    return table(spark, d, "part").select("p_partkey", searches.distribution_type(F.expr(_KIND), F.expr(_URL)).alias("kind"))
+
+
+@_r.add("""SELECT c_custkey AS cik, CAST(row_number() OVER (PARTITION BY c_custkey ORDER BY o_orderkey) - 1 AS INT) AS place, CAST(o_orderkey AS VARCHAR) AS accession, CAST(CAST(o_orderdate AS DATE) AS VARCHAR) AS filing_date, o_orderstatus AS form
+FROM customer JOIN orders ON c_custkey = o_custkey WHERE o_orderstatus = 'F' AND CAST(o_orderdate AS DATE) BETWEEN DATE '1996-01-01' AND DATE '1999-12-31' QUALIFY row_number() OVER (PARTITION BY c_custkey ORDER BY o_orderkey) <= 5""")
+def recent_filings(spark: SparkSession, d: str) -> DataFrame:
+    """The first five filings of a form and of some years from each entity's list of submissions."""
+    o = table(spark, d, "orders").select(F.col("o_custkey").alias("cik"), "o_orderkey", F.date_format("o_orderdate", "yyyy-MM-dd").alias("day"), "o_orderstatus")
+    rows = o.groupBy("cik").agg(F.sort_array(F.collect_list(F.struct("o_orderkey", "day", "o_orderstatus"))).alias("r"))
+    column = lambda n: F.transform("r", lambda x: x[n].cast("string"))
+    recent = F.struct(column("o_orderkey").alias("accessionNumber"), column("day").alias("filingDate"), column("o_orderstatus").alias("form"))
+    bodies = rows.select("cik", F.to_json(F.struct(F.struct(recent.alias("recent")).alias("filings"))).alias("body"))
+    return searches.recent_filings(bodies, "F", 5, "1996-01-01", "1999-12-31")
