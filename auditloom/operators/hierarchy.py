@@ -1,16 +1,17 @@
 """Hierarchies of presentation and calculation arcs.
 
 Arcs form many small trees (one for each filing and role). Traversal goes level by level over all trees at once: each
-level is one equi-join on (filing_id, role, concept), until no tree has a further level.
+level is one equi-join on (filing_id, role, concept) and is written, until no tree has a further level.
 """
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Levels after which a traversal stops; paths never visit a concept twice.
-MAX_LEVELS = 25
+from auditloom.operators.lineage import cut
 
 TREE = ("filing_id", "role")
 
@@ -27,40 +28,46 @@ def last_arcs(arcs: DataFrame) -> DataFrame:
     return arcs.withColumn("order", order).groupBy(*TREE, "parent", "child").agg(*[F.max_by(c, "arc_seq").alias(c) for c in ("order", "weight")], F.max("arc_seq").alias("arc_seq"))
 
 
-def walk(arcs: DataFrame, max_levels: int = MAX_LEVELS) -> DataFrame:
+def walk(arcs: DataFrame, max_levels: int | None = None) -> DataFrame:
     """All paths from roots down: tree, concept, parent, level, path (concepts), sort_key, weight (product of weights).
 
-    A path ends where it would meet a concept a second time. sort_key orders a tree in pre-order: siblings by order,
+    A path ends where it would meet a concept a second time, or after max_levels levels if they are given. sort_key orders a tree in pre-order: siblings by order,
     then by place in the input. A tree whose arcs form a mere cycle has no root and no path.
     """
-    down = last_arcs(arcs)
+    down = cut(last_arcs(arcs))
     step = F.struct(F.col("order").cast("double").alias("order"), F.col("arc_seq").cast("long").alias("seq"))
     level = roots(down).select(
         *TREE, "concept", F.lit(None).cast("string").alias("parent"), F.lit(0).alias("level"), F.array("concept").alias("path"),
         F.array(F.struct(F.lit(0.0).alias("order"), F.col("arc_seq").cast("long").alias("seq"))).alias("sort_key"), F.lit(1.0).alias("weight"),
     )
-    out = level
+    level = out = cut(level)
     arcs_from = down.select(*TREE, F.col("parent").alias("concept"), "child", step.alias("step"), F.col("weight").alias("w"))
-    for k in range(1, max_levels):
+    for k in itertools.count(1) if max_levels is None else range(1, max_levels):
         level = level.join(arcs_from, [*TREE, "concept"]).filter(~F.array_contains("path", F.col("child"))).select(
             *TREE, F.col("child").alias("concept"), F.col("concept").alias("parent"), F.lit(k).alias("level"), F.concat("path", F.array("child")).alias("path"),
             F.concat("sort_key", F.array("step")).alias("sort_key"), (F.col("weight") * F.coalesce("w", F.lit(1.0))).alias("weight"),
         )
+        level = cut(level)
+        if level.isEmpty():
+            break
         out = out.unionByName(level)
     return out
 
 
-def recursive_walk(spark, arcs: DataFrame, max_levels: int = MAX_LEVELS) -> DataFrame:
-    """Tree, concept, parent, level and path by one recursive query, which stops by itself at the deepest level."""
+def recursive_walk(spark, arcs: DataFrame) -> DataFrame:
+    """Tree, concept, parent, level and path by one recursive query, which stops by itself at the deepest level.
+
+    Beyond the session's limits of levels and rows of a recursion it fails; walk has none.
+    """
     arcs.createOrReplaceTempView("_walk_arcs")
     roots(arcs).createOrReplaceTempView("_walk_roots")
-    return spark.sql(f"""
+    return spark.sql("""
         WITH RECURSIVE walk(filing_id, role, concept, parent, level, path) AS (
           SELECT filing_id, role, concept, CAST(NULL AS STRING), 0, array(concept) FROM _walk_roots
           UNION ALL
           SELECT w.filing_id, w.role, a.child, w.concept, w.level + 1, concat(w.path, array(a.child))
           FROM walk w JOIN _walk_arcs a ON a.filing_id = w.filing_id AND a.role = w.role AND a.parent = w.concept
-          WHERE NOT array_contains(w.path, a.child) AND w.level + 1 < {max_levels}
+          WHERE NOT array_contains(w.path, a.child)
         )
         SELECT * FROM walk""")
 
@@ -80,7 +87,7 @@ def depth(walked: DataFrame) -> DataFrame:
     return walked.groupBy(*TREE).agg((F.max("level") + 1).alias("max_depth"), F.count_distinct("concept").alias("n_concepts"), F.count_if(F.col("level") == 0).alias("n_roots"))
 
 
-def path_to_root(arcs: DataFrame, max_levels: int = MAX_LEVELS) -> DataFrame:
+def path_to_root(arcs: DataFrame, max_levels: int | None = None) -> DataFrame:
     """Each concept's path upward: always to the parent that comes first in the input."""
     first = arcs.groupBy(*TREE, "child").agg(F.min_by(F.struct(*[c for c in arcs.columns if c not in (*TREE, "child")]), "arc_seq").alias("a"))
     return walk(first.select(*TREE, "child", "a.*"), max_levels).select(*TREE, "concept", F.reverse("path").alias("path"))

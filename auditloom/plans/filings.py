@@ -165,7 +165,7 @@ def failed_top10(spark: SparkSession, d: str) -> DataFrame:
 
 @_r.add(f"WITH RECURSIVE {X.HIERARCHY_SQL} SELECT role, max(level) + 1 AS max_depth, count(DISTINCT concept) AS n_concepts, count(*) FILTER (level = 0) AS n_roots FROM walk GROUP BY role")
 def hierarchy_depth(spark: SparkSession, d: str) -> DataFrame:
-    return H.depth(H.walk(X.hierarchy(spark, d), 4)).select("role", "max_depth", "n_concepts", "n_roots")
+    return H.depth(H.walk(X.hierarchy(spark, d))).select("role", "max_depth", "n_concepts", "n_roots")
 
 
 @_r.add(f"WITH RECURSIVE {X.HIERARCHY_SQL} SELECT role, concept, parent, level, row_number() OVER (PARTITION BY role ORDER BY sort_key) AS place FROM walk")
@@ -173,7 +173,7 @@ def hierarchy_dfs(spark: SparkSession, d: str) -> DataFrame:
     """Pre-order places of the concepts of each tree."""
     from pyspark.sql import Window
 
-    w = H.first_placements(H.walk(X.hierarchy(spark, d), 4))
+    w = H.first_placements(H.walk(X.hierarchy(spark, d)))
     return w.select("role", "concept", "parent", "level", F.row_number().over(Window.partitionBy("role").orderBy("sort_key")).alias("place"))
 
 
@@ -185,7 +185,7 @@ def hierarchy_paths(spark: SparkSession, d: str) -> DataFrame:
 
 @_r.add(f"WITH RECURSIVE {X.HIERARCHY_SQL} SELECT role, concept, array_to_string(list_reverse(string_split(path, '/')), '/') AS path FROM walk")
 def path_to_root(spark: SparkSession, d: str) -> DataFrame:
-    return H.path_to_root(X.hierarchy(spark, d), 4).select("role", "concept", F.array_join("path", "/").alias("path"))
+    return H.path_to_root(X.hierarchy(spark, d)).select("role", "concept", F.array_join("path", "/").alias("path"))
 
 
 @_r.add("""WITH RECURSIVE edges AS (SELECT n_nationkey AS parent, (n_nationkey * 7 + 3) % 25 AS child FROM nation),
@@ -209,7 +209,7 @@ FROM walk w LEFT JOIN orders ON 'customer' || o_custkey = w.concept WHERE w.leve
 def statement_facts(spark: SparkSession, d: str) -> DataFrame:
     """Facts placed on the nodes of a hierarchy."""
     o = X.table(spark, d, "orders").select(F.concat(F.lit("customer"), "o_custkey").alias("concept"), "o_orderkey", "o_totalprice")
-    w = H.walk(X.hierarchy(spark, d), 4).filter("level = 2")
+    w = H.walk(X.hierarchy(spark, d)).filter("level = 2")
     total = F.coalesce(F.sum(F.col("o_totalprice").cast("decimal(18,2)")).cast("double"), F.lit(0.0))
     return w.join(o, "concept", "left").groupBy("role", "concept", "level").agg(F.count("o_orderkey").alias("n_facts"), total.alias("total"))
 

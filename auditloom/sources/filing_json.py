@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from auditloom.functions.periods import date_or_null
+from auditloom.operators.lineage import cut
 
 _FACT = "concept string, name string, qname string, value string, fact_value string, context_ref string, contextRef string, context_id string, unit_ref string, unit string, decimals string, precision string, id string, footnote string"
 _CONTEXT = "id string, entity struct<identifier string>, period struct<type string, instant string, start_date string, end_date string>, segment map<string,string>, scenario map<string,string>"
@@ -97,16 +98,15 @@ def statements(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def json_paths(rows: DataFrame, column: str, levels: int = 4) -> DataFrame:
-    """Paths that occur in a JSON text column down to some levels, with their kinds and counts. Arrays by their first element."""
-    level = rows.select(F.lit("$").alias("path"), F.try_parse_json(column).alias("v"))
+def json_paths(rows: DataFrame, column: str) -> DataFrame:
+    """All paths that occur in a JSON text column, with their kinds and counts. Arrays by their first element."""
+    level = cut(rows.select(F.lit("$").alias("path"), F.try_parse_json(column).alias("v")))
     out = None
-    for k in range(levels):
+    while out is None or not level.isEmpty():
         kind = F.schema_of_variant("v")
         here = level.filter("v is not null").select("path", F.when(kind.startswith("OBJECT"), "object").when(kind.startswith("ARRAY"), "array").otherwise(F.lower(kind)).alias("kind"))
         out = here if out is None else out.unionByName(here)
-        if k + 1 < levels:
-            inner = level.filter(F.schema_of_variant("v").rlike("^(OBJECT|ARRAY)")).lateralJoin(level.sparkSession.tvf.variant_explode(F.col("v").outer()))
-            inner = inner.filter("pos = 0 or key is not null").select(F.concat("path", F.coalesce(F.concat(F.lit("."), F.col("key")), F.lit("[0]"))).alias("path"), F.col("value").alias("v"))
-            level = inner
+        inner = level.filter(F.schema_of_variant("v").rlike("^(OBJECT|ARRAY)")).lateralJoin(level.sparkSession.tvf.variant_explode(F.col("v").outer()))
+        inner = inner.filter("pos = 0 or key is not null").select(F.concat("path", F.coalesce(F.concat(F.lit("."), F.col("key")), F.lit("[0]"))).alias("path"), F.col("value").alias("v"))
+        level = cut(inner)
     return out.groupBy("path", "kind").agg(F.count("*").alias("n"))

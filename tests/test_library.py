@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from auditloom.functions import names, numbers, periods, urls
 from auditloom.operators import audit, hierarchy
-from auditloom.sources import archives, files, linkbase_xml, sinks
+from auditloom.sources import archives, filing_json, files, linkbase_xml, sinks
 from auditloom.streaming import monitor
 
 
@@ -67,6 +67,20 @@ def test_calculation_arcs_are_read(spark, tmp_path):
     assert "Assets" in rows[0].parent and "Cash" in rows[0].child and rows[0].filing_id.endswith("/f1")
 
 
+def test_walks_follow_chains_of_any_length(spark):
+    arcs = spark.createDataFrame([("f", "r", f"c{i}", f"c{i + 1}", 1.0, -1.0, i) for i in range(30)] + [("f", "r", "c30", "c5", 1.0, 1.0, 99)], "filing_id string, role string, parent string, child string, `order` double, weight double, arc_seq long")
+    rows = {r.concept: r for r in hierarchy.walk(arcs).collect()}
+    assert len(rows) == 31 and rows["c30"].level == 30 and rows["c30"].weight == 1.0 and rows["c29"].weight == -1.0
+    assert {r.level for r in hierarchy.walk(arcs, 3).collect()} == {0, 1, 2}
+    assert hierarchy.walk(arcs.limit(0)).count() == 0
+
+
+def test_json_paths_of_any_depth(spark):
+    deep = "[" * 9 + '{"a": 1}' + "]" * 9
+    rows = filing_json.json_paths(spark.createDataFrame([(deep,), ("no json",), (None,)], "j string"), "j").collect()
+    assert {(r.path, r.kind, r.n) for r in rows} == {("$" + "[0]" * k, "array", 1) for k in range(9)} | {("$" + "[0]" * 9, "object", 1), ("$" + "[0]" * 9 + ".a", "bigint", 1)}
+
+
 def test_inline_signs(spark):
     html = '<p><ix:nonFraction name="us-gaap:Loss" contextRef="c-1" sign="-">5</ix:nonFraction><ix:nonFraction name="us-gaap:Cash" contextRef="c-1">7</ix:nonFraction></p>'
     rows = linkbase_xml.inline_signs(spark.createDataFrame([("f", html)], "filing_id string, html string")).collect()
