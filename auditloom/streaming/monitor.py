@@ -9,22 +9,41 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 
+def _exists(spark: SparkSession, path: str) -> bool:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)  # noqa: SLF001
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)  # noqa: SLF001
+
+
+def process_batch(batch: DataFrame, batch_id: int, process: Callable[[DataFrame], DataFrame], done_path: str, failed_path: str, key: str = "filing_id") -> None:
+    """Processes the filings of a batch and those that failed in earlier ones, but for those that are done.
+
+    Both tables have a folder for each batch, which a repeated batch replaces, and a batch looks at earlier folders
+    alone. So a batch that is repeated after a failure halfway leaves the same tables as one that ran once.
+    """
+    spark = batch.sparkSession
+    earlier = lambda path: spark.read.parquet(path).filter(F.col("batch") < batch_id)
+    new = batch
+    if _exists(spark, failed_path):
+        again = earlier(failed_path).join(batch.select(key), key, "left_anti")  # what arrives anew counts before what failed
+        new = new.unionByName(again.select(*batch.columns).dropDuplicates([key]))
+    new = new.dropDuplicates([key])
+    if _exists(spark, done_path):
+        new = new.join(earlier(done_path).select(key), key, "left_anti")
+    own = f"{done_path}/batch={batch_id}"
+    process(new).write.mode("overwrite").parquet(own)
+    new.join(spark.read.parquet(own).select(key), key, "left_anti").write.mode("overwrite").parquet(f"{failed_path}/batch={batch_id}")
+
+
 def monitor(arrivals: DataFrame, process: Callable[[DataFrame], DataFrame], done_path: str, checkpoint: str, key: str = "filing_id", available_now: bool = True) -> StreamingQuery:
-    """Processes each new filing once.
+    """Processes each new filing until it succeeds, and then no more.
 
-    process gets the filings of a trigger that are not done yet and returns those that succeeded, with their key.
-    Only these are written to done_path; failed ones are tried again when they arrive again. The done table is read
-    by an anti-join on the key, and a batch that is repeated after a failure finds its own rows there.
+    process gets the filings of a trigger that are not done yet, with those that failed before, and returns those that
+    succeeded, with their key. These are written to done_path and the others to a folder of the same name that ends in
+    _failed, from where each later batch takes them again. See process_batch.
     """
 
     def each(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        new = batch.dropDuplicates([key])
-        jvm = spark.sparkContext._jvm  # noqa: SLF001
-        there = jvm.org.apache.hadoop.fs.Path(done_path)
-        if there.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(there):  # noqa: SLF001
-            new = new.join(spark.read.parquet(done_path).select(key), key, "left_anti")
-        process(new).write.mode("append").parquet(done_path)
+        process_batch(batch, batch_id, process, done_path, done_path.rstrip("/") + "_failed", key)
 
     writer = arrivals.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="60 seconds")).start()

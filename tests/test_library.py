@@ -138,3 +138,21 @@ def test_stream_counts_equal_those_of_the_table(spark, smallest):
     q = monitor.windowed_counts(stream, "ts", ["event_type"]).writeStream.outputMode("complete").format("memory").queryName("counts").trigger(availableNow=True).start()
     q.awaitTermination()
     assert {(r.window.start, r.event_type): r.n for r in spark.table("counts").collect()} == want
+
+
+def test_failed_filings_come_back_and_a_repeated_batch_changes_nothing(spark, tmp_path):
+    done, failed = f"file://{tmp_path}/done", f"file://{tmp_path}/failed"
+    ready = set()
+    batch = lambda *ids: spark.createDataFrame([(i,) for i in ids], "filing_id string")
+    run = lambda rows, n: monitor.process_batch(rows, n, lambda new: new.filter(F.col("filing_id").isin(*ready)), done, failed)
+    show = lambda path: sorted((r.filing_id, r.batch) for r in spark.read.parquet(path).collect())
+    ready.add("a")
+    for _ in range(2):
+        run(batch("a", "b", "a"), 0)
+        assert (show(done), show(failed)) == ([("a", 0)], [("b", 0)])
+    ready.update("bc")
+    for _ in range(2):
+        run(batch("a", "c"), 1)
+        assert (show(done), show(failed)) == ([("a", 0), ("b", 1), ("c", 1)], [("b", 0)])
+    run(batch("b"), 2)
+    assert show(done) == [("a", 0), ("b", 1), ("c", 1)]
