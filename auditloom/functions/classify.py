@@ -27,9 +27,12 @@ MIN_FACTS, MAX_DEPTH, MIN_ROOTS, CORE_SCORE = 15, 6, 1, 2
 # Parts of file names that are not main statements, and limits of main ones.
 NOT_MAIN = ("parenthetical", "details", "policies", "tables", "disclosure", "schedule", "coverpage", "cover", "audit", "insider", "pvp", "err", "award", "trading")
 MAIN_BYTES, MAIN_FACTS = 40_000, 50
-# Failures of downloads by what they call for.
-URL_FAILURES, TEMPORARY_FAILURES, EXTRACTION_FAILURES, SYSTEM_FAILURES = ("not_found", "invalid_url", "forbidden"), ("timeout", "connection_error", "server_error"), ("extraction_failed", "corrupt_archive"), ("disk_full", "permission_denied")
-MAX_DOWNLOADS, MAX_EXTRACTIONS, MAX_ATTEMPTS = 3, 3, 6
+# Failures of downloads by what they call for, and attempts after which another address is tried.
+URL_FAILURES = ("invalid_url", "url_404", "url_403", "dns_error")
+TEMPORARY_FAILURES = ("network_error", "timeout", "incomplete_download")
+EXTRACTION_FAILURES = ("corrupted_zip", "invalid_archive")
+SYSTEM_FAILURES = ("permission_denied", "disk_full", "extraction_error")
+MAX_DOWNLOADS, MAX_EXTRACTIONS = 3, 2
 
 
 def first_part(text: Column, table: tuple, otherwise: str) -> Column:
@@ -70,17 +73,11 @@ def slot_of(name: Column) -> Column:
     )
 
 
-def retry_strategy(reason: Column, downloads: Column, extractions: Column, attempts: Column) -> Column:
-    """What to do after a failed download. After MAX_ATTEMPTS in all, or where the system is at fault, a person must act."""
-    tired = downloads >= MAX_DOWNLOADS
-    return (
-        F.when(attempts >= MAX_ATTEMPTS, "manual_intervention")
-        .when(reason.isin(*SYSTEM_FAILURES), "manual_intervention")
-        .when(reason.isin(*URL_FAILURES) & tired, "try_alternative_url")
-        .when(reason.isin(*TEMPORARY_FAILURES) & tired, "try_alternative_url")
-        .when(reason.isin(*EXTRACTION_FAILURES) & (extractions >= 2), "try_alternative_url")
-        .otherwise("retry_same_url")
-    )
+def retry_strategy(reason: Column, downloads: Column, extractions: Column) -> Column:
+    """What to do after a failed download. Where the system is at fault, a person must act."""
+    downloading = reason.isin(*URL_FAILURES, *TEMPORARY_FAILURES) & (downloads >= MAX_DOWNLOADS)
+    extracting = reason.isin(*EXTRACTION_FAILURES) & (extractions >= MAX_EXTRACTIONS)
+    return F.when(reason.isin(*SYSTEM_FAILURES), "manual_intervention").when(downloading | extracting, "try_alternative_url").otherwise("retry_same_url")
 
 
 def quality_level(score: Column, criticals: Column, horizontal: Column, vertical: Column) -> Column:

@@ -205,7 +205,7 @@ def statement_key(name: Column) -> Column:
     """Lower case without signs, and without ends that do not tell statements apart, taken off in order."""
     t = F.lower(name)
     for end in STATEMENT_ENDS:
-        t = F.when(t.endswith(end), F.left(t, F.length(t) - len(end))).otherwise(t)
+        t = F.regexp_replace(t, end + r"\z", "")
     return F.translate(t, "_-", "")
 
 

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -15,6 +13,8 @@ NIL = ("", "-", "--", "---", "nil", "N/A", "n/a", "None", "none", "—", "–")
 ABSOLUTE, PERCENT, SMALL, OVERSHOOT, DUPLICATE_SPREAD = 1.0, 0.01, 1000.0, 0.05, 0.02
 #: Decimals that round_half_even tells apart; others are exact.
 LOWEST, HIGHEST = -12, 12
+#: Relative error of a scaled double, and the size from which doubles have no fraction.
+ERROR, WHOLE = 2.0**-52, 2.0**52
 
 
 def is_nil(c: Column) -> Column:
@@ -41,10 +41,15 @@ def parse_decimals(c: Column) -> Column:
 def round_half_even(v: Column, decimals: Column) -> Column:
     """v rounded half-even to decimals (negative: tens, hundreds, ...); exact where decimals is null or beyond range.
 
-    bround takes a literal scale only, hence a branch for each.
+    The number is scaled by a power of ten and rounded to a whole one. A number that lies halfway as printed may miss the
+    half by an error of its binary form, hence the nearest half is taken where it is as near as that.
     """
-    rounded = reduce(lambda acc, d: acc.when(decimals == d, F.bround(v, d)), range(LOWEST + 1, HIGHEST + 1), F.when(decimals == LOWEST, F.bround(v, LOWEST)))
-    return rounded.otherwise(v) + F.lit(0.0)
+    powers = [10.0**k for k in range(max(-LOWEST, HIGHEST) + 1)]
+    of = lambda sign: F.get(F.array(*[F.lit(powers[max(sign * d, 0)]) for d in range(LOWEST, HIGHEST + 1)]), decimals - LOWEST)
+    scaled = v * of(1) / of(-1)
+    half = F.rint(scaled * 2) / 2
+    whole = F.rint(F.when(F.abs(scaled - half) <= F.abs(scaled) * ERROR, half).otherwise(scaled))
+    return F.when(F.abs(scaled) < WHOLE, whole * of(-1) / of(1)).otherwise(v) + F.lit(0.0)
 
 
 def equal_at_precision(a: Column, b: Column, da: Column, db: Column) -> Column:

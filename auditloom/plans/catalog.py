@@ -186,10 +186,10 @@ def period_tolerance(spark: SparkSession, d: str) -> DataFrame:
     return J.near(a, b, ["o_custkey"], "a_day", "b_day", 5).filter("a_key < b_key").select("a_key", "b_key")
 
 
-@_r.add("""SELECT o_orderkey, CASE WHEN o_orderkey % 7 >= 6 THEN 'manual_intervention' WHEN o_orderstatus = 'P' THEN 'manual_intervention' WHEN o_orderstatus = 'F' AND o_custkey % 5 >= 3 THEN 'try_alternative_url' WHEN o_orderstatus = 'O' AND o_orderkey % 3 >= 2 THEN 'try_alternative_url' ELSE 'retry_same_url' END AS strategy FROM orders""")
+@_r.add("""SELECT o_orderkey, CASE WHEN o_orderstatus = 'P' THEN 'manual_intervention' WHEN o_orderstatus = 'F' AND o_custkey % 5 >= 3 THEN 'try_alternative_url' WHEN o_orderstatus = 'O' AND o_orderkey % 3 >= 2 THEN 'try_alternative_url' ELSE 'retry_same_url' END AS strategy FROM orders""")
 def retry_strategy(spark: SparkSession, d: str) -> DataFrame:
-    reason = F.when(F.col("o_orderstatus") == "P", "disk_full").when(F.col("o_orderstatus") == "F", "not_found").otherwise("extraction_failed")
-    return table(spark, d, "orders").select("o_orderkey", C.retry_strategy(reason, F.col("o_custkey") % 5, F.col("o_orderkey") % 3, F.col("o_orderkey") % 7).alias("strategy"))
+    reason = F.when(F.col("o_orderstatus") == "P", "disk_full").when(F.col("o_orderstatus") == "F", "url_404").otherwise("corrupted_zip")
+    return table(spark, d, "orders").select("o_orderkey", C.retry_strategy(reason, F.col("o_custkey") % 5, F.col("o_orderkey") % 3).alias("strategy"))
 
 
 @_r.add("""SELECT p_partkey, first(s_suppkey ORDER BY s_suppkey) AS s_suppkey FROM part JOIN supplier ON contains(lower(s_name), right(CAST(p_partkey AS VARCHAR), 2)) AND p_size % 5 = s_nationkey % 5 GROUP BY p_partkey""")

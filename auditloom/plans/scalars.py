@@ -152,9 +152,13 @@ def json_path(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "events").select("event_id", F.try_variant_get(v, "$.k", "bigint").alias("k"), F.try_variant_get(v, "$.missing", "string").isNull().alias("absent"))
 
 
-@_r.add()
+@_r.add("""WITH RECURSIVE level AS (
+  SELECT '$' AS path, CAST(props AS JSON) AS v FROM events
+  UNION ALL SELECT path || step.name, step.value FROM (
+    SELECT path, unnest(CASE json_type(v) WHEN 'OBJECT' THEN list_transform(json_keys(v), lambda k: {'name': '.' || k, 'value': v -> k})
+      WHEN 'ARRAY' THEN [{'name': '[0]', 'value': v -> 0}] END) AS step FROM level) WHERE step.value IS NOT NULL)
+SELECT path, CASE json_type(v) WHEN 'UBIGINT' THEN 'bigint' WHEN 'VARCHAR' THEN 'string' WHEN 'NULL' THEN 'void' ELSE lower(json_type(v)) END AS kind, count(*) AS n FROM level GROUP BY ALL""")
 def json_structure(spark: SparkSession, d: str) -> DataFrame:
-    """Paths of a JSON column: by a variant's own schema, hence without SQL."""
     from auditloom.sources.filing_json import json_paths
 
     return json_paths(table(spark, d, "events"), "props")

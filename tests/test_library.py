@@ -2,11 +2,12 @@
 
 import io
 import zipfile
+from decimal import ROUND_HALF_EVEN, Context, Decimal
 
 import pytest
 from pyspark.sql import functions as F
 
-from auditloom.functions import names, numbers, periods, urls
+from auditloom.functions import classify, names, numbers, periods, urls
 from auditloom.operators import audit, hierarchy
 from auditloom.sources import archives, filing_json, files, linkbase_xml, sinks
 from auditloom.streaming import monitor
@@ -28,6 +29,27 @@ def test_values_are_equal_at_the_lower_precision(spark):
     assert out == [True, True, False]
 
 
+def test_rounding_goes_by_the_printed_number(spark):
+    values = [(1.015, 2), (2.675, 2), (0.285, 2), (2.5, 0), (3.5, 0), (-2.5, 0), (25.0, -1), (35.0, -1), (1_234_567.0, -3), (86_036_299_462.35, 1), (1e300, 2), (5.25, None), (5.25, 13), (None, 1), (-0.4, 0)]
+    df = spark.createDataFrame([(i, *v) for i, v in enumerate(values)], "i int, v double, d int").orderBy("i")
+    exact = lambda v, d: float(Decimal(repr(v)).quantize(Decimal(1).scaleb(-d), rounding=ROUND_HALF_EVEN, context=Context(prec=400))) + 0.0
+    wanted = [v if v is None or d is None or d > 12 else exact(v, d) for v, d in values]
+    assert [r.x for r in df.select(numbers.round_half_even(F.col("v"), F.col("d")).alias("x")).collect()] == wanted
+
+
+def test_statement_keys_lose_their_ends_in_order(spark):
+    values = ["Balance_Sheet-Details", "IncomeParentheticalDetails", "EquityDetailsParenthetical", "Details", "Cash-Flow", None]
+    assert column(spark, values, names.statement_key, "string") == ["balancesheet", "incomeparenthetical", "equity", "", "cashflow", None]
+
+
+def test_failed_downloads(spark):
+    rows = [("url_404", 2, 0), ("url_404", 3, 0), ("timeout", 3, 0), ("corrupted_zip", 3, 1), ("invalid_archive", 0, 2), ("extraction_error", 0, 0), ("other", 9, 9), (None, 3, 3)]
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "i int, reason string, n int, m int").orderBy("i")
+    got = [r.x for r in df.select(classify.retry_strategy(*map(F.col, ("reason", "n", "m"))).alias("x")).collect()]
+    same, other = "retry_same_url", "try_alternative_url"
+    assert got == [same, other, other, same, other, "manual_intervention", same, same]
+
+
 def test_concepts_have_one_key(spark):
     keys = column(spark, ["us-gaap:Assets", "us-gaap_Assets"], names.concept_key)
     assert keys[0] == keys[1]
