@@ -42,17 +42,18 @@ def classify_duplicates(facts: DataFrame) -> DataFrame:
     seen = facts.withColumn("v0", F.first("value").over(first)).withColumn("d0", F.first("decimals").over(first))
     alike = F.coalesce(N.equal_at_precision(F.col("value"), F.col("v0"), F.col("decimals"), F.col("d0")), F.lit(False))
     top, low = F.max(F.abs("value")), F.min(F.abs("value"))
+    precision = "decimals_raw" if "decimals_raw" in facts.columns else "decimals"
     grouped = seen.groupBy(*KEY).agg(
         F.count("*").alias("n_entries"),
         F.every(alike).alias("all_alike"),
         F.when(top == 0, F.lit(0.0)).otherwise((top - low) / top).alias("spread"),
-        F.count_distinct("decimals_raw" if "decimals_raw" in facts.columns else "decimals").alias("n_precisions"),
+        F.coalesce(F.min(precision) == F.max(precision), F.lit(True)).alias("one_precision"),
         F.max_by("value", F.struct(F.coalesce("decimals", F.lit(-(2**31))), -F.col("fact_seq"))).alias("best"),
         F.min_by("unit", "fact_seq").alias("unit"),
         F.max("decimals").alias("decimals"),
     )
     equal = F.col("all_alike") | (F.col("spread") <= N.DUPLICATE_SPREAD)
-    kind = F.when(F.col("n_entries") == 1, F.lit(None).cast("string")).when(equal & (F.col("n_precisions") <= 1), "complete").when(equal, "consistent").otherwise("inconsistent")
+    kind = F.when(F.col("n_entries") == 1, F.lit(None).cast("string")).when(equal & F.col("one_precision"), "complete").when(equal, "consistent").otherwise("inconsistent")
     return grouped.withColumn("duplicate_type", kind).withColumn("selected_value", F.when(F.coalesce(kind, F.lit("")) != "inconsistent", F.col("best"))).drop("best")
 
 
@@ -65,7 +66,8 @@ def bind(resolved: DataFrame, arcs: DataFrame, parents: DataFrame, others: DataF
     """Binds each parent that a context reports to the children of its calculation in the same context.
 
     resolved: classify_duplicates' result. arcs: role, parent, child, weight, arc_seq. parents: filing_id, context_id,
-    role, parent with its value, unit, decimals and duplicate_type (value null: not reported).
+    role, parent (a row for each, as classify_duplicates leaves them) with its value, unit, decimals and duplicate_type
+    (value null: not reported).
     Adds status, n_children, n_found, expected (the weighted sum of the children found), child_decimals (the lowest).
     others: facts as fallback_children takes them. A child that the context lacks altogether then gets its value from the
     first of them that fits; parents must hold period_key. Statuses, first that applies: no parent, inconsistent parent, the first child in arc order that is inconsistent
@@ -78,9 +80,9 @@ def bind(resolved: DataFrame, arcs: DataFrame, parents: DataFrame, others: DataF
         rescue = fallback_children(lacking, others).select("filing_id", "context_id", "child", F.col("child_value").alias("rescued"))
         each = each.join(rescue, ["filing_id", "context_id", "child"], "left").withColumn("child_value", F.coalesce("child_value", F.when(F.col("child_type").isNull(), F.col("rescued"))))
     found = F.col("child_value").isNotNull() & (F.coalesce("child_type", F.lit("")) != "inconsistent")
-    block = F.when(F.col("child_type") == "inconsistent", "skip_inconsistent_child").when(found & ~P.units_equal(F.col("unit"), F.col("child_unit")), "skip_unit_mismatch")
-    grouped = each.groupBy("filing_id", "context_id", "role", "parent").agg(
-        *[F.first(c).alias(c) for c in ("value", "unit", "decimals", "duplicate_type")],
+    # Numbers and what describes the parent as a key: buffers without texts are aggregated by hash, without a sort.
+    block = F.when(F.col("child_type") == "inconsistent", 0).when(found & ~P.units_equal(F.col("unit"), F.col("child_unit")), 1)
+    grouped = each.groupBy("filing_id", "context_id", "role", "parent", "value", "unit", "decimals", "duplicate_type").agg(
         F.min_by(block, F.when(block.isNotNull(), F.col("arc_seq"))).alias("blocked"),
         F.count("*").alias("n_children"),
         F.count_if(found).alias("n_found"),
@@ -90,7 +92,8 @@ def bind(resolved: DataFrame, arcs: DataFrame, parents: DataFrame, others: DataF
     status = (
         F.when(F.col("value").isNull() & (F.coalesce("duplicate_type", F.lit("")) != "inconsistent"), "skip_no_parent")
         .when(F.col("duplicate_type") == "inconsistent", "skip_inconsistent_parent")
-        .when(F.col("blocked").isNotNull(), F.col("blocked"))
+        .when(F.col("blocked") == 0, "skip_inconsistent_child")
+        .when(F.col("blocked") == 1, "skip_unit_mismatch")
         .when(F.col("n_found") == 0, "skip_no_children")
         .when(F.col("n_found") * 2 < F.col("n_children"), "skip_incomplete")
         .otherwise("bound")
