@@ -53,6 +53,14 @@ def periods_match(a: Column, b: Column) -> Column:
     return both("key") | ((a["kind"] != "unknown") & (a["kind"] == b["kind"]) & a["year"].eqNullSafe(b["year"])) | both("year")
 
 
+def match_key(p: Column) -> Column:
+    """A text that two periods share exactly if periods_match: the year or, without one, the kind if it is known. Null matches nothing.
+
+    Periods of the same key or kind and year have the same year, so that matching ones meet in an equi-join.
+    """
+    return F.coalesce(p["year"], F.when(p["kind"] != "unknown", F.concat(F.lit("kind:"), p["kind"])))
+
+
 def contexts_compatible(parent: Column, child: Column, strict: bool = False) -> Column:
     some = (F.coalesce(parent, F.lit("")) != "") & (F.coalesce(child, F.lit("")) != "")
     return some & ((parent == child) if strict else (parent == child) | periods_match(period(parent), period(child)))

@@ -6,6 +6,7 @@ in the input and decide wherever the first or last one counts.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -62,7 +63,7 @@ def by_concept_key(rows: DataFrame, *columns: str) -> DataFrame:
     return rows.withColumns({c: names.concept_key(F.col(c)) for c in columns or ("concept",)})
 
 
-def bind(resolved: DataFrame, arcs: DataFrame, parents: DataFrame, others: DataFrame | None = None) -> DataFrame:
+def bind(resolved: DataFrame, arcs: DataFrame, parents: DataFrame, others: DataFrame | Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """Binds each parent that a context reports to the children of its calculation in the same context.
 
     resolved: classify_duplicates' result. arcs: role, parent, child, weight, arc_seq. parents: filing_id, context_id,
@@ -70,14 +71,15 @@ def bind(resolved: DataFrame, arcs: DataFrame, parents: DataFrame, others: DataF
     (value null: not reported).
     Adds status, n_children, n_found, expected (the weighted sum of the children found), child_decimals (the lowest).
     others: facts as fallback_children takes them. A child that the context lacks altogether then gets its value from the
-    first of them that fits; parents must hold period_key. Statuses, first that applies: no parent, inconsistent parent, the first child in arc order that is inconsistent
+    first of them that fits; parents must hold period_key. Or a function that gets the lacking children (filing_id, context_id,
+    period_key, unit, child) and returns child_value for some of them. Statuses, first that applies: no parent, inconsistent parent, the first child in arc order that is inconsistent
     or has another unit, no child found, under half of the children found, else bound.
     """
     kids = resolved.select("filing_id", "context_id", F.col("concept").alias("child"), F.col("selected_value").alias("child_value"), F.col("unit").alias("child_unit"), F.col("decimals").alias("d"), F.col("duplicate_type").alias("child_type"))
     each = parents.join(arcs, ["role", "parent"]).join(kids, ["filing_id", "context_id", "child"], "left")
     if others is not None:
         lacking = each.filter(F.col("child_value").isNull() & F.col("child_type").isNull()).select("filing_id", "context_id", "period_key", "unit", "child").distinct()
-        rescue = fallback_children(lacking, others).select("filing_id", "context_id", "child", F.col("child_value").alias("rescued"))
+        rescue = (others(lacking) if callable(others) else fallback_children(lacking, others)).select("filing_id", "context_id", "child", F.col("child_value").alias("rescued"))
         each = each.join(rescue, ["filing_id", "context_id", "child"], "left").withColumn("child_value", F.coalesce("child_value", F.when(F.col("child_type").isNull(), F.col("rescued"))))
     found = F.col("child_value").isNotNull() & (F.coalesce("child_type", F.lit("")) != "inconsistent")
     # Numbers and what describes the parent as a key: buffers without texts are aggregated by hash, without a sort.
@@ -115,7 +117,8 @@ def fallback_children(missing: DataFrame, facts: DataFrame) -> DataFrame:
 
     missing: filing_id, context_id, period_key, unit, child. facts: filing_id, context_id, period_key, concept, value,
     unit, fact_seq, dimensional. A fact fits if its concept and period are the same, its unit is or is missing, and its
-    context has no dimensions. An equi-join on filing, concept and period, so that it is dealt out by all three.
+    context has no dimensions. Periods that only have to match as periods.periods_match says have the same
+    periods.match_key, which then is the period_key of both. An equi-join on filing, concept and period, so that it is dealt out by all three.
     """
     f = facts.filter("not dimensional").select("filing_id", "period_key", F.col("concept").alias("child"), F.col("context_id").alias("source_context"), F.col("value").alias("child_value"), F.col("unit").alias("child_unit"), "fact_seq")
     fits = missing.join(f, ["filing_id", "period_key", "child"]).filter(P.units_equal(F.col("unit"), F.col("child_unit")) & (F.col("source_context") != F.col("context_id")))

@@ -11,7 +11,7 @@ import itertools
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from auditloom.operators.lineage import cut
+from auditloom.operators.lineage import Levels, cut
 
 TREE = ("filing_id", "role")
 
@@ -28,30 +28,90 @@ def last_arcs(arcs: DataFrame) -> DataFrame:
     return arcs.withColumn("order", order).groupBy(*TREE, "parent", "child").agg(*[F.max_by(c, "arc_seq").alias(c) for c in ("order", "weight")], F.max("arc_seq").alias("arc_seq"))
 
 
+def _start(down: DataFrame) -> DataFrame:
+    """The roots as the first level of a walk."""
+    return roots(down).select(
+        *TREE, "concept", F.lit(None).cast("string").alias("parent"), F.lit(0).alias("level"), F.array("concept").alias("path"),
+        F.array(F.struct(F.lit(0.0).alias("order"), F.col("arc_seq").cast("long").alias("seq"))).alias("sort_key"), F.lit(1.0).alias("weight"),
+    )
+
+
+def _below(level: DataFrame, down: DataFrame, k: int) -> DataFrame:
+    """One step down from all places of a level."""
+    step = F.struct(F.col("order").cast("double").alias("order"), F.col("arc_seq").cast("long").alias("seq"))
+    arcs_from = down.select(*TREE, F.col("parent").alias("concept"), "child", step.alias("step"), F.col("weight").alias("w"))
+    return level.join(arcs_from, [*TREE, "concept"]).filter(~F.array_contains("path", F.col("child"))).select(
+        *TREE, F.col("child").alias("concept"), F.col("concept").alias("parent"), F.lit(k).alias("level"), F.concat("path", F.array("child")).alias("path"),
+        F.concat("sort_key", F.array("step")).alias("sort_key"), (F.col("weight") * F.coalesce("w", F.lit(1.0))).alias("weight"),
+    )
+
+
 def walk(arcs: DataFrame, max_levels: int | None = None) -> DataFrame:
     """All paths from roots down: tree, concept, parent, level, path (concepts), sort_key, weight (product of weights).
 
     A path ends where it would meet a concept a second time, or after max_levels levels if they are given. sort_key orders a tree in pre-order: siblings by order,
-    then by place in the input. A tree whose arcs form a mere cycle has no root and no path.
+    then by place in the input. A tree whose arcs form a mere cycle has no root and no path. Concepts with several
+    parents are there once for each path; first_places gives each once, at a cost that does not grow with the paths.
     """
     down = cut(last_arcs(arcs))
-    step = F.struct(F.col("order").cast("double").alias("order"), F.col("arc_seq").cast("long").alias("seq"))
-    level = roots(down).select(
-        *TREE, "concept", F.lit(None).cast("string").alias("parent"), F.lit(0).alias("level"), F.array("concept").alias("path"),
-        F.array(F.struct(F.lit(0.0).alias("order"), F.col("arc_seq").cast("long").alias("seq"))).alias("sort_key"), F.lit(1.0).alias("weight"),
-    )
-    level = out = cut(level)
-    arcs_from = down.select(*TREE, F.col("parent").alias("concept"), "child", step.alias("step"), F.col("weight").alias("w"))
+    places = Levels(arcs.sparkSession, "walk")
+    places.add(_start(down))
     for k in itertools.count(1) if max_levels is None else range(1, max_levels):
-        level = level.join(arcs_from, [*TREE, "concept"]).filter(~F.array_contains("path", F.col("child"))).select(
-            *TREE, F.col("child").alias("concept"), F.col("concept").alias("parent"), F.lit(k).alias("level"), F.concat("path", F.array("child")).alias("path"),
-            F.concat("sort_key", F.array("step")).alias("sort_key"), (F.col("weight") * F.coalesce("w", F.lit(1.0))).alias("weight"),
-        )
-        level = cut(level)
-        if level.isEmpty():
+        if not places.add(_below(places.last(), down, k)):
             break
-        out = out.unionByName(level)
-    return out
+    return places.every()
+
+
+def first_places(arcs: DataFrame) -> DataFrame:
+    """The first place of each concept in pre-order, as walk has it: the least sort_key of its paths.
+
+    Level by level, a place is followed only if it comes before the concept's places so far. A concept with many paths to it
+    is so expanded once for each time that a longer path turns out to come first, not once for each path.
+    """
+    down = cut(last_arcs(arcs))
+    found = Levels(arcs.sparkSession, "places")
+    row = F.struct("sort_key", "parent", "level", "path", "weight")
+    first = lambda places: places.groupBy(*TREE, "concept").agg(F.min(row).alias("r")).select(*TREE, "concept", "r.parent", "r.level", "r.path", "r.sort_key", "r.weight")
+    some, k = found.add(_start(down).select(*TREE, "concept", "parent", "level", "path", "sort_key", "weight")), 0
+    while some:
+        k += 1
+        before = found.every().groupBy(*TREE, "concept").agg(F.min("sort_key").alias("best"))
+        better = first(_below(found.last(), down, k)).join(before, [*TREE, "concept"], "left").filter(F.col("best").isNull() | (F.col("sort_key") < F.col("best")))
+        some = found.add(better.drop("best"))
+    return first(found.every())
+
+
+def levels(arcs: DataFrame, up: bool = True) -> DataFrame:
+    """tree, concept, level: the most arcs from a concept down to a leaf or, if not up, from a root down to it.
+
+    Concepts are peeled off level by level, each once and each arc once: a concept has its level as soon as all concepts below it
+    have theirs. One in a cycle, or beyond one, never has: its level is null.
+    """
+    above, below = ("parent", "child") if up else ("child", "parent")
+    edges = cut(arcs.select(*TREE, F.col(above).alias("above"), F.col(below).alias("below")).distinct())
+    open_ = edges.groupBy(*TREE, F.col("above").alias("concept")).agg(F.count("*").alias("open"))
+    ends = edges.select(*TREE, F.col("below").alias("concept")).distinct().join(open_, [*TREE, "concept"], "left_anti")
+    state, k = Levels(arcs.sparkSession, "levels"), 0
+    state.add(open_.unionByName(ends.withColumn("open", F.lit(0).cast("long"))).withColumn("level", F.when(F.col("open") == 0, 0)))
+    some = True
+    while some:
+        k += 1
+        closed = state.last().filter("level is not null").select(*TREE, F.col("concept").alias("below")).join(edges, [*TREE, "below"]).groupBy(*TREE, F.col("above").alias("concept")).agg(F.count("*").alias("closed"))
+        waiting = state.last().filter("level is null").join(closed, [*TREE, "concept"], "left")
+        left = F.col("open") - F.coalesce("closed", F.lit(0))
+        some = state.add(waiting.select(*TREE, "concept", left.alias("open"), F.when(left == 0, k).alias("level")), "level is not null")
+    return state.every().filter("level is not null").unionByName(state.last().filter("level is null")).select(*TREE, "concept", "level")
+
+
+def depths(arcs: DataFrame) -> DataFrame:
+    """Levels (a root alone is one), concepts and roots of each tree; no levels, null, where all concepts hang below a cycle or in it.
+
+    Concepts below a cycle count as concepts, not as levels.
+    """
+    down = last_arcs(arcs)
+    tops = roots(down).groupBy(*TREE).agg(F.count("*").alias("n_roots"))
+    by_tree = levels(arcs, up=False).groupBy(*TREE).agg((F.max("level") + 1).cast("int").alias("max_depth"), F.count("*").alias("n_concepts"))
+    return by_tree.join(tops, list(TREE), "left").withColumn("n_roots", F.coalesce("n_roots", F.lit(0)).cast("long"))
 
 
 def recursive_walk(spark, arcs: DataFrame) -> DataFrame:

@@ -3,19 +3,64 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+_own: list[str] = []
 
-def cut(df: DataFrame) -> DataFrame:
-    """The rows of df, computed once and written to the session's spark.checkpoint.dir, so that a lost executor costs a re-read.
 
-    Where that is unset, a local master (tests) gets a temporary folder; a cluster has to name one that it shares.
+def shared_folder(spark: SparkSession) -> str:
+    """The session's spark.checkpoint.dir. Where it is unset, a local master (tests) gets a temporary folder; a cluster has to name one."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if root:
+        return root.rstrip("/")
+    master = spark.sparkContext.master
+    if not master.startswith("local") or master.startswith("local-cluster"):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    if not _own:
+        _own.append(tempfile.mkdtemp(prefix="auditloom-"))
+    return "file://" + _own[0]
+
+
+class Levels:
+    """Steps of an iteration, each written once as Parquet to the shared folder, so that a lost executor costs a re-read.
+
+    add writes a step and tells whether it has rows (of a condition), without another job; last and every read the last
+    step and all so far; drop deletes them.
     """
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        root = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if not root and (not context.master.startswith("local") or context.master.startswith("local-cluster")):
-            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-        context.setCheckpointDir(root or "file://" + tempfile.mkdtemp(prefix="auditloom-"))
-    return df.checkpoint()
+
+    def __init__(self, spark: SparkSession, name: str):
+        self.spark, self.base, self.count, self.schema = spark, f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}", 0, None
+
+    def add(self, df: DataFrame, condition: str = "true") -> bool:
+        from pyspark.sql import Observation
+
+        rows = Observation()
+        self.schema = df.schema
+        df.observe(rows, F.count_if(F.expr(condition)).alias("n")).write.parquet(f"{self.base}/step={self.count}")
+        self.count += 1
+        return rows.get["n"] > 0
+
+    def _read(self, *steps: int) -> DataFrame:
+        return self.spark.read.schema(self.schema).parquet(*[f"{self.base}/step={k}" for k in steps])
+
+    def last(self) -> DataFrame:
+        return self._read(self.count - 1)
+
+    def every(self) -> DataFrame:
+        return self._read(*range(self.count))
+
+    def drop(self, keep_last: bool = False) -> None:
+        """Deletes the steps, or those before the last."""
+        for k in range(self.count - keep_last):
+            at = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.base}/step={k}")  # noqa: SLF001
+            at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)  # noqa: SLF001
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """The rows of df, computed once and written to the shared folder, so that a lost executor costs a re-read."""
+    written = Levels(df.sparkSession, "cut")
+    written.add(df)
+    return written.last()

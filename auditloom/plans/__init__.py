@@ -1,6 +1,6 @@
 """Named queries over the driver tables, with equivalent DuckDB SQL."""
 
-from auditloom.plans import catalog, filings, lookups, scalars, verification
+from auditloom.plans import catalog, filings, lookups, networks, scalars, verification
 
-QUERIES = filings.QUERIES | catalog.QUERIES | scalars.QUERIES | verification.QUERIES | lookups.QUERIES
-ORACLE = filings.ORACLE | catalog.ORACLE | scalars.ORACLE | verification.ORACLE | lookups.ORACLE
+QUERIES = filings.QUERIES | catalog.QUERIES | scalars.QUERIES | verification.QUERIES | lookups.QUERIES | networks.QUERIES
+ORACLE = filings.ORACLE | catalog.ORACLE | scalars.ORACLE | verification.ORACLE | lookups.ORACLE | networks.ORACLE

@@ -165,7 +165,7 @@ def failed_top10(spark: SparkSession, d: str) -> DataFrame:
 
 @_r.add(f"WITH RECURSIVE {X.HIERARCHY_SQL} SELECT role, max(level) + 1 AS max_depth, count(DISTINCT concept) AS n_concepts, count(*) FILTER (level = 0) AS n_roots FROM walk GROUP BY role")
 def hierarchy_depth(spark: SparkSession, d: str) -> DataFrame:
-    return H.depth(H.walk(X.hierarchy(spark, d))).select("role", "max_depth", "n_concepts", "n_roots")
+    return H.depths(X.hierarchy(spark, d)).select("role", "max_depth", "n_concepts", "n_roots")
 
 
 @_r.add(f"WITH RECURSIVE {X.HIERARCHY_SQL} SELECT role, concept, parent, level, row_number() OVER (PARTITION BY role ORDER BY sort_key) AS place FROM walk")
@@ -173,7 +173,7 @@ def hierarchy_dfs(spark: SparkSession, d: str) -> DataFrame:
     """Pre-order places of the concepts of each tree."""
     from pyspark.sql import Window
 
-    w = H.first_placements(H.walk(X.hierarchy(spark, d)))
+    w = H.first_places(X.hierarchy(spark, d))
     return w.select("role", "concept", "parent", "level", F.row_number().over(Window.partitionBy("role").orderBy("sort_key")).alias("place"))
 
 
