@@ -82,7 +82,8 @@ def formatted(conversations: DataFrame, template: Template | None = None) -> Dat
                 if size > BATCH:
                     yield pd.DataFrame(out, columns=["conv_id", "part", "text", "spans"])
                     out, size = [], 0
-        yield pd.DataFrame(out, columns=["conv_id", "part", "text", "spans"])
+        if out:
+            yield pd.DataFrame(out, columns=["conv_id", "part", "text", "spans"])
 
     kind = conversations.schema["conv_id"].dataType
     rows = conversations.select(F.col("conv_id").cast("string").alias("conv_id"), F.col("turn").alias("_turn"), F.col("role").cast("string"), F.col("text").cast("string"))
@@ -147,7 +148,8 @@ def read_back(parts: DataFrame) -> DataFrame:
             if len(out) == 10_000:
                 yield pd.DataFrame(out, columns=names)
                 out = []
-        yield pd.DataFrame(out, columns=names)
+        if out:
+            yield pd.DataFrame(out, columns=names)
 
     names = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]
     kind = parts.schema["conv_id"].dataType

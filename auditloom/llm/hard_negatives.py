@@ -124,7 +124,8 @@ def _best_negatives(meetings: DataFrame, k: int, low: int, high: int) -> DataFra
                         start = int(np.searchsorted(-s, -(high * score // 100)))
                         n = int(np.count_nonzero(100 * s[start : start + k] >= low * score))
                         out += [(int(a["ids"][i]), int(positive), int(place), int(score), int(x), int(y)) for x, y in zip(ids[start : start + n], s[start : start + n], strict=True)]
-                yield pd.DataFrame(out, columns=["anchor_id", "positive_id", "place", "positive_score", "negative_id", "negative_score"])
+                if out:
+                    yield pd.DataFrame(out, columns=["anchor_id", "positive_id", "place", "positive_score", "negative_id", "negative_score"])
 
     found = meetings.mapInPandas(run, "anchor_id long, positive_id long, place int, positive_score long, negative_id long, negative_score long")
     rank = F.row_number().over(Window.partitionBy("anchor_id", "place").orderBy(F.desc("negative_score"), "negative_id"))

@@ -4,6 +4,7 @@ The templates' word k-grams are hashed and winnowed into an inverted index, with
 that no match of the least coverage goes without a seed. A text's k-grams that hit the index give a template and a diagonal
 (place in the text minus place in the template). Around each diagonal whose band holds enough of the template's words it is
 aligned with the text's words within the band, and the share of its words that match is reported with the span of the text.
+The words that tell a license from its like, its name and version, must all match, side by side.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from auditloom.llm.common import Words, rolled
-from auditloom.llm.license_texts import TEXTS
+from auditloom.llm.license_texts import TELLING, TEXTS
 
 #: License notices, short license texts and lines that refer to a license.
 TEMPLATES = TEXTS
@@ -62,9 +63,10 @@ def seed_size(length: int, need: int, band: int) -> tuple[int, int]:
 class Index:
     """Templates by name, with an inverted index of their winnowed k-grams for each size of k-gram in use."""
 
-    def __init__(self, templates: dict[str, str], band: int = BAND, least: float = LEAST):
+    def __init__(self, templates: dict[str, str], band: int = BAND, least: float = LEAST, telling: dict[str, tuple[str, ...]] | None = None):
         self.names, self.band = sorted(templates), band
         self.words = [tokens(templates[n])[1] for n in self.names]
+        self.runs = [self._runs(w, (telling or {}).get(n, ())) for n, w in zip(self.names, self.words, strict=True)]
         self.need = np.array([math.ceil(least * len(w)) for w in self.words])
         self.vocabulary = np.unique(np.concatenate(self.words))
         self.counts = np.stack([np.bincount(np.searchsorted(self.vocabulary, w), minlength=len(self.vocabulary)) for w in self.words])
@@ -75,6 +77,16 @@ class Index:
                 self.places[gram][h].append((t, at))
         self.places = {g: dict(p) for g, p in self.places.items()}
 
+    @staticmethod
+    def _runs(words: np.ndarray, phrases: tuple[str, ...]) -> np.ndarray:
+        """For each word of a template the number of the phrase that it belongs to, 0 for none. The first place of a phrase counts."""
+        out = np.zeros(len(words), int)
+        for number, phrase in enumerate(phrases, 1):
+            wanted = tokens(phrase)[1]
+            at = next(i for i in range(len(words) - len(wanted) + 1) if (words[i : i + len(wanted)] == wanted).all())
+            out[at : at + len(wanted)] = number
+        return out
+
     def diagonals(self, hashes: np.ndarray) -> list[tuple[int, int]]:
         """(template, diagonal) of all bands around a seed in which enough of the template's words occur to reach LEAST."""
         if not len(self.vocabulary):
@@ -119,22 +131,36 @@ class Index:
         return set((np.flatnonzero(inside >= self.need[t]) + base).tolist())
 
 
-def align(template: np.ndarray, text: np.ndarray, diagonal: int, band: int) -> tuple[int, int, int]:
-    """Longest common subsequence within the band around a diagonal: words matched, first and last place in text."""
-    width = 2 * band + 1
-    best: list[tuple[int, int, int]] = [(0, -1, -1)] * width  # by offset: matched, -first place, last place
+def align(template: np.ndarray, text: np.ndarray, diagonal: int, band: int, runs: np.ndarray | None = None) -> tuple[int, int, int]:
+    """Longest common subsequence within the band around a diagonal: words matched, first and last place in text.
+
+    runs: for each word of the template the number of the run it belongs to, or 0. Words of runs must match, those of one run
+    side by side; (0, -1, -1) where no alignment has them all.
+    """
+    width, nothing, never = 2 * band + 1, (0, -1, -1), (-1, -1, -1)
+    best: list[tuple[int, int, int]] = [nothing] * width  # by offset: matched, -first place, last place
+    outside, hits = nothing, best
     for i, w in enumerate(template):
+        run = runs[i] if runs is not None else 0
+        before = hits if run and i and runs[i - 1] == run else best
+        if run:
+            outside = never
         row: list[tuple[int, int, int]] = []
+        hits = []
         for k in range(width):
             j = i + diagonal + k - band
-            options = [best[k + 1] if k + 1 < width else (0, -1, -1), row[k - 1] if k else (0, -1, -1)]
-            if 0 <= j < len(text) and text[j] == w:
-                n, first, _ = best[k]
-                options.append((n + 1, first if n else -j, j))
+            options = [row[k - 1] if k else outside, never]
+            if not run:
+                options.append(best[k + 1] if k + 1 < width else outside)
+            hits.append(never)
+            if 0 <= j < len(text) and text[j] == w and before[k][0] >= 0:
+                n, first, _ = before[k]
+                hits[k] = (n + 1, first if n else -j, j)
+                options.append(hits[k])
             row.append(max(options, key=lambda o: (o[0], o[1])))
         best = row
     n, first, last = max(best, key=lambda o: (o[0], o[1], -o[2]))
-    return n, -first, last
+    return (n, -first, last) if n >= 0 else nothing
 
 
 def matches(text: str | None, index: Index) -> list[tuple[str, float, int, int, int, int]]:
@@ -147,7 +173,7 @@ def matches(text: str | None, index: Index) -> list[tuple[str, float, int, int,
     words, hashes = tokens(text)
     found = set()
     for t, d in index.diagonals(hashes):
-        n, first, last = align(index.words[t], hashes, d, index.band)
+        n, first, last = align(index.words[t], hashes, d, index.band, index.runs[t])
         if n >= index.need[t]:
             found.add((-n / len(index.words[t]), first, last, t))
     out: list[tuple] = []
@@ -162,15 +188,16 @@ def matches(text: str | None, index: Index) -> list[tuple[str, float, int, int,
     return sorted((index.names[t], -c, f, e, char(words.starts[f]), char(words.ends[e])) for c, f, e, t in out)
 
 
-def scan(docs: DataFrame, templates: dict[str, str] | None = None, band: int = BAND, least: float = LEAST) -> DataFrame:
+def scan(docs: DataFrame, templates: dict[str, str] | None = None, band: int = BAND, least: float = LEAST, telling: dict[str, tuple[str, ...]] | None = None) -> DataFrame:
     """Matches of license templates in docs (doc_id, text), a row for each.
 
     Returns doc_id, license, coverage (share of the template's words that match in order), first_word, last_word
     (counted from 0), first_char and end_char in the lower-cased text. A document may have several; one that matches
     nothing, a null or an empty text has no row. Repeated rows are each reported. The templates go to every task:
-    they are given in the call and are few.
+    they are given in the call and are few. telling: by template, runs of its words that must match side by side; those of
+    the own templates where none are given.
     """
-    index = Index(templates or TEMPLATES, band, least)
+    index = Index(templates or TEMPLATES, band, least, TELLING if templates is None and telling is None else telling)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:

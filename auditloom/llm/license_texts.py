@@ -84,3 +84,23 @@ TEXTS = {
         " 2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software. 3. This notice may not be removed or altered from any source distribution."
     ),
 }
+
+#: What tells a license from others with the same wording, as runs of words that must follow each other: its name and version.
+TELLING = {
+    "AGPL-3.0-notice": ("GNU Affero General Public License as published", "version 3 of the License"),
+    "Apache-2.0": ("Apache License, Version 2.0",),
+    "Apache-2.0-header": ("Apache License, Version 2.0",),
+    "Apache-2.0-notice": ("Apache License, Version 2.0",),
+    "BSL-1.0": ("Boost Software License, Version 1.0",),
+    **{f"CC-{k}-4.0": (f"CC {k} 4.0",) for k in _CC},
+    **{f"CC-{k}-4.0-notice": (f"Creative Commons {kind} 4.0",) for k, kind in _CC.items()},
+    "EPL-2.0-notice": ("Eclipse Public License 2.0",),
+    "GPL-2.0-notice": ("GNU General Public License as published", "version 2 of the License"),
+    "GPL-3.0": ("GNU General Public License, version 3",),
+    "GPL-3.0-notice": ("GNU General Public License as published", "version 3 of the License"),
+    "GPL-header": ("GNU General Public License as published",),
+    "LGPL-2.1-notice": ("GNU Lesser General Public License as published", "version 2.1 of the License"),
+    "LGPL-3.0-notice": ("GNU Lesser General Public License as published", "version 3 of the License"),
+    "MIT": ("the MIT License",),
+    "MPL-2.0-notice": ("Mozilla Public License, v. 2.0",),
+}

@@ -101,10 +101,10 @@ def write_shards(docs: DataFrame, path: str, shards: int = 16, seed: int = 5) ->
     Columns of docs named shard or slot are replaced.
     """
     docs = docs.drop("shard", "slot")
-    placed = shard(docs, shards, seed).select(F.col("doc_id").alias("_id"), F.col("text_crc32").alias("_crc"), "shard", "slot")
-    n = F.row_number().over(Window.partitionBy("_id", "_crc").orderBy("slot"))
-    own = docs.withColumn("_id", F.col("doc_id").cast("long")).withColumn("_crc", F.crc32(F.coalesce("text", F.lit("")).cast("binary")))
-    own = own.withColumn("_n", F.row_number().over(Window.partitionBy("_id", "_crc").orderBy(F.col("_crc"))))
-    p = placed.withColumn("_n", n).withColumnsRenamed({"_id": "_id2", "_crc": "_crc2", "_n": "_n2"})
-    whole = own.join(p, own._id.eqNullSafe(p._id2) & (own._crc == p._crc2) & (own._n == p._n2)).drop("_id", "_crc", "_n", "_id2", "_crc2", "_n2")
+    id_, crc = F.col("doc_id").cast("long").alias("i"), F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("c")
+    own = docs.select(F.struct("*").alias("row"), id_, crc)  # the columns of docs cannot clash within a struct
+    own = own.withColumn("k", F.row_number().over(Window.partitionBy("i", "c").orderBy("c")))
+    placed = shard(docs, shards, seed).select(F.col("doc_id").alias("i2"), F.col("text_crc32").alias("c2"), "shard", "slot")
+    placed = placed.withColumn("k2", F.row_number().over(Window.partitionBy("i2", "c2").orderBy("slot")))
+    whole = own.join(placed, F.col("i").eqNullSafe(F.col("i2")) & (F.col("c") == F.col("c2")) & (F.col("k") == F.col("k2"))).select("row.*", "shard", "slot")
     whole.repartition(shards, "shard").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)

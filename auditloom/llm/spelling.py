@@ -60,7 +60,8 @@ def counts(docs: DataFrame, damage: int | None = None) -> DataFrame:
                 if len(held) > HELD:
                     yield table()
                     held.clear()
-        yield table()
+        if held:
+            yield table()
 
     each = docs.select(F.col("doc_id").cast("string").alias("doc_id"), "text").mapInPandas(run, "word string, n long")
     return each.groupBy("word").agg(F.sum("n").alias("n"))
