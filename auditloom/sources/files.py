@@ -2,16 +2,23 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from auditloom.functions.names import canonical, form
+from auditloom.functions.names import canonical, form_variations
 from auditloom.functions.urls import file_type
 
 #: Limits of discovery.
 MAX_BYTES, MAX_DEPTH = 500 * 1024 * 1024, 25
-# Names of files that mark a folder as a mapped or parsed filing.
-MARKERS = ("MAIN_FINANCIAL_STATEMENTS.json", "statements.json", "parsed.json")
+# Names of files that mark a folder as a mapped or a parsed filing, folders of formats within one and
+# extensions that stand for them, folders that say nothing of a filing, and names of markets.
+MARKERS, PARSED = ("MAIN_FINANCIAL_STATEMENTS.json", "statements.json"), "parsed.json"
+FORMATS = ("json", "csv", "excel")
+EXTENSIONS = {"json": "json", "csv": "csv", "xlsx": "excel", "xlsm": "excel"}
+SKIPPED = ("filings", "output", "data", "reports", "statements")
+MARKET_NAMES = ("sec", "esef", "edgar", "uk", "eu", "jp", "cn")
 
 
 def discover(spark: SparkSession, root: str, pattern: str = "*", content: bool = False) -> DataFrame:
@@ -22,8 +29,8 @@ def discover(spark: SparkSession, root: str, pattern: str = "*", content: bool =
     """
     f = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(root)
     path = F.col("path")
-    base = root.split(":", 1)[-1].rstrip("/")
-    below = F.regexp_replace(F.regexp_replace(path, "^[a-z]+:/*", "/"), "^.*" + _quoted(base) + "/", "")
+    base = re.sub("^[a-z]+:/*", "/", root).rstrip("/")
+    below = F.regexp_replace(F.regexp_replace(path, "^[a-z]+:/*", "/"), "^.*?" + _quoted(base) + "/", "")
     out = f.select(
         path, F.substring_index(path, "/", -1).alias("name"), F.regexp_replace(path, "/[^/]*$", "").alias("folder"), "length", F.col("modificationTime").alias("modified"),
         F.size(F.split(below, "/")).alias("depth"), below.alias("below"), *([F.col("content")] if content else []),
@@ -32,8 +39,6 @@ def discover(spark: SparkSession, root: str, pattern: str = "*", content: bool =
 
 
 def _quoted(text: str) -> str:
-    import re
-
     return re.sub(r"([\\.^$|?*+()\[\]{}])", r"\\\1", text)
 
 
@@ -55,21 +60,95 @@ def filings(files: DataFrame) -> DataFrame:
     return g.filter("is_filing").select("folder", filing_place(F.col("below")).alias("p"), "n_files", "bytes").select("folder", "p.*", "n_files", "bytes")
 
 
-def find_filing(catalog: DataFrame, market: str, company: str, form_name: str, date: str | None = None) -> DataFrame:
-    """The filing of a company: names match when their canonical spellings are equal or one holds the other.
+def place_of(folder: Column) -> Column:
+    """Struct of market, company, form and date of a mapped filing's folder, given relative to the root, from its end.
 
-    An exact date comes first, then equal names, then the latest date.
+    Folders that say nothing are skipped. Four parts or more: the last four. Three: company, form and date if the last has
+    a digit, else market, company and form. Two: company and form. One: the company. A market that is still unknown is the first part that names one. What is missing is "unknown".
+    """
+    every = F.filter(F.split(folder, "/"), lambda p: p != "")
+    parts = F.filter(every, lambda p: ~F.lower(p).isin(*SKIPPED, *FORMATS))
+    n, part = F.size(parts), lambda k: F.get(parts, F.size(parts) - k)
+    dated = part(1).rlike("[0-9]")
+    named = F.lower(F.get(F.filter(every, lambda p: F.lower(p).isin(*MARKET_NAMES)), F.lit(0)))
+    market = F.when(n >= 4, part(4)).when((n == 3) & ~dated, part(3))
+    company = F.when(n >= 4, part(3)).when(n == 3, F.when(dated, part(3)).otherwise(part(2))).when(n == 2, part(2)).when(n == 1, part(1))
+    form = F.when(n >= 4, part(2)).when(n == 3, F.when(dated, part(2)).otherwise(part(1))).when(n == 2, part(1))
+    date = F.when((n >= 4) | ((n == 3) & dated), part(1))
+    unknown = F.lit("unknown")
+    return F.struct(F.coalesce(market, named, unknown).alias("market"), F.coalesce(company, unknown).alias("company"), F.coalesce(form, unknown).alias("form"), F.coalesce(date, unknown).alias("date"))
+
+
+def mapped_filings(files: DataFrame) -> DataFrame:
+    """Catalog of mapped filings, one row a folder: folder, market, company, form, date, main_file, files by format, bytes.
+
+    files: below (path relative to the root), name, length, as discover gives them. A folder is a filing if it has a folder of a
+    format, or holds a marker and is no json folder itself. Its files are those in its folders of formats, at any depth, and
+    by extension those right in it. main_file is the first marker among its JSON files, else the first of them by path, null without any.
     """
-    want, own = canonical(F.lit(company)), canonical(F.col("company"))
-    like = (F.lower("market") == market.lower()) & (own.contains(want) | want.contains(own)) & (form(F.col("form")) == form(F.lit(form_name)))
-    exact = (F.col("date") == date) if date else F.lit(False)
-    return catalog.filter(like).orderBy(F.coalesce(exact, F.lit(False)).desc(), (own == want).desc(), F.col("date").desc_nulls_last(), "folder").limit(1)
+    folder = F.regexp_replace("below", "/?[^/]*$", "")
+    parts = F.filter(F.split(folder, "/"), lambda p: p != "")
+    entry = lambda f, kind, inside: F.struct(f.alias("folder"), kind.alias("format"), F.lit(inside).alias("inside"))
+    steps = F.when(F.size(parts) > 0, F.sequence(F.lit(1), F.size(parts))).otherwise(F.array().cast("array<int>"))
+    above = F.filter(F.transform(steps, lambda k: entry(F.array_join(F.slice(parts, 1, k - 1), "/"), F.get(parts, k - 1), True)), lambda x: x["format"].isin(*FORMATS))
+    extension = F.try_element_at(F.create_map(*[F.lit(v) for kv in EXTENSIONS.items() for v in kv]), F.lower(F.regexp_extract("name", r"[.]([^.]*)$", 1)))
+    right_here = F.filter(F.array(entry(folder, extension, False)), lambda x: x["format"].isNotNull())
+    marker = F.array_position(F.array(*map(F.lit, MARKERS)), F.col("name"))
+    each = files.select("below", "length", marker.alias("marker"), F.inline(F.concat(above, right_here)))
+    makes_one = F.col("inside") | ((F.col("marker") > 0) & ~F.col("folder").rlike("(^|/)json$"))
+    order = F.struct(F.when(F.col("marker") > 0, F.col("marker")).otherwise(len(MARKERS) + 1), F.col("below"))
+    is_json = F.col("format") == "json"
+    counts = [F.count_if(F.col("format") == f).alias(f"n_{f}") for f in FORMATS]
+    found = each.groupBy("folder").agg(F.bool_or(makes_one).alias("is_filing"), F.min_by(F.when(is_json, F.col("below")), F.when(is_json, order)).alias("main_file"), *counts, F.sum("length").alias("bytes"))
+    names = ["main_file", *[f"n_{f}" for f in FORMATS], "bytes"]
+    return found.filter("is_filing").select("folder", place_of(F.col("folder")).alias("p"), *names).select("folder", "p.*", *names)
+
+
+def parsed_filings(files: DataFrame) -> DataFrame:
+    """Catalog of parsed filings: folder, market, company, form, date, file and length of each parsed.json, a row for each."""
+    hits = files.filter(F.col("name") == PARSED).select(F.regexp_replace("below", "/?[^/]*$", "").alias("folder"), F.col("below").alias("file"), "length")
+    return hits.select("folder", place_of(F.col("folder")).alias("p"), "file", "length").select("folder", "p.*", "file", "length")
+
+
+def taxonomy_locations(files: DataFrame, source: str) -> DataFrame:
+    """Folders right below the root that hold taxonomies: directory, source, files, schemas and bytes below them."""
+    inside = files.filter(F.col("below").contains("/"))
+    return inside.groupBy(F.substring_index("below", "/", 1).alias("directory")).agg(
+        F.lit(source).alias("source"), F.count("*").alias("n_files"), F.count_if(F.lower("name").endswith(".xsd")).alias("n_schemas"), F.sum("length").alias("bytes")
+    )
+
+
+def find_filing(catalog: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The filing of each wanted (want_id, market, company, form, date, the last of which may be null) in a catalog, if there is one.
+
+    Markets match regardless of case; an unknown market of the catalog matches all. Companies match if one canonical
+    name holds the other. Forms match if they share a spelling. A date that is given must hold, or lie in, the catalog's. Of
+    several the one with the equal company counts, then the latest date, then the first folder. Companies are compared only where a spelling of the form meets.
+    """
+    spellings = lambda: F.explode(F.array_distinct(form_variations(F.col("form")))).alias("_spelling")
+    asked = wanted.select("want_id", F.lower("market").alias("_market"), canonical(F.col("company")).alias("_want"), F.col("date").alias("_date"), spellings())
+    own = canonical(F.col("company"))
+    met = asked.join(catalog.select("*", spellings()), "_spelling").filter(
+        ((F.lower("market") == F.col("_market")) | (F.lower("market") == "unknown"))
+        & (own.contains(F.col("_want")) | F.col("_want").contains(own))
+        & (F.col("_date").isNull() | F.col("date").contains(F.col("_date")) | F.col("_date").contains(F.col("date")))
+    )
+    same, latest = (own == F.col("_want")).alias("same"), F.coalesce("date", F.lit("")).alias("latest")
+    folders = met.groupBy("want_id", same, latest).agg(F.min_by(F.struct(*catalog.columns), "folder").alias("f"))
+    return folders.groupBy("want_id").agg(F.max_by("f", F.struct("same", "latest")).alias("f")).select("want_id", "f.*")
+
+
+# Names of instance documents in order of trial, and parts of names that they do not have.
+INSTANCE_PATTERNS = (r"_htm\.xml$", r"\.xhtml$", r"\.html?$", r"\.xbrl$", r"\.xml$")
+NO_INSTANCE = r"_cal\.|_def\.|_lab\.|_pre\.|_ref\.|filingsummary|^r\d+\.htm|schema|\.xsd$"
 
 
 def instance_documents(files: DataFrame) -> DataFrame:
-    """The instance document of each folder: inline before plain ones, no linkbase or schema, the largest first."""
-    rank = F.when(F.col("file_type") == "inline", 0).when(F.col("file_type") == "instance", 1)
-    ok = files.withColumn("rank", rank).filter(F.col("rank").isNotNull() & ~F.lower("name").rlike(r"filingsummary|^r\d+\.htm"))
+    """The instance document of each folder: by the first pattern that a name fits, no linkbase or schema, the largest first, then by name."""
+    low, rank = F.lower("name"), F
+    for k, p in enumerate(INSTANCE_PATTERNS):
+        rank = rank.when(low.rlike(p), k)
+    ok = files.withColumn("rank", rank).filter(F.col("rank").isNotNull() & ~low.rlike(NO_INSTANCE))
     best = F.min_by(F.struct("path", "name", "length", "file_type"), F.struct("rank", -F.col("length"), F.col("name"))).alias("f")
     return ok.groupBy("folder").agg(best).select("folder", "f.*")
 

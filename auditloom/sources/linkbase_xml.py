@@ -11,6 +11,18 @@ _LOC = "array<struct<_label: string, _href: string>>"
 _ARC = "array<struct<_from: string, _to: string, _order: string, _weight: string, _priority: string, _use: string, _preferredLabel: string, _arcrole: string>>"
 
 
+def _projected(raw: DataFrame, kind: str, keys: list[str]) -> DataFrame:
+    """Rows of links (keys, _role, loc, arcs of the kind) → a row for each arc, locators resolved to concepts."""
+    named = F.map_from_entries(F.transform(F.array_distinct(F.col("loc._label")), lambda x: F.struct(x, F.element_at(F.filter("loc", lambda z: z["_label"] == x), -1)["_href"])))
+    each = raw.select(*keys, F.col("_role").alias("role"), named.alias("hrefs"), F.posexplode(f"{kind}Arc").alias("arc_seq", "a"))
+    concept = lambda c: F.coalesce(href_concept(F.try_element_at("hrefs", F.col(c))), F.col(c))
+    return each.select(
+        *keys, "role", "arc_seq", concept("a._from").alias("parent"), concept("a._to").alias("child"), F.coalesce(F.col("a._order").try_cast("double"), F.lit(0.0)).alias("order"),
+        F.coalesce(F.col("a._weight").try_cast("double"), F.lit(1.0)).alias("weight"), F.col("a._priority").try_cast("int").alias("priority"), F.col("a._use").alias("use"),
+        F.col("a._preferredLabel").alias("preferred_label"), F.col("a._arcrole").alias("arcrole"),
+    )
+
+
 def arcs(spark: SparkSession, path: str, kind: str) -> DataFrame:
     """Arcs of a kind (calculation, presentation, definition) with locators resolved to concepts.
 
@@ -21,21 +33,38 @@ def arcs(spark: SparkSession, path: str, kind: str) -> DataFrame:
     raw = spark.read.format("xml").option("rowTag", f"{kind}Link").option("ignoreNamespace", "true").option("recursiveFileLookup", "true").schema(schema).load(path)
     # The file's place is taken from the scan's metadata, once, before anything is exploded.
     raw = raw.withColumn("filing_id", F.regexp_replace(F.col("_metadata.file_path"), "/[^/]*$", "")).withColumn("file", F.col("_metadata.file_path"))
-    named = F.map_from_entries(F.transform(F.array_distinct(F.col("loc._label")), lambda x: F.struct(x, F.element_at(F.filter("loc", lambda z: z["_label"] == x), -1)["_href"])))
-    each = raw.select("filing_id", "file", F.col("_role").alias("role"), named.alias("hrefs"), F.posexplode(f"{kind}Arc").alias("arc_seq", "a"))
-    concept = lambda c: F.coalesce(href_concept(F.try_element_at("hrefs", F.col(c))), F.col(c))
-    return each.select(
-        "filing_id", "file", "role", "arc_seq", concept("a._from").alias("parent"), concept("a._to").alias("child"), F.coalesce(F.col("a._order").try_cast("double"), F.lit(0.0)).alias("order"),
-        F.coalesce(F.col("a._weight").try_cast("double"), F.lit(1.0)).alias("weight"), F.col("a._priority").try_cast("int").alias("priority"), F.col("a._use").alias("use"),
-        F.col("a._preferredLabel").alias("preferred_label"), F.col("a._arcrole").alias("arcrole"),
-    )
+    return _projected(raw, kind, ["filing_id", "file"])
+
+
+#: Kinds of networks that a linkbase may hold.
+KINDS = ("presentation", "calculation", "definition")
+
+
+def arcs_of(documents: DataFrame, column: str = "xml", key: str = "filing_id") -> DataFrame:
+    """All arcs of linkbases given as text: key, kind and the columns of arcs, by one parse of each text.
+
+    link_seq is the place of a link among those of its kind. A text that is no linkbase or cannot be parsed has no arcs.
+    """
+    links = ", ".join(f"{k}Link array<struct<_role: string, loc: {_LOC}, {k}Arc: {_ARC}>>" for k in KINDS)
+    parsed = documents.select(F.col(key).alias(key), F.from_xml(F.col(column), links, {"ignoreNamespace": "true", "mode": "PERMISSIVE"}).alias("x"))
+    out = None
+    for k in KINDS:
+        rows = _projected(parsed.select(key, F.posexplode(f"x.{k}Link").alias("link_seq", "l")).select(key, "link_seq", "l.*"), k, [key, "link_seq"]).withColumn("kind", F.lit(k))
+        out = rows if out is None else out.unionByName(rows)
+    return out
 
 
 def role_types(spark: SparkSession, path: str) -> DataFrame:
-    """role, role_id, definition from schemas and linkbases; the first definition of a role in a file's order counts."""
+    """filing_id, file, role, role_id, definition of all role types of schemas and linkbases; first_roles picks one for each role."""
     schema = "_roleURI string, _id string, definition string, usedOn array<string>"
     raw = spark.read.format("xml").option("rowTag", "roleType").option("ignoreNamespace", "true").option("recursiveFileLookup", "true").schema(schema).load(path)
-    return raw.select(F.regexp_replace(F.col("_metadata.file_path"), "/[^/]*$", "").alias("filing_id"), F.col("_roleURI").alias("role"), F.col("_id").alias("role_id"), F.trim("definition").alias("definition"), F.array_join("usedOn", ",").alias("used_on"))
+    return raw.select(F.regexp_replace(F.col("_metadata.file_path"), "/[^/]*$", "").alias("filing_id"), F.col("_metadata.file_path").alias("file"), F.col("_roleURI").alias("role"), F.col("_id").alias("role_id"), F.trim("definition").alias("definition"), F.array_join("usedOn", ",").alias("used_on"))
+
+
+def first_roles(roles: DataFrame) -> DataFrame:
+    """Of the definitions of each filing's roles the first: by file, schemas before linkbases, then by id."""
+    place = F.struct((~F.col("file").endswith(".xsd")).alias("linkbase"), "file", "role_id")
+    return roles.groupBy("filing_id", "role").agg(F.min_by(F.struct("role_id", "definition", "used_on"), place).alias("r")).select("filing_id", "role", "r.*")
 
 
 def elements(spark: SparkSession, path: str) -> DataFrame:
@@ -48,10 +77,40 @@ def elements(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
+def _tags(spark: SparkSession, path: str, tag: str, schema: str) -> DataFrame:
+    return spark.read.format("xml").option("rowTag", tag).option("ignoreNamespace", "true").option("recursiveFileLookup", "true").schema(schema).load(path)
+
+
 def imports(spark: SparkSession, path: str) -> DataFrame:
-    """file, namespace and location of each import of the schemas."""
-    raw = spark.read.format("xml").option("rowTag", "import").option("ignoreNamespace", "true").option("recursiveFileLookup", "true").schema("_namespace string, _schemaLocation string").load(path)
-    return raw.select(F.col("_metadata.file_path").alias("file"), F.col("_namespace").alias("namespace"), F.col("_schemaLocation").alias("location"))
+    """file, kind, namespace and location of what the schemas build on: imports, includes and references to linkbases."""
+    file = F.col("_metadata.file_path").alias("file")
+    schema = "_namespace string, _schemaLocation string"
+    rows = [_tags(spark, path, k, schema).select(file, F.lit(k).alias("kind"), F.col("_namespace").alias("namespace"), F.col("_schemaLocation").alias("location")) for k in ("import", "include")]
+    rows.append(_tags(spark, path, "linkbaseRef", "_href string").select(file, F.lit("linkbaseRef").alias("kind"), F.lit(None).cast("string").alias("namespace"), F.col("_href").alias("location")))
+    return rows[0].unionByName(rows[1]).unionByName(rows[2])
+
+
+def dependencies(imported: DataFrame) -> DataFrame:
+    """source, target: files and what they build on, relative locations resolved against the file's folder, as closure takes them.
+
+    Web addresses stay as they are; a fragment counts for nothing; a location that is missing or empty gives no row.
+    """
+    at = F.regexp_replace("location", "#.*$", "")
+    joined = F.when(at.rlike("^[A-Za-z][A-Za-z0-9+.-]*:|^/"), at).otherwise(F.concat(F.regexp_replace("file", "[^/]*$", ""), at))
+    plain = F.regexp_replace(joined, r"/\./", "/")
+    for _ in range(8):  # a/b/../c is a/c; paths that go up further stay as they are
+        plain = F.regexp_replace(plain, r"/(?!\.\./)[^/]+/\.\./", "/")
+    return imported.filter(F.coalesce(at, F.lit("")) != "").select(F.col("file").alias("source"), plain.alias("target")).distinct()
+
+
+def types_of(spark: SparkSession, path: str) -> DataFrame:
+    """file, kind (complex or simple), name and base of the type definitions of schemas that have a name."""
+    file = F.col("_metadata.file_path").alias("file")
+    inner = "struct<_base: string>"
+    bases = {"complexType": f"_name string, complexContent struct<extension: {inner}, restriction: {inner}>, simpleContent struct<extension: {inner}, restriction: {inner}>", "simpleType": f"_name string, restriction {inner}"}
+    complex_ = _tags(spark, path, "complexType", bases["complexType"]).select(file, F.lit("complex").alias("kind"), F.col("_name").alias("name"), F.coalesce("complexContent.extension._base", "complexContent.restriction._base", "simpleContent.extension._base", "simpleContent.restriction._base").alias("base"))
+    simple = _tags(spark, path, "simpleType", bases["simpleType"]).select(file, F.lit("simple").alias("kind"), F.col("_name").alias("name"), F.col("restriction._base").alias("base"))
+    return complex_.unionByName(simple).filter("name is not null")
 
 
 def inline_signs(documents: DataFrame) -> DataFrame:
@@ -62,7 +121,17 @@ def inline_signs(documents: DataFrame) -> DataFrame:
     return each.select("filing_id", "sign_seq", attr("name").alias("concept"), attr("contextRef").alias("context_id"), attr("sign").alias("sign")).filter("sign != ''")
 
 
+#: What may stand before the root element: a declaration, comments, instructions, a document type.
+_PROLOG = r"(?s)^\s*(<\?.*?\?>|<!--.*?-->|<!DOCTYPE[^>\[]*(\[.*?\])?\s*>|\s+)*"
+
+
 def well_formed(documents: DataFrame, column: str = "xml") -> DataFrame:
-    """Adds whether the text parses as XML with a root element."""
-    parsed = F.from_xml(F.col(column), "_corrupt_record string, _any string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"})
-    return documents.withColumn("well_formed", F.col(column).rlike(r"(?s)<\w") & parsed["_corrupt_record"].isNull())
+    """Adds whether the text parses as XML with exactly one root element and no text beside it; a null does not.
+
+    The text after the prolog is parsed as the content of another element, so that a second root shows.
+    """
+    inside = F.concat(F.lit("<o><w>"), F.regexp_replace(F.col(column), _PROLOG, ""), F.lit("</w></o>"))
+    # The column of what is corrupt has to be the last one: before others, it leaves these empty.
+    parsed = F.from_xml(inside, "w struct<xs_any: array<string>, _VALUE: string>, _corrupt_record string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"})
+    one = (F.size(parsed["w"]["xs_any"]) == 1) & parsed["w"]["_VALUE"].isNull()
+    return documents.withColumn("well_formed", F.coalesce(parsed["_corrupt_record"].isNull() & one, F.lit(False)))

@@ -95,3 +95,56 @@ def distribution_type(content_type: Column, url: Column) -> Column:
         .when(address.endswith("/"), "directory")
         .otherwise("unknown")
     )
+
+
+# Attributes of British company profiles and filings with their kinds, the format that counts as inline, the
+# market's name, ends of package names in order of trial.
+PROFILE = "company_number string, company_name string, company_status string, type string, jurisdiction string, date_of_creation string, sic_codes array<string>"
+HISTORY_ITEM = "transaction_id string, type string, description string, category string, date string, action_date string, barcode string, subcategory string, pages long, paper_filed boolean, preferred_format string, links struct<document_metadata: string>"
+INLINE_FORMAT, BRITISH, DEFAULT_JURISDICTION = "application/xhtml+xml", "uk", "england-wales"
+PACKAGE_ENDS = ("_htm.zip", "_xbrl.zip", "-xbrl.zip", "r2.zip", ".zip")
+
+
+def british_filings(responses: DataFrame, profile: str = "profile", history: str = "history") -> DataFrame:
+    """Standard result rows of British filings from stored responses: a company's profile and its filing history, both JSON texts.
+
+    entity_id, company_name, form_type, filing_date, accession_number, market_id, place (in the history), filing_description,
+    filing_category, period_end (the action's date, else the filing's), document_id (of the metadata's address), is_inline,
+    jurisdiction, pages, paper_filed. A response without items, or that is no JSON, gives no row; what is missing is null, the
+    jurisdiction and paper_filed have defaults.
+    """
+    items = F.from_json(history, f"struct<items: array<struct<{_colons(HISTORY_ITEM)}>>>")["items"]
+    rows = responses.select(F.from_json(profile, PROFILE).alias("p"), F.posexplode(items).alias("place", "i"))
+    return rows.select(
+        F.col("p.company_number").alias("entity_id"), F.col("p.company_name").alias("company_name"), F.col("i.type").alias("form_type"), F.col("i.date").alias("filing_date"), F.col("i.transaction_id").alias("accession_number"),
+        F.lit(BRITISH).alias("market_id"), "place", F.col("i.description").alias("filing_description"), F.col("i.category").alias("filing_category"),
+        F.coalesce(F.nullif(F.col("i.action_date"), F.lit("")), F.col("i.date")).alias("period_end"), F.nullif(F.regexp_extract("i.links.document_metadata", "/document/([^/]+)", 1), F.lit("")).alias("document_id"),
+        F.coalesce(F.col("i.preferred_format") == INLINE_FORMAT, F.lit(False)).alias("is_inline"), F.coalesce("p.jurisdiction", F.lit(DEFAULT_JURISDICTION)).alias("jurisdiction"), "i.pages", F.coalesce("i.paper_filed", F.lit(False)).alias("paper_filed"),
+    )
+
+
+def _colons(schema: str) -> str:
+    return ", ".join(x.replace(" ", ": ", 1) for x in schema.split(", "))
+
+
+def standard_rows(filings: DataFrame, market: str, **columns: str) -> DataFrame:
+    """Rows of any market as filing_url, form_type, filing_date, company_name, entity_id, accession_number, market_id.
+
+    columns: under which name filings has each of them; one that is not given is null. The market is the same for all.
+    """
+    names = ("filing_url", "form_type", "filing_date", "company_name", "entity_id", "accession_number")
+    if unknown := set(columns) - set(names):
+        raise ValueError(f"no such columns of results: {sorted(unknown)}")
+    return filings.select(*[(F.col(columns[n]).cast("string") if n in columns else F.lit(None).cast("string")).alias(n) for n in names], F.lit(market).alias("market_id"))
+
+
+def package_of(names: Column) -> Column:
+    """Of the file names of a filing's folder (an array) the package: the first name with the first end that any of them has; null without."""
+    first = lambda end: F.get(F.filter(names, lambda n: n.endswith(end)), F.lit(0))
+    return F.coalesce(*map(first, PACKAGE_ENDS))
+
+
+def package_in(index: Column) -> Column:
+    """The package that a folder's stored index (a JSON text: directory, item, name) lists."""
+    items = F.from_json(index, "struct<directory: struct<item: array<struct<name: string>>>>")["directory"]["item"]
+    return package_of(F.filter(F.transform(items, lambda i: i["name"]), lambda n: n.isNotNull()))
