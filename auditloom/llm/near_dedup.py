@@ -258,7 +258,7 @@ class Cell:
                 common, both = int(np.count_nonzero(inside[other])), int(self.sizes[i] + self.sizes[k])
                 if 100 * (common + 1) >= self.percent * (both - common - 1):  # two hashes of a set may have been one
                     yield int(self.ids[i]), int(self.ids[k])
-                    if 100 * common >= self.percent * (both - common):
+                    if 100 * (common - 1) >= self.percent * (both - common + 1):  # a link even if one hash in common is by chance
                         self.root[self.root == self.root[k]] = self.root[i]
             inside[own] = False
 
