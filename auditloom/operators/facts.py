@@ -37,7 +37,8 @@ def classify_duplicates(facts: DataFrame) -> DataFrame:
     magnitudes spread by 2 % of the largest at most: complete if they state one precision at most, else consistent.
     Otherwise they are inconsistent and nothing is selected. Selected is the entry with the highest decimals, the
     first of equal ones; unknown decimals rank last. Precisions are told apart by the attribute as written where there is
-    a column decimals_raw (INF is one of its own), else by decimals. One shuffle: the window and the aggregate share its keys.
+    a column decimals_raw (INF is one of its own), else by decimals. low and high are the least and the greatest value. One
+    shuffle: the window and the aggregate share its keys.
     """
     first = Window.partitionBy(*KEY).orderBy("fact_seq")
     seen = facts.withColumn("v0", F.first("value").over(first)).withColumn("d0", F.first("decimals").over(first))
@@ -52,6 +53,8 @@ def classify_duplicates(facts: DataFrame) -> DataFrame:
         F.max_by("value", F.struct(F.coalesce("decimals", F.lit(-(2**31))), -F.col("fact_seq"))).alias("best"),
         F.min_by("unit", "fact_seq").alias("unit"),
         F.max("decimals").alias("decimals"),
+        F.min("value").alias("low"),
+        F.max("value").alias("high"),
     )
     equal = F.col("all_alike") | (F.col("spread") <= N.DUPLICATE_SPREAD)
     kind = F.when(F.col("n_entries") == 1, F.lit(None).cast("string")).when(equal & F.col("one_precision"), "complete").when(equal, "consistent").otherwise("inconsistent")
@@ -127,9 +130,9 @@ def fallback_children(missing: DataFrame, facts: DataFrame) -> DataFrame:
 
 
 def common_values(facts: DataFrame) -> DataFrame:
-    """Concepts reported more than once in a period and context with values beyond tolerance of each other."""
+    """Concepts reported more than once in a period and context with values beyond tolerance of the lowest of them."""
     g = facts.groupBy("concept", "period_key", "context_id").agg(F.count("*").alias("n"), F.count_distinct("value").alias("n_values"), F.min("value").alias("low"), F.max("value").alias("high"))
-    return g.filter((F.col("n_values") > 1) & ~N.within_vertical(F.col("high"), F.col("low")))
+    return g.filter((F.col("n_values") > 1) & ~N.within_vertical(F.col("low"), F.col("high")))
 
 
 def sign_corrected(facts: DataFrame, signs: DataFrame) -> DataFrame:

@@ -31,7 +31,7 @@ def category_scores(checks: DataFrame) -> DataFrame:
     second over at most a few names for each filing.
     """
     failed = ~F.coalesce("passed", F.lit(False))
-    penalty = F.sum(F.when(failed, F.coalesce(F.try_element_at(_map(PENALTIES), F.col("severity")), F.lit(0.0))).otherwise(0.0))
+    penalty = F.sum(F.when(failed, F.coalesce(F.try_element_at(_map(PENALTIES), F.col("severity")), F.lit(PENALTIES["info"]))).otherwise(0.0))
     by_name = checks.groupBy("filing_id", "check_type", "check_name").agg(
         F.when(F.col("check_name").isin(*PASS_RATE_CHECKS), 100.0 * F.count_if(~failed) / F.count("*")).otherwise(F.greatest(F.lit(0.0), 100.0 - penalty)).alias("score"),
         F.count("*").alias("n_checks"),

@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from auditloom.functions import numbers as N
+
 
 def tree_results(arcs: DataFrame, checks: DataFrame) -> DataFrame:
     """One row for each tree (role, parent) of arcs, over its checks in all contexts.
@@ -31,6 +33,32 @@ def dual(company: DataFrame, taxonomy: DataFrame) -> DataFrame:
     return out.withColumn("sources_agree", F.coalesce(F.col("company_passed") == F.col("taxonomy_passed"), F.lit(True)))
 
 
+CHECK = ("filing_id", "context_id", "check_type", "check_name", "passed", "severity")
+
+
+def horizontal_checks(bound: DataFrame, groups: DataFrame) -> DataFrame:
+    """Check rows of the horizontal kind: each reported total against its components, and each fact that is given several times.
+
+    bound: bind's result; totals that do not bind are skipped, with passed null. groups: classify_duplicates' result.
+    """
+    passed = F.when(F.col("status") == "bound", N.within_tolerance(F.col("expected"), F.col("value"), F.col("child_decimals"), F.col("decimals")))
+    grave = N.severity(F.col("expected"), F.col("value"), F.col("n_found") < F.col("n_children"))
+    sums = bound.filter("status <> 'skip_no_parent'").withColumn("passed", passed).withColumn("severity", F.when(F.coalesce("passed", F.lit(True)), "info").otherwise(grave)).withColumn("check_name", F.lit("calculation_consistency"))
+    right = F.col("duplicate_type") != "inconsistent"
+    several = groups.filter("n_entries > 1").withColumn("passed", right).withColumn("severity", F.when(right, "info").otherwise("warning")).withColumn("check_name", F.lit("duplicate_facts"))
+    return sums.withColumn("check_type", F.lit("horizontal")).select(*CHECK).unionByName(several.withColumn("check_type", F.lit("horizontal")).select(*CHECK))
+
+
+def filing_trees(rolled: DataFrame) -> DataFrame:
+    """Each filing's calculation trees over all contexts that could be verified: filing_id, context_id (the first), passed, severity.
+
+    rolled: rollup's result. A tree passes if all its contexts do; how grave it is otherwise is told by the first context.
+    """
+    first = F.min_by(F.struct("expected", "value"), "context_id").alias("f")
+    trees = rolled.groupBy("filing_id", "role", "parent").agg(F.every("passed").alias("passed"), F.min("context_id").alias("context_id"), first, F.bool_or(F.col("n_found") < F.col("n_children")).alias("missing"))
+    return trees.withColumn("severity", F.when(F.col("passed"), "info").otherwise(N.severity(F.col("f.expected"), F.col("f.value"), F.col("missing")))).select("filing_id", "context_id", "passed", "severity")
+
+
 def vertical_checks(filings: dict[str, DataFrame], common: DataFrame) -> DataFrame:
     """Check rows of the vertical kind: roll-ups by name of check, and common values, of which only failed ones are given.
 
@@ -41,6 +69,26 @@ def vertical_checks(filings: dict[str, DataFrame], common: DataFrame) -> DataFra
     return reduce(lambda a, b: a.unionByName(b), rows).withColumn("check_type", F.lit("vertical"))
 
 
+def unlike_values(groups: DataFrame) -> DataFrame:
+    """filing_id, context_id of facts that a context gives several times with values beyond tolerance; groups as classify_duplicates leaves them."""
+    return groups.filter((F.col("n_entries") > 1) & (F.col("low") != F.col("high")) & ~N.within_vertical(F.col("low"), F.col("high"))).select("filing_id", "context_id")
+
+
+def all_checks(resolved: DataFrame, bound: DataFrame, rolled: DataFrame, library: DataFrame) -> DataFrame:
+    """The check rows of all three kinds for scoring: filing_id, context_id, check_type, check_name, passed, severity.
+
+    resolved, bound, rolled: the filings' facts by classify_duplicates, bind and rollup; library: library_checks' result, whose
+    rows have no context. A filing without unlike common values passes that check with one row.
+    """
+    common = unlike_values(resolved)
+    vertical = vertical_checks({"xbrl_calculation_company": filing_trees(rolled)}, common).select(*CHECK)
+    fine = resolved.select("filing_id").distinct().join(common.select("filing_id").distinct(), "filing_id", "left_anti")
+    none = F.lit(None).cast(dict(resolved.dtypes)["context_id"]).alias("context_id")
+    consistent = fine.select("filing_id", none, F.lit("vertical").alias("check_type"), F.lit("common_values_consistency").alias("check_name"), F.lit(True).alias("passed"), F.lit("info").alias("severity"))
+    known = library.select("filing_id", none, "check_type", "check_name", "passed", "severity")
+    return horizontal_checks(bound, resolved).unionByName(vertical).unionByName(consistent).unionByName(known)
+
+
 def multi_role_parents(arcs: DataFrame) -> DataFrame:
     """Parents that are calculated in several roles."""
     return arcs.groupBy("parent").agg(F.array_sort(F.collect_set("role")).alias("roles")).filter(F.size("roles") > 1)

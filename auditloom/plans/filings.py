@@ -8,7 +8,10 @@ from pyspark.sql import functions as F
 from auditloom.functions import names, numbers
 from auditloom.operators import facts as O
 from auditloom.operators import hierarchy as H
+from auditloom.operators import library as L
 from auditloom.operators import scoring as S
+from auditloom.operators import verify as V
+from auditloom.operators.lineage import cut
 from auditloom.plans import proxies as X
 from auditloom.plans.registry import Registry
 
@@ -25,31 +28,65 @@ def _bound(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _checks(spark: SparkSession, d: str) -> DataFrame:
-    """Check results by customer: roll-ups, and duplicates as checks of the horizontal kind."""
-    owner = X.table(spark, d, "orders").select(F.col("o_orderkey").alias("context_id"), F.col("o_custkey").alias("owner"))
-    roll = O.rollup(_bound(spark, d)).select("context_id", F.lit("vertical").alias("check_type"), F.lit("xbrl_calculation_company").alias("check_name"), "passed", "severity")
-    dup = _resolved(spark, d).filter("n_entries > 1").select(
-        "context_id", F.lit("horizontal").alias("check_type"), F.lit("duplicate_facts").alias("check_name"), (F.col("duplicate_type") != "inconsistent").alias("passed"),
-        F.when(F.col("duplicate_type") == "inconsistent", "warning").otherwise("info").alias("severity"),
+    """Check results of all kinds, a filing for each customer: its orders are the contexts. Facts are resolved once, totals bound once."""
+    orders = X.table(spark, d, "orders").select(F.col("o_orderkey").alias("context_id"), F.col("o_custkey").alias("filing_id"))
+    owned = lambda df: df.drop("filing_id").join(orders, "context_id")
+    resolved = cut(O.classify_duplicates(owned(X.facts(spark, d))))
+    bound = cut(O.bind(resolved, X.arcs(spark, d), owned(X.parents(spark, d))))
+    facts, definitions = library_tables(spark, d, orders)
+    return V.all_checks(resolved, bound, O.rollup(bound), L.library_checks(L.library_counts(facts, definitions)))
+
+
+def library_tables(spark: SparkSession, d: str, orders: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """Facts and definitions of parts: a filing for each supplier or, with orders (context_id, filing_id), for their owners."""
+    lines = X.table(spark, d, "lineitem").withColumn("filing_id", F.col("l_suppkey"))
+    lines = lines if orders is None else lines.drop("filing_id").join(orders, F.col("l_orderkey") == F.col("context_id"))
+    k, n, size = F.col("l_partkey"), F.col("l_linenumber"), F.col("p_size")
+    facts = lines.select(
+        "filing_id", F.concat(F.when(k % 10 == 0, "ext:Part").otherwise("us-gaap:Part"), k).alias("concept"), (F.col("l_extendedprice") - 20000).alias("value"),
+        F.when(n % 2 == 0, F.col("l_shipdate")).alias("period_start"), F.when(n != 5, F.col("l_shipdate")).alias("period_end"), (n == 7).alias("is_abstract"),
     )
-    return roll.unionByName(dup).join(owner, "context_id").withColumnRenamed("owner", "filing_id")
+    definitions = X.table(spark, d, "part").filter("p_partkey % 7 != 0").select(
+        F.concat(F.when(F.col("p_partkey") % 2 == 0, "us-gaap:Part").otherwise("Part"), "p_partkey").alias("name"), F.when(size % 5 != 0, F.when(size % 2 == 1, "instant").otherwise("duration")).alias("period_type"),
+        F.when(size % 3 == 0, "debit").when(size % 3 == 1, "credit").alias("balance"), F.col("p_partkey").alias("def_seq"), F.col("p_brand").alias("source"),
+    )
+    return facts, definitions
+
 
+LIBRARY_SQL = """lib AS (SELECT l_suppkey AS filing_id, l_partkey AS k, CASE l_partkey % 10 WHEN 0 THEN 'ext:Part' ELSE 'us-gaap:Part' END || l_partkey AS concept, l_extendedprice - 20000 AS value,
+  CASE WHEN l_linenumber % 2 = 0 THEN l_shipdate END AS period_start, CASE WHEN l_linenumber <> 5 THEN l_shipdate END AS period_end, l_linenumber = 7 AS is_abstract FROM lineitem),
+defs AS (SELECT p_partkey, CASE WHEN p_partkey % 2 = 0 THEN 'us-gaap:Part' ELSE 'Part' END || p_partkey AS name, CASE WHEN p_size % 5 <> 0 THEN CASE WHEN p_size % 2 = 1 THEN 'instant' ELSE 'duration' END END AS kind,
+  CASE p_size % 3 WHEN 0 THEN 'debit' WHEN 1 THEN 'credit' END AS balance FROM part WHERE p_partkey % 7 <> 0),
+looked AS (SELECT f.*, coalesce(a.p_partkey, b.p_partkey) IS NOT NULL AS known, CASE WHEN a.p_partkey IS NOT NULL THEN a.kind ELSE b.kind END AS kind, CASE WHEN a.p_partkey IS NOT NULL THEN a.balance ELSE b.balance END AS balance,
+  CASE WHEN period_end IS NOT NULL THEN CASE WHEN period_start IS NOT NULL THEN 'duration' ELSE 'instant' END END AS actual
+  FROM lib f LEFT JOIN defs a ON a.name = f.concept LEFT JOIN defs b ON b.name = 'Part' || f.k WHERE NOT is_abstract),
+counts AS (SELECT filing_id, count(*) FILTER (known) AS n_valid, count(*) FILTER (NOT known AND concept LIKE 'ext:%') AS n_extension, count(*) FILTER (NOT known AND concept NOT LIKE 'ext:%') AS n_unknown,
+  count(*) FILTER (kind IS NOT NULL) AS n_periods, count(*) FILTER (actual <> kind) AS n_wrong_periods, count(*) FILTER (balance IS NOT NULL) AS n_balances, count(*) FILTER (balance IS NOT NULL AND value < 0) AS n_negative FROM looked GROUP BY filing_id)"""
 
+UNLIKE_SQL = "low <> high AND NOT (CASE WHEN high = 0 AND low = 0 THEN true WHEN abs(low) < 1000 THEN abs(high - low) <= 1 ELSE abs(high - low) / abs(low) <= 0.01 END)"
+WEIGHTS_SQL = "CASE check_name " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in S.CHECK_WEIGHTS.items()) + " END"
 CHECK_ROWS_SQL = f"""{X.CHECKS_SQL},
+own AS (SELECT o_orderkey AS context_id, o_custkey AS filing_id FROM orders),
+{LIBRARY_SQL.replace("l_suppkey AS filing_id", "o_custkey AS filing_id").replace("FROM lineitem)", "FROM lineitem JOIN orders ON o_orderkey = l_orderkey)")},
+extremes AS (SELECT context_id, concept, min(value) AS low, max(value) AS high FROM facts GROUP BY ALL HAVING count(*) > 1),
+unlike AS (SELECT filing_id, context_id FROM extremes JOIN own USING (context_id) WHERE {UNLIKE_SQL}),
+trees AS (SELECT filing_id, min(context_id) AS context_id, bool_and(passed) AS passed, arg_min(expected, context_id) AS expected, arg_min(value, context_id) AS value, min(n_found - n_children) AS n_found, 0 AS n_children FROM checks JOIN own USING (context_id) GROUP BY filing_id, role),
 results AS (
-  SELECT o_custkey AS filing_id, t.* FROM orders JOIN (
-    SELECT context_id, 'vertical' AS check_type, 'xbrl_calculation_company' AS check_name, passed, severity FROM checks
-    UNION ALL SELECT context_id, 'horizontal', 'duplicate_facts', duplicate_type <> 'inconsistent', CASE WHEN duplicate_type = 'inconsistent' THEN 'warning' ELSE 'info' END FROM resolved WHERE n_entries > 1) t
-  ON t.context_id = o_orderkey),
-types AS (
-  SELECT filing_id, check_type, CAST(count(*) AS BIGINT) AS n_checks, CAST(count(*) FILTER (NOT passed AND severity = 'critical') AS BIGINT) AS n_critical, CAST(count(*) FILTER (NOT passed AND severity = 'warning') AS BIGINT) AS n_warning,
-         CASE WHEN check_type = 'vertical' THEN 100.0 * count(*) FILTER (passed) / count(*)
-              ELSE greatest(0.0, 100.0 - 25.0 * count(*) FILTER (NOT passed AND severity = 'critical') - 5.0 * count(*) FILTER (NOT passed AND severity = 'warning')) END AS score
-  FROM results GROUP BY filing_id, check_type),
+  SELECT filing_id, context_id, 'horizontal' AS check_type, 'calculation_consistency' AS check_name, c.passed, coalesce(c.severity, 'info') AS severity FROM bound b JOIN own USING (context_id) LEFT JOIN checks c USING (context_id) WHERE b.status <> 'skip_no_parent'
+  UNION ALL SELECT filing_id, context_id, 'horizontal', 'duplicate_facts', duplicate_type <> 'inconsistent', CASE WHEN duplicate_type = 'inconsistent' THEN 'warning' ELSE 'info' END FROM resolved JOIN own USING (context_id) WHERE n_entries > 1
+  UNION ALL SELECT filing_id, context_id, 'vertical', 'xbrl_calculation_company', passed, {X.SEVERITY_SQL} FROM trees
+  UNION ALL SELECT filing_id, context_id, 'vertical', 'common_values_consistency', false, 'warning' FROM unlike
+  UNION ALL SELECT DISTINCT filing_id, NULL::BIGINT, 'vertical', 'common_values_consistency', true, 'info' FROM resolved JOIN own USING (context_id) WHERE filing_id NOT IN (SELECT filing_id FROM unlike)
+  UNION ALL SELECT filing_id, NULL, 'library', 'concept_validity', n_unknown = 0, 'info' FROM counts
+  UNION ALL SELECT filing_id, NULL, 'library', 'period_type_match', n_wrong_periods = 0, CASE WHEN n_wrong_periods = 0 THEN 'info' ELSE 'warning' END FROM counts
+  UNION ALL SELECT filing_id, NULL, 'library', 'balance_type_match', true, 'info' FROM counts),
+named AS (SELECT filing_id, check_type, check_name, {WEIGHTS_SQL} AS w, count(*) AS n, count(*) FILTER (passed IS DISTINCT FROM true AND severity = 'critical') AS nc, count(*) FILTER (passed IS DISTINCT FROM true AND severity = 'warning') AS nw,
+  CASE WHEN check_name = 'xbrl_calculation_company' THEN 100.0 * count(*) FILTER (passed) / count(*) ELSE greatest(0.0, 100.0 - sum(CASE WHEN passed THEN 0.0 WHEN severity = 'critical' THEN 25.0 WHEN severity = 'warning' THEN 5.0 ELSE 0.5 END)) END AS s FROM results GROUP BY filing_id, check_type, check_name),
+types AS (SELECT filing_id, check_type, CAST(sum(n) AS BIGINT) AS n_checks, CAST(sum(nc) AS BIGINT) AS n_critical, CAST(sum(nw) AS BIGINT) AS n_warning, sum(s * w) / sum(w) AS score FROM named GROUP BY ALL),
 scores AS (
-  SELECT filing_id, coalesce(max(score) FILTER (check_type = 'horizontal'), 100.0) AS h, coalesce(max(score) FILTER (check_type = 'vertical'), 100.0) AS v,
+  SELECT filing_id, coalesce(max(score) FILTER (check_type = 'horizontal'), 100.0) AS h, coalesce(max(score) FILTER (check_type = 'vertical'), 100.0) AS v, coalesce(max(score) FILTER (check_type = 'library'), 100.0) AS l,
          CAST(sum(n_checks) AS BIGINT) AS n_checks, CAST(sum(n_critical) AS BIGINT) AS n_critical, CAST(sum(n_warning) AS BIGINT) AS n_warning FROM types GROUP BY filing_id),
-graded AS (SELECT *, h * 0.4 + v * 0.4 + 20.0 AS overall FROM scores),
+graded AS (SELECT *, h * 0.4 + v * 0.4 + l * 0.2 AS overall FROM scores),
 levels AS (SELECT *, CASE WHEN (h < 50 OR v < 50) AND l2 IN ('EXCELLENT', 'GOOD') THEN 'FAIR' ELSE l2 END AS level FROM (
   SELECT *, CASE WHEN n_critical > 0 AND l1 = 'EXCELLENT' THEN 'GOOD' WHEN n_critical >= 2 AND l1 = 'GOOD' THEN 'FAIR' ELSE l1 END AS l2 FROM (
     SELECT *, CASE WHEN overall >= 90 THEN 'EXCELLENT' WHEN overall >= 75 THEN 'GOOD' WHEN overall >= 50 THEN 'FAIR' WHEN overall >= 25 THEN 'POOR' ELSE 'UNUSABLE' END AS l1 FROM graded)))"""
@@ -117,7 +154,7 @@ def binding_fallback(spark: SparkSession, d: str) -> DataFrame:
 
 @_r.add("""WITH g AS (SELECT p_brand AS concept, year(l_shipdate) AS period_key, l_linestatus AS context_id, count(*) AS n, count(DISTINCT l_extendedprice) AS n_values, min(l_extendedprice) AS low, max(l_extendedprice) AS high
 FROM lineitem JOIN part ON p_partkey = l_partkey GROUP BY ALL)
-SELECT * FROM g WHERE n_values > 1 AND NOT (CASE WHEN high = 0 AND low = 0 THEN true WHEN abs(high) < 1000 THEN abs(high - low) <= 1 ELSE abs(high - low) / abs(high) <= 0.01 END)""")
+SELECT * FROM g WHERE n_values > 1 AND NOT (CASE WHEN high = 0 AND low = 0 THEN true WHEN abs(low) < 1000 THEN abs(high - low) <= 1 ELSE abs(high - low) / abs(low) <= 0.01 END)""")
 def vertical_common_values(spark: SparkSession, d: str) -> DataFrame:
     lines, part = X.table(spark, d, "lineitem"), X.table(spark, d, "part")
     f = lines.join(part, F.col("l_partkey") == F.col("p_partkey")).select(F.col("p_brand").alias("concept"), F.year("l_shipdate").cast("long").alias("period_key"), F.col("l_linestatus").alias("context_id"), F.col("l_extendedprice").alias("value"))
@@ -143,10 +180,10 @@ def category_scores(spark: SparkSession, d: str) -> DataFrame:
     return S.category_scores(_checks(spark, d)).select("filing_id", "check_type", "n_checks", "n_critical", "n_warning", F.round("score", 6).alias("score"))
 
 
-@_r.add(f"""WITH {CHECK_ROWS_SQL}, c AS (SELECT *, (h + v + 100.0) / 3 AS m FROM levels)
+@_r.add(f"""WITH {CHECK_ROWS_SQL}, c AS (SELECT *, (h + v + l) / 3 AS m FROM levels)
 SELECT filing_id, round(overall, 6) AS overall_score, n_critical, level,
 round(greatest(0.0, 1.0 - 0.15 * ((abs(overall - 90) < 5)::INT + (abs(overall - 75) < 5)::INT + (abs(overall - 50) < 5)::INT + (abs(overall - 25) < 5)::INT)
- - 0.2 * (((h - m) * (h - m) + (v - m) * (v - m) + (100.0 - m) * (100.0 - m)) / 3 > 400)::INT - 0.15 * (n_checks < 5)::INT), 6) AS confidence FROM c""")
+ - 0.2 * (((h - m) * (h - m) + (v - m) * (v - m) + (l - m) * (l - m)) / 3 > 400)::INT - 0.15 * (n_checks < 5)::INT), 6) AS confidence FROM c""")
 def quality_level(spark: SparkSession, d: str) -> DataFrame:
     s = S.filing_scores(S.category_scores(_checks(spark, d)))
     return s.select("filing_id", F.round("overall_score", 6).alias("overall_score"), "n_critical", "level", F.round("confidence", 6).alias("confidence"))
@@ -157,8 +194,8 @@ def quality_summary(spark: SparkSession, d: str) -> DataFrame:
     return S.level_counts(S.filing_scores(S.category_scores(_checks(spark, d)))).select("level", "n", F.round("mean_score", 4).alias("mean_score"))
 
 
-@_r.add(f"""WITH {CHECK_ROWS_SQL}, ranked AS (SELECT filing_id, check_name, severity, context_id AS check_seq, row_number() OVER (PARTITION BY filing_id ORDER BY CASE severity WHEN 'critical' THEN 0 WHEN 'warning' THEN 1 ELSE 2 END, context_id, check_name) AS place
-FROM (SELECT DISTINCT * FROM results WHERE NOT passed)) SELECT * FROM ranked WHERE place <= 10""")
+@_r.add(f"""WITH {CHECK_ROWS_SQL}, ranked AS (SELECT filing_id, check_name, severity, context_id AS check_seq, row_number() OVER (PARTITION BY filing_id ORDER BY CASE severity WHEN 'critical' THEN 0 WHEN 'warning' THEN 1 ELSE 2 END, context_id NULLS FIRST, check_name) AS place
+FROM (SELECT DISTINCT * FROM results WHERE passed IS DISTINCT FROM true)) SELECT * FROM ranked WHERE place <= 10""")
 def failed_top10(spark: SparkSession, d: str) -> DataFrame:
     return S.failed_first(_checks(spark, d).withColumnRenamed("context_id", "check_seq").distinct(), 10)
 

@@ -12,7 +12,9 @@ from auditloom.operators import facts as O
 from auditloom.operators import library as L
 from auditloom.operators import reports as R
 from auditloom.operators import verify as V
+from auditloom.operators.lineage import cut
 from auditloom.plans import proxies as X
+from auditloom.plans.filings import LIBRARY_SQL, library_tables
 from auditloom.plans.proxies import table
 from auditloom.plans.registry import Registry
 
@@ -22,9 +24,12 @@ QUERIES, ORACLE = _r.queries, _r.oracle
 WEIGHT_SQL = "CASE WHEN k = 4 THEN -1.0 ELSE 1.0 END"
 
 
-def _checks(spark: SparkSession, d: str, arcs: DataFrame) -> DataFrame:
-    resolved = O.classify_duplicates(X.facts(spark, d))
-    return O.rollup(O.bind(resolved, arcs, X.parents(spark, d)))
+def _resolved(spark: SparkSession, d: str) -> DataFrame:
+    return cut(O.classify_duplicates(X.facts(spark, d)))
+
+
+def _checks(spark: SparkSession, d: str, arcs: DataFrame, resolved: DataFrame | None = None) -> DataFrame:
+    return O.rollup(O.bind(O.classify_duplicates(X.facts(spark, d)) if resolved is None else resolved, arcs, X.parents(spark, d)))
 
 
 def _tree_sql(checks: str) -> str:
@@ -40,7 +45,8 @@ def dual_verify(spark: SparkSession, d: str) -> DataFrame:
     """Totals by the company's calculation and by the taxonomy's, which has no negative weight and lacks one role."""
     company = X.arcs(spark, d)
     taxonomy = company.filter("role != '1-URGENT'").withColumn("weight", F.lit(1.0))
-    return V.dual(V.tree_results(company, _checks(spark, d, company)), V.tree_results(taxonomy, _checks(spark, d, taxonomy)))
+    resolved = _resolved(spark, d)
+    return V.dual(V.tree_results(company, _checks(spark, d, company, resolved)), V.tree_results(taxonomy, _checks(spark, d, taxonomy, resolved)))
 
 
 @_r.add(f"""WITH {X.CHECKS_SQL}, t AS (SELECT role, count(*) AS contexts_verified, count(*) FILTER (passed) AS contexts_passed, arg_min(round(expected, 2), context_id) AS expected, arg_min(value, context_id) AS value FROM checks GROUP BY role)
@@ -117,45 +123,21 @@ def weight_lookup(spark: SparkSession, d: str) -> DataFrame:
     return V.weights_of(pairs, _part_arcs(spark, d))
 
 
-LIBRARY_SQL = """facts AS (SELECT l_suppkey AS filing_id, l_partkey AS k, CASE l_partkey % 10 WHEN 0 THEN 'ext:Part' ELSE 'us-gaap:Part' END || l_partkey AS concept, l_extendedprice - 20000 AS value,
-  CASE WHEN l_linenumber % 2 = 0 THEN l_shipdate END AS period_start, CASE WHEN l_linenumber <> 5 THEN l_shipdate END AS period_end, l_linenumber = 7 AS is_abstract FROM lineitem),
-defs AS (SELECT p_partkey, CASE WHEN p_partkey % 2 = 0 THEN 'us-gaap:Part' ELSE 'Part' END || p_partkey AS name, CASE WHEN p_size % 5 <> 0 THEN CASE WHEN p_size % 2 = 1 THEN 'instant' ELSE 'duration' END END AS kind,
-  CASE p_size % 3 WHEN 0 THEN 'debit' WHEN 1 THEN 'credit' END AS balance FROM part WHERE p_partkey % 7 <> 0),
-found AS (SELECT f.*, coalesce(a.p_partkey, b.p_partkey) IS NOT NULL AS known, CASE WHEN a.p_partkey IS NOT NULL THEN a.kind ELSE b.kind END AS kind, CASE WHEN a.p_partkey IS NOT NULL THEN a.balance ELSE b.balance END AS balance,
-  CASE WHEN period_end IS NOT NULL THEN CASE WHEN period_start IS NOT NULL THEN 'duration' ELSE 'instant' END END AS actual
-  FROM facts f LEFT JOIN defs a ON a.name = f.concept LEFT JOIN defs b ON b.name = 'Part' || f.k WHERE NOT is_abstract),
-counts AS (SELECT filing_id, count(*) FILTER (known) AS n_valid, count(*) FILTER (NOT known AND concept LIKE 'ext:%') AS n_extension, count(*) FILTER (NOT known AND concept NOT LIKE 'ext:%') AS n_unknown,
-  count(*) FILTER (kind IS NOT NULL) AS n_periods, count(*) FILTER (actual <> kind) AS n_wrong_periods, count(*) FILTER (balance IS NOT NULL) AS n_balances, count(*) FILTER (balance IS NOT NULL AND value < 0) AS n_negative FROM found GROUP BY filing_id)"""
-
-
-def _library(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    k, n, size = F.col("l_partkey"), F.col("l_linenumber"), F.col("p_size")
-    facts = table(spark, d, "lineitem").select(
-        F.col("l_suppkey").alias("filing_id"), F.concat(F.when(k % 10 == 0, "ext:Part").otherwise("us-gaap:Part"), k).alias("concept"), (F.col("l_extendedprice") - 20000).alias("value"),
-        F.when(n % 2 == 0, F.col("l_shipdate")).alias("period_start"), F.when(n != 5, F.col("l_shipdate")).alias("period_end"), (n == 7).alias("is_abstract"),
-    )
-    definitions = table(spark, d, "part").filter("p_partkey % 7 != 0").select(
-        F.concat(F.when(F.col("p_partkey") % 2 == 0, "us-gaap:Part").otherwise("Part"), "p_partkey").alias("name"), F.when(size % 5 != 0, F.when(size % 2 == 1, "instant").otherwise("duration")).alias("period_type"),
-        F.when(size % 3 == 0, "debit").when(size % 3 == 1, "credit").alias("balance"), F.col("p_partkey").alias("def_seq"), F.col("p_brand").alias("source"),
-    )
-    return facts, definitions
-
-
 @_r.add(f"WITH {LIBRARY_SQL} SELECT * FROM counts")
 def library_counts(spark: SparkSession, d: str) -> DataFrame:
-    return L.library_counts(*_library(spark, d))
+    return L.library_counts(*library_tables(spark, d))
 
 
 @_r.add(f"""WITH {LIBRARY_SQL} SELECT filing_id, 'library' AS check_type, 'concept_validity' AS check_name, n_unknown = 0 AS passed, 'info' AS severity, n_valid + n_extension + n_unknown AS n_checked, n_unknown AS n_found FROM counts
 UNION ALL SELECT filing_id, 'library', 'period_type_match', n_wrong_periods = 0, CASE WHEN n_wrong_periods = 0 THEN 'info' ELSE 'warning' END, n_periods, n_wrong_periods FROM counts
 UNION ALL SELECT filing_id, 'library', 'balance_type_match', true, 'info', n_balances, n_negative FROM counts""")
 def library_checks(spark: SparkSession, d: str) -> DataFrame:
-    return L.library_checks(L.library_counts(*_library(spark, d)))
+    return L.library_checks(L.library_counts(*library_tables(spark, d)))
 
 
 @_r.add(f"WITH {LIBRARY_SQL} SELECT p_brand AS source, count(*) AS n, count(*) FILTER (kind = 'instant') AS n_instant, count(*) FILTER (kind = 'duration') AS n_duration, count(balance) AS n_balance FROM defs JOIN part USING (p_partkey) GROUP BY p_brand")
 def taxonomy_summary(spark: SparkSession, d: str) -> DataFrame:
-    return L.taxonomy_summary(_library(spark, d)[1])
+    return L.taxonomy_summary(library_tables(spark, d)[1])
 
 
 CONTEXTS_SQL = "contexts AS (SELECT o_custkey AS filing_id, o_orderkey AS context_id, o_orderpriority AS entity, CAST(year(o_orderdate) AS VARCHAR) AS period_key, o_orderstatus = 'F' AS dimensional FROM orders)"
