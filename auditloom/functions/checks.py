@@ -181,6 +181,24 @@ def european_category(name: Column) -> Column:
     return F.when(key.isin(*EUROPEAN_MAIN, *EUROPEAN_OTHER), "main").when(t.contains("detail"), "detail").when(t.contains("note"), "note").otherwise("other")
 
 
+# Main statements of European filings by key, other keys that stand for them, and the slot that each fills.
+EUROPEAN_SLOTS = {
+    "statementoffinancialposition": "balance_sheet", "profitorloss": "income_statement", "statementofcashflows": "cash_flow", "statementofchangesinequity": "equity_statement",
+    "statementofcomprehensiveincome": "comprehensive_income", "notesandmandatoryitems": "notes",
+}
+EUROPEAN_NAMES = {
+    "balancesheet": "statementoffinancialposition", "consolidatedbalancesheet": "statementoffinancialposition", "incomestatement": "profitorloss", "profitandloss": "profitorloss", "cashflowstatement": "statementofcashflows",
+    "equitystatement": "statementofchangesinequity", "comprehensiveincome": "statementofcomprehensiveincome", "othercomprehensiveincome": "statementofcomprehensiveincome", "notes": "notesandmandatoryitems",
+}
+
+
+def european_slot(name: Column) -> Column:
+    """The main statement that a European statement's name stands for; null for others."""
+    key = names.statement_key(name)
+    table = lambda values: F.create_map(*[F.lit(x) for pair in values.items() for x in pair])
+    return F.try_element_at(table(EUROPEAN_SLOTS), F.coalesce(F.try_element_at(table(EUROPEAN_NAMES), key), key))
+
+
 def is_default_member(member: Column, default: Column, domain: Column) -> Column:
     """No member, or one whose last part is that of the dimension's default or domain."""
     last = lambda c: names.canonical(F.substring_index(F.substring_index(c, ":", -1), "_", -1))

@@ -167,6 +167,19 @@ ARCROLES = {
 STATEMENT_ENDS = ("parenthetical", "details", "policies", "tables", "_parenthetical", "_details", "_policies", "_tables")
 
 
+# What users call the reports of European issuers, without spaces and hyphens.
+EUROPEAN_FORMS = {
+    "annual": "AFR", "afr": "AFR", "yearly": "AFR", "10k": "AFR", "semiannual": "SFR", "sfr": "SFR", "halfyear": "SFR", "interim": "IFR", "ifr": "IFR", "quarterly": "QFR", "qfr": "QFR", "10q": "QFR",
+}
+
+
+def european_form(c: Column) -> Column:
+    """The kind of report that a European form's name means; other names in capitals."""
+    t = strip(c)
+    known = F.create_map(*[F.lit(x) for pair in EUROPEAN_FORMS.items() for x in pair])
+    return F.coalesce(F.try_element_at(known, F.translate(F.lower(t), " -", "")), F.upper(t))
+
+
 def last_part_key(concept: Column) -> Column:
     """The variant of concept_key that cuts after the last colon and then after the last underscore."""
     return canonical(F.substring_index(F.substring_index(F.coalesce(concept, F.lit("")), ":", -1), "_", -1))

@@ -127,6 +127,23 @@ def mismatch_reasons(expected: Column, actual: Column) -> Column:
     )
 
 
+def mismatch_diagnosis(parent: Column, expected: Column, sign: Column) -> Column:
+    """What may explain that a total is not its expected sum: an array of correction, magnitude, opposite; empty where they are equal.
+
+    correction: the total's markup has a minus sign, and the negative total is nearer. magnitude: the sizes are within 1 % of the total,
+    so that signs differ. opposite: the difference is twice the expected sum, within 1 % of the total.
+    """
+    gap, near = parent - expected, 0.01 * F.abs(parent)
+    differ = gap != 0
+    return F.array_compact(
+        F.array(
+            F.when((sign == "-") & (F.abs(-F.abs(parent) - expected) < F.abs(gap)), "correction"),
+            F.when(differ & (F.abs(F.abs(parent) - F.abs(expected)) < near), "magnitude"),
+            F.when(differ & (F.abs(gap - 2 * F.abs(expected)) < near), "opposite"),
+        )
+    )
+
+
 def percent_done(done: Column, total: Column) -> Column:
     return F.round(F.least(F.greatest(F.coalesce(F.try_divide(done * 100.0, total), F.lit(0.0)), F.lit(0.0)), F.lit(100.0)), 2)
 

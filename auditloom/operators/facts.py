@@ -30,6 +30,11 @@ def group_facts(facts: DataFrame) -> DataFrame:
     return facts.groupBy(*KEY).agg(F.count("*").alias("n_entries"), F.array_sort(F.collect_list(F.struct("fact_seq", "value", "unit", "decimals"))).alias("entries"))
 
 
+def contexts_with(facts: DataFrame, wanted: DataFrame) -> DataFrame:
+    """filing_id, concept, context_id: the contexts that hold a wanted concept (filing_id, concept), each once."""
+    return facts.join(wanted.select("filing_id", "concept").distinct(), ["filing_id", "concept"], "left_semi").select("filing_id", "concept", "context_id").distinct()
+
+
 def classify_duplicates(facts: DataFrame) -> DataFrame:
     """One row a filing, context and concept: n_entries, duplicate_type, selected_value and what it was judged by.
 

@@ -93,3 +93,36 @@ def missing_concepts(facts: DataFrame, required: list[str]) -> DataFrame:
 def batch_totals(reports: DataFrame) -> DataFrame:
     """Totals of a batch of validation reports: files, valid ones, errors and warnings."""
     return reports.agg(F.count("*").alias("n_files"), F.count_if("is_valid").alias("n_valid"), F.sum("n_errors").alias("n_errors"), F.sum("n_warnings").alias("n_warnings"))
+
+
+def european_main(statements: DataFrame, name: Column, slot: Column) -> DataFrame:
+    """filing_id, slot, name: the main statement of each slot, of several the last (by stmt_seq)."""
+    named = statements.withColumn("_name", name).withColumn("slot", slot).filter("slot is not null")
+    return named.groupBy("filing_id", "slot").agg(F.max_by("_name", "stmt_seq").alias("name"))
+
+
+def filing_text(info: DataFrame, summary: DataFrame, top: DataFrame) -> DataFrame:
+    """A text of lines for each filing: what it is, how much it holds, its commonest concepts.
+
+    info: filing_id, company, form, date, of which missing ones show as N/A. summary: filing_id, n_facts, n_monetary, n_nil. top: filing_id, place, concept, n.
+    Lines without a count are left out.
+    """
+    line = lambda label, value: F.concat(F.lit(f"{label}: "), value)
+    share = lambda n: F.concat(F.format_number(n, 0), F.lit(" ("), F.round(F.try_divide(100.0 * n, F.col("n_facts")), 0).cast("int").cast("string"), F.lit("%)"))
+    concepts = top.groupBy("filing_id").agg(F.array_sort(F.collect_list(F.struct("place", "concept", "n"))).alias("top"))
+    rows = info.join(summary, "filing_id").join(concepts, "filing_id", "left")
+    shown = F.transform(F.coalesce("top", F.array().cast(concepts.schema["top"].dataType)), lambda t: F.concat(F.lit("  "), t["concept"], F.lit(": "), t["n"].cast("string")))
+    head = [line("Filing", F.col("filing_id").cast("string")), *[line(label, F.coalesce(F.col(c).cast("string"), F.lit("N/A"))) for label, c in (("Company", "company"), ("Form", "form"), ("Date", "date"))], line("Facts", F.format_number("n_facts", 0))]
+    more = [F.when(F.col(c) > 0, line(label, share(F.col(c)))) for label, c in (("Monetary", "n_monetary"), ("Nil", "n_nil"))]
+    return rows.select("filing_id", F.array_join(F.concat(F.array_compact(F.array(*head, *more)), shown), "\n").alias("text"))
+
+
+def parsed_json(info: DataFrame, facts: DataFrame) -> DataFrame:
+    """filing_id, part, json: a filing as JSON texts, its metadata as part 0, then its facts (filing_id, fact_seq, ...), a thousand each.
+
+    The parts of a filing of any size are bounded, and a reader that takes them in order has the whole.
+    """
+    own = [c for c in facts.columns if c not in ("filing_id", "fact_seq")]
+    chunks = facts.withColumn("part", (F.floor((F.col("fact_seq") - 1) / 1000) + 1).cast("long")).groupBy("filing_id", "part").agg(F.array_sort(F.collect_list(F.struct("fact_seq", *own))).alias("facts"))
+    head = info.select("filing_id", F.lit(0).cast("long").alias("part"), F.to_json(F.struct(F.struct(*[c for c in info.columns if c != "filing_id"]).alias("metadata"))).alias("json"))
+    return head.unionByName(chunks.select("filing_id", "part", F.to_json(F.struct("facts")).alias("json")))
