@@ -236,3 +236,93 @@ def parsed_json(spark: SparkSession, d: str) -> DataFrame:
     j = F.from_json("json", "metadata struct<name: string>, facts array<struct<fact_seq: long, value: double>>").alias("j")
     read = R.parsed_json(info, facts).select("filing_id", "part", j)
     return read.select("filing_id", "part", F.coalesce(F.size("j.facts"), F.lit(0)).cast("long").alias("n"), F.coalesce("j.metadata.name", F.array_min("j.facts.fact_seq").cast("string")).alias("first"))
+
+
+# --- texts put together from lists in steps of several columns, so that all branches and their order are met; SQL has the rules of its own -------
+
+
+def _joined(parts: list[tuple[Column, list[str]]]) -> Column:
+    return F.concat(*[pick(i, values) for i, values in parts])
+
+
+def _joined_sql(parts: list[tuple[str, list[str]]]) -> str:
+    return " || ".join(pick_sql(i, values) for i, values in parts)
+
+
+def _any_sql(text: str, parts: tuple[str, ...]) -> str:
+    return "(" + " OR ".join(f"contains({text}, '{p}')" for p in parts) + ")"
+
+
+SIGN_PARTS = [["us-gaap:", "v_", "", "a:b_"], ["Payments", "Repayment", "Proceeds", "Revenue", "Decrease", "Increase", "Net", "Provided", "Gain", "Used", "paymentOf"], ["Expense", "Cost", "Loss", "Inflow", "Outflow", "Assets", "LossReserve", "cost"]]
+SIGN_KEYS = ["p_partkey", "p_partkey // 4", "p_size"]
+
+
+@_r.add(f"""WITH t AS (SELECT p_partkey, regexp_extract(regexp_extract({_joined_sql(list(zip(SIGN_KEYS, SIGN_PARTS, strict=True)))}, '[^:]*$'), '[^_]*$') AS l FROM part)
+SELECT p_partkey, CASE WHEN regexp_matches(l, '^(payment|repayment|decrease|use)|(expense|cost|loss)$|outflow', 'i') THEN -1 WHEN regexp_matches(l, '^(proceed|revenue|income|gain|increase|provide)|inflow', 'i') THEN 1 END AS sign FROM t""")
+def name_signs(spark: SparkSession, d: str) -> DataFrame:
+    k = F.col("p_partkey")
+    text = _joined(list(zip([k, F.floor(k / 4), F.col("p_size")], SIGN_PARTS, strict=True)))
+    return table(spark, d, "part").select("p_partkey", K.sign_of_name(text).alias("sign"))
+
+
+DEFINITION_PARTS = [[" - Statement - ", " - Disclosure - ", " - Schedule - ", " - Document - "], ["Consolidated Balance Sheets", "Income", "Cash Flows", "Equity", "Accounting Policies", "Debt", "Financial Position", "Loss of Capital", "Shareholders"], ["", " (Details)", " (Tables)", ", policy", " of operations"]]
+DEFINITION_KEYS = ["p_partkey", "p_partkey // 4", "p_partkey // 36"]
+
+
+@_r.add(f"""WITH t AS (SELECT p_partkey, lower(p_size || {_joined_sql(list(zip(DEFINITION_KEYS, DEFINITION_PARTS, strict=True)))}) AS t FROM part)
+SELECT p_partkey, CASE WHEN {_any_sql("t", ("statement", "sheet", "consolidated"))} THEN CASE WHEN {_any_sql("t", ("detail", "schedule", "table"))} THEN 'UNKNOWN' ELSE 'CORE_STATEMENT' END WHEN {_any_sql("t", ("detail", "schedule"))} THEN 'DETAIL' WHEN contains(t, 'table') THEN 'TABLE' WHEN contains(t, 'polic') THEN 'POLICY' ELSE 'UNKNOWN' END AS category,
+CASE WHEN {_any_sql("t", ("balance sheet", "financial position"))} THEN 'BALANCE_SHEET' WHEN {_any_sql("t", ("income", "operations", "earnings", "profit", "loss"))} THEN 'INCOME_STATEMENT' WHEN contains(t, 'cash flow') THEN 'CASH_FLOW' WHEN {_any_sql("t", ("equity", "stockholders", "shareholders", "capital"))} THEN 'EQUITY' ELSE 'OTHER' END AS kind,
+CASE WHEN {_any_sql("t", ("balance", "position"))} THEN 'balance_sheet' WHEN {_any_sql("t", ("income", "operations", "profit"))} THEN 'income_statement' WHEN contains(t, 'cash') THEN 'cash_flow' WHEN {_any_sql("t", ("equity", "stockholder"))} THEN 'equity' WHEN contains(t, 'comprehensive') THEN 'comprehensive_income' ELSE 'other' END AS simple FROM t""")
+def definition_classes(spark: SparkSession, d: str) -> DataFrame:
+    k = F.col("p_partkey")
+    text = F.concat(F.col("p_size").cast("string"), _joined(list(zip([k, F.floor(k / 4), F.floor(k / 36)], DEFINITION_PARTS, strict=True))))
+    return table(spark, d, "part").select("p_partkey", K.definition_category(text).alias("category"), K.definition_type(text).alias("kind"), K.simple_type(text, F.lit(None).cast("string")).alias("simple"))
+
+
+EUROPEAN_PARTS = [["Statement", "Balance", "Profit_Or", "Income", "Share", "Asset", "Equity-", "CashFlow"], ["OfFinancialPosition", "Sheet", "-Loss", "Statement", "Note", "Detail", "Other"], ["", "_Details", "Parenthetical", "_policies", " Tables"]]
+
+
+@_r.add(f"""WITH t AS (SELECT p_partkey, {_joined_sql(list(zip(["p_partkey", "p_partkey // 8", "p_partkey // 56"], EUROPEAN_PARTS, strict=True)))} AS n FROM part),
+k AS (SELECT *, replace(replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower(n), 'parenthetical$', ''), 'details$', ''), 'policies$', ''), 'tables$', ''), '_', ''), '-', '') AS key FROM t)
+SELECT p_partkey, CASE WHEN key IN ('statementoffinancialposition', 'profitorloss', 'statementofcashflows', 'statementofchangesinequity', 'statementofcomprehensiveincome', 'notesandmandatoryitems', 'balancesheet', 'consolidatedbalancesheet', 'incomestatement', 'profitandloss', 'cashflowstatement', 'equitystatement', 'comprehensiveincome', 'othercomprehensiveincome', 'notes') THEN 'main'
+WHEN contains(lower(n), 'detail') THEN 'detail' WHEN contains(lower(n), 'note') THEN 'note' ELSE 'other' END AS category FROM k""")
+def european_category(spark: SparkSession, d: str) -> DataFrame:
+    k = F.col("p_partkey")
+    text = _joined(list(zip([k, F.floor(k / 8), F.floor(k / 56)], EUROPEAN_PARTS, strict=True)))
+    return table(spark, d, "part").select("p_partkey", K.european_category(text).alias("category"))
+
+
+URI_PARTS = [["http://", "https://www.", " http://xbrl."], ["fasb.org/", "esma.europa.eu/", "ifrs.org/", "acme.com/", "frc.org.uk/", "iasb.eu/"], ["US-GAAP/2024", "taxonomy", "srt/2023/", "dei", "own/2024//", "esef"]]
+URI_KEYS = ["p_partkey", "p_partkey // 3", "p_partkey // 18"]
+
+
+@_r.add(f"""WITH t AS (SELECT p_partkey, {_joined_sql(list(zip(URI_KEYS, URI_PARTS, strict=True)))} AS u FROM part)
+SELECT p_partkey, CASE WHEN contains(lower(u), 'us-gaap') THEN 'us-gaap' WHEN {_any_sql("lower(u)", ("ifrs", "iasb"))} THEN 'ifrs' WHEN {_any_sql("lower(u)", ("uk-gaap", "frc.org.uk"))} THEN 'uk-gaap' WHEN {_any_sql("lower(u)", ("esef", "esma"))} THEN 'esef' WHEN contains(lower(u), 'dei') THEN 'dei' WHEN contains(lower(u), 'srt') THEN 'srt' ELSE regexp_extract(rtrim(u, '/'), '[^/]*$') END AS taxonomy, rtrim(trim(u), '/') AS uri FROM t""")
+def taxonomy_names(spark: SparkSession, d: str) -> DataFrame:
+    k = F.col("p_partkey")
+    uri = _joined(list(zip([k, F.floor(k / 3), F.floor(k / 18)], URI_PARTS, strict=True)))
+    return table(spark, d, "part").select("p_partkey", names.taxonomy_of(uri).alias("taxonomy"), names.namespace_uri(uri).alias("uri"))
+
+
+QNAME_PREFIXES = ["{http://x.org/2024}", "us-gaap:", "v_", "", "A-b_", "n:s:", "_"]
+
+
+@_r.add(f"""WITH t AS (SELECT p_partkey, {pick_sql("p_partkey", QNAME_PREFIXES)} || CASE WHEN p_size % 2 = 0 THEN p_type ELSE replace(p_name, ' ', '_') END AS c FROM part),
+b AS (SELECT *, regexp_matches(c, '^[A-Za-z][A-Za-z0-9_-]*?_[A-Z]') AS bar FROM t)
+SELECT p_partkey, CASE WHEN starts_with(c, '{{') THEN regexp_extract(c, '^\\{{([^}}]*)\\}}', 1) END AS namespace, CASE WHEN starts_with(c, '{{') THEN NULL WHEN contains(c, ':') THEN split_part(c, ':', 1) WHEN bar THEN regexp_extract(c, '^([A-Za-z][A-Za-z0-9_-]*?)_[A-Z]', 1) END AS prefix,
+CASE WHEN starts_with(c, '{{') THEN regexp_extract(c, '^\\{{[^}}]*\\}}(.*)$', 1) WHEN contains(c, ':') THEN regexp_extract(c, '^[^:]*:(.*)$', 1) WHEN bar THEN regexp_extract(c, '^[A-Za-z][A-Za-z0-9_-]*?_([A-Z].*)$', 1) ELSE c END AS local FROM b""")
+def qname_parse(spark: SparkSession, d: str) -> DataFrame:
+    text = F.concat(pick(F.col("p_partkey"), QNAME_PREFIXES), F.when(F.col("p_size") % 2 == 0, F.col("p_type")).otherwise(F.translate("p_name", " ", "_")))
+    return table(spark, d, "part").select("p_partkey", names.qname(text).alias("q")).select("p_partkey", "q.*")
+
+
+FORM_PARTS = [["10k", "10-K", "10-q", "8K", "20-F", "def 14a", "6k", "40F", "s-1", "10Q"], ["", "/A", "/a", "T", "-405"], [" ", "", "\t"]]
+
+
+@_r.add(f"""WITH t AS (SELECT o_orderkey, upper(trim({_joined_sql(list(zip(["o_orderkey", "o_orderkey // 10", "o_orderkey // 50"], FORM_PARTS, strict=True)))}, chr(9) || ' ')) AS t FROM orders), b AS (SELECT *, regexp_replace(t, '/A$', '') AS base FROM t),
+f AS (SELECT *, CASE base WHEN '10K' THEN '10-K' WHEN '10Q' THEN '10-Q' WHEN '8K' THEN '8-K' WHEN '20F' THEN '20-F' WHEN '40F' THEN '40-F' WHEN '6K' THEN '6-K' ELSE base END AS known FROM b)
+SELECT o_orderkey, known || CASE WHEN ends_with(t, '/A') THEN '/A' ELSE '' END AS form, CASE WHEN known IN ('10-K', '20-F', '40-F') THEN 'annual' WHEN known = '10-Q' THEN 'quarterly' WHEN known IN ('8-K', '6-K') THEN 'current' ELSE 'other' END AS category FROM f""")
+def form_alias(spark: SparkSession, d: str) -> DataFrame:
+    k = F.col("o_orderkey")
+    text = _joined(list(zip([k, F.floor(k / 10), F.floor(k / 50)], FORM_PARTS, strict=True)))
+    return table(spark, d, "orders").select("o_orderkey", names.form(text).alias("form"), names.form_category(text).alias("category"))

@@ -42,12 +42,6 @@ def normalize_concept(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "part").select("p_partkey", names.concept_key(text).alias("concept_key"))
 
 
-@_r.add("SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN 'http://x.org/2024' END AS namespace, CASE p_partkey % 3 WHEN 1 THEN 'us-gaap' WHEN 2 THEN 'v' END AS prefix, 'Item' || p_partkey AS local FROM part")
-def qname_parse(spark: SparkSession, d: str) -> DataFrame:
-    text = F.concat(_case(F.col("p_partkey"), ["{http://x.org/2024}Item", "us-gaap:Item", "v_Item"]), F.col("p_partkey"))
-    return table(spark, d, "part").select("p_partkey", names.qname(text).alias("q")).select("p_partkey", "q.*")
-
-
 @_r.add("SELECT c_custkey, CASE WHEN c_acctbal < 0 THEN '($' || format('{:,}', CAST(round_even(-c_acctbal, 0) AS BIGINT)) || ')' ELSE '$' || format('{:,}', CAST(round_even(c_acctbal, 0) AS BIGINT)) END AS shown FROM customer")
 def format_value(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "customer").select("c_custkey", names.display(F.col("c_acctbal")).alias("shown"))
@@ -60,16 +54,6 @@ def identifiers(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "customer").select("c_custkey", names.cik(k).alias("cik"), names.identifier_type(text).alias("kind"))
 
 
-FORMS, FORM_OUT = ["10k", " 10-K ", "10-Q/A", "8k", "20-F", "DEF 14A", "6K/a"], ["10-K", "10-K", "10-Q/A", "8-K", "20-F", "DEF 14A", "6-K/A"]
-FORM_CLASS = ["annual", "annual", "quarterly", "current", "annual", "other", "current"]
-
-
-@_r.add(f"SELECT o_orderkey, {_case_sql('o_orderkey', FORM_OUT)} AS form, {_case_sql('o_orderkey', FORM_CLASS)} AS category FROM orders")
-def form_alias(spark: SparkSession, d: str) -> DataFrame:
-    text = _case(F.col("o_orderkey"), FORMS)
-    return table(spark, d, "orders").select("o_orderkey", names.form(text).alias("form"), names.form_category(text).alias("category"))
-
-
 FLAG = "CASE l_returnflag WHEN 'A' THEN -3 WHEN 'N' THEN 0 WHEN 'R' THEN 2 END"
 LINE_KEY = "l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice"
 

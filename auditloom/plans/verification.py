@@ -301,12 +301,6 @@ def readiness(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-@_r.add("SELECT p_partkey, CASE p_size % 6 WHEN 0 THEN -1 WHEN 1 THEN 1 WHEN 2 THEN -1 WHEN 3 THEN 1 WHEN 4 THEN NULL ELSE -1 END AS sign FROM part")
-def name_signs(spark: SparkSession, d: str) -> DataFrame:
-    texts = ["us-gaap:PaymentsOfDividends", "v_ProceedsFromSale", "InterestExpense", "us-gaap:Revenues", "Assets", "IncomeLoss"]
-    return table(spark, d, "part").select("p_partkey", K.sign_of_name(F.element_at(F.array(*map(F.lit, texts)), (F.col("p_size") % 6 + 1).cast("int"))).alias("sign"))
-
-
 @_r.add("""SELECT p_partkey, CASE WHEN p_size * 2 >= 90 THEN 'EXCELLENT' WHEN p_size * 2 >= 80 THEN 'GOOD' WHEN p_size * 2 >= 70 THEN 'ACCEPTABLE' WHEN p_size * 2 >= 60 THEN 'POOR' WHEN p_size * 2 >= 50 THEN 'MINIMUM' ELSE 'UNACCEPTABLE' END AS grade,
 CASE WHEN 0.3 * (p_size % 2) + 0.5 * (p_partkey % 4) / 3 + CASE WHEN p_size > 20 THEN 0.2 ELSE 0 END >= 0.8 - 1e-9 THEN 'HIGH' WHEN 0.3 * (p_size % 2) + 0.5 * (p_partkey % 4) / 3 + CASE WHEN p_size > 20 THEN 0.2 ELSE 0 END >= 0.5 - 1e-9 THEN 'MEDIUM' ELSE 'LOW' END AS confidence FROM part""")
 def grades(spark: SparkSession, d: str) -> DataFrame:
@@ -324,44 +318,6 @@ def date_checks(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-def _in_turn(key: str, texts: list[str]):
-    return F.element_at(F.array(*map(F.lit, texts)), (F.col(key) % len(texts) + 1).cast("int"))
-
-
-def _answers(key: str, answers: list[str]) -> str:
-    return "([" + ", ".join(f"'{a}'" for a in answers) + f"])[{key} % {len(answers)} + 1]"
-
-
-DEFINITIONS = ["0001 - Statement - Consolidated Balance Sheets", "0002 - Disclosure - Revenue (Details)", "0003 - Statement - Cash Flows, Schedule", "0004 - Disclosure - Debt table", "0005 - Accounting policies of equity", "0006 - Document", "0007 - Statement of operations"]
-CATEGORIES = ["CORE_STATEMENT", "DETAIL", "UNKNOWN", "TABLE", "POLICY", "UNKNOWN", "CORE_STATEMENT"]
-KINDS = ["BALANCE_SHEET", "OTHER", "CASH_FLOW", "OTHER", "EQUITY", "OTHER", "INCOME_STATEMENT"]
-
-
-@_r.add(f"SELECT p_partkey, {_answers('p_partkey', CATEGORIES)} AS category, {_answers('p_partkey', KINDS)} AS kind FROM part")
-def definition_classes(spark: SparkSession, d: str) -> DataFrame:
-    text = _in_turn("p_partkey", DEFINITIONS)
-    return table(spark, d, "part").select("p_partkey", K.definition_category(text).alias("category"), K.definition_type(text).alias("kind"))
-
-
-EUROPEAN = ["StatementOfFinancialPosition", "Profit_or-Loss_Details", "IncomeStatement", "ShareNote", "AssetDetail", "Other", "Notes"]
-EUROPEAN_ANSWERS = ["main", "main", "main", "note", "detail", "other", "main"]
-
-
-@_r.add(f"SELECT p_partkey, {_answers('p_partkey', EUROPEAN_ANSWERS)} AS category FROM part")
-def european_category(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "part").select("p_partkey", K.european_category(_in_turn("p_partkey", EUROPEAN)).alias("category"))
-
-
-URIS = ["http://fasb.org/us-gaap/2024", "http://www.esma.europa.eu/taxonomy/", "https://xbrl.ifrs.org/taxonomy/2023-03-23/ifrs-full", "http://acme.com/own/2024/", "http://xbrl.frc.org.uk/fr/2021"]
-TAXONOMIES = ["us-gaap", "esef", "ifrs", "2024", "uk-gaap"]
-
-
-@_r.add(f"SELECT s_suppkey, {_answers('s_suppkey', TAXONOMIES)} AS taxonomy, rtrim({_answers('s_suppkey', URIS)}, '/') AS uri FROM supplier")
-def taxonomy_names(spark: SparkSession, d: str) -> DataFrame:
-    uri = _in_turn("s_suppkey", URIS)
-    return table(spark, d, "supplier").select("s_suppkey", names.taxonomy_of(uri).alias("taxonomy"), names.namespace_uri(F.concat(F.lit(" "), uri)).alias("uri"))
-
-
 @_r.add("""SELECT c_custkey, CASE c_custkey % 3 WHEN 0 THEN '10-k,10_k,10k,form10k,form10-k,form 10-k,annual' WHEN 1 THEN 'afr,annual-financial-report,annual_financial_report' ELSE 's-1,s_1,s1' END AS spellings,
 CASE WHEN c_custkey % 2 = 0 THEN '10-K' ELSE 'none' END AS folder, 'Consolidated Balance Sheets' AS statement FROM customer""")
 def form_spellings(spark: SparkSession, d: str) -> DataFrame:
