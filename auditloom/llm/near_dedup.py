@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from auditloom.llm.common import WORD, Scratch, Words, mix64, rolled
+from auditloom.llm.common import WORD, Scratch, Words, mix64, released, rolled
 
 #: Registers, rows of a band, base of the register scale and its rate.
 BANDS, ROWS, BASE, RATE = 32, 5, 1.02, 20.0
@@ -102,7 +102,7 @@ def sketches(docs: DataFrame, shingle_words: int) -> DataFrame:
                 names=["doc_id", "text_hash", "n_shingles", "d1", "d2", "sig"],
             )
 
-    return identified(docs).mapInArrow(run, "doc_id long, text_hash long, n_shingles long, d1 long, d2 long, sig binary")
+    return identified(docs).mapInArrow(released(run), "doc_id long, text_hash long, n_shingles long, d1 long, d2 long, sig binary")
 
 
 def identified(docs: DataFrame) -> DataFrame:
@@ -133,7 +133,7 @@ def verified(pairs: DataFrame, texts: DataFrame, shingle_words: int, percent: in
                 keep.append(100 * common >= percent * (len(p) + len(q) - common))
             yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
-    return both.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
+    return both.select("a", "b", "text_a", "text_b").mapInArrow(released(run), "a long, b long")
 
 
 def plausible(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
@@ -149,7 +149,7 @@ def plausible(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
                 j = estimate(a, b, batch.column(2).to_numpy(), batch.column(3).to_numpy())
                 yield batch.select([0, 1]).filter(pa.array(j >= least))
 
-    return sized.select("a", "b", "n_a", "n_b", "sig_a", "sig_b").mapInArrow(run, "a long, b long")
+    return sized.select("a", "b", "n_a", "n_b", "sig_a", "sig_b").mapInArrow(released(run), "a long, b long")
 
 
 def components(scratch: Scratch, links: DataFrame) -> DataFrame:
@@ -184,7 +184,7 @@ def small_sets(texts: DataFrame, shingle_words: int) -> DataFrame:
             sets = [np.unique((shingle_set(t.as_py(), shingle_words) >> np.uint64(32)).astype("<u4"))[:SET].tobytes() for t in batch.column(1).cast(pa.binary())]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], names=["node", "small"])
 
-    return texts.select("node", "text").mapInArrow(run, "node long, small binary")
+    return texts.select("node", "text").mapInArrow(released(run), "node long, small binary")
 
 
 #: Columns of the members of cells: bucket, numbers of two blocks, the bucket's leader; then those of a member, own being its block.
@@ -314,9 +314,9 @@ def open_pairs(hits: DataFrame, merged: DataFrame, reps: DataFrame, texts: DataF
     schema = pa.schema([(c, pa.binary() if c == "sig" else pa.int32() if c in ("no", "p", "q", "own") else pa.int64()) for c in (*CELL, *MEMBER)])
     typed = ", ".join(f"{f.name} {'binary' if f.type == pa.binary() else 'int' if f.type == pa.int32() else 'long'}" for f in schema)
     in_cells = lambda df: df.repartition("band", "p", "q").sortWithinPartitions("band", "no", "p", "q", "node")
-    near = scratch.write(in_cells(dealt).mapInArrow(meet, typed))
+    near = scratch.write(in_cells(dealt).mapInArrow(released(meet), typed))
     sets = small_sets(texts.join(near.select("node").distinct(), "node"), shingle_words)
-    return in_cells(near.join(sets, "node").select(*near.columns, "small")).mapInArrow(link, "a long, b long").distinct()
+    return in_cells(near.join(sets, "node").select(*near.columns, "small")).mapInArrow(released(link), "a long, b long").distinct()
 
 
 def grouped(docs: DataFrame, shingle_words: int = 5, percent: int = 80) -> DataFrame:
