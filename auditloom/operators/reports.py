@@ -59,13 +59,15 @@ def extension_facts(facts: DataFrame, standard: Column) -> DataFrame:
 
 
 def organised(networks: DataFrame, by: str, name: str) -> DataFrame:
-    """Names of each category or type in order, repeated ones kept."""
-    return networks.groupBy(by).agg(F.count("*").alias("n"), F.array_sort(F.collect_list(name)).alias("names"))
+    """by, name, n, share: how often each name occurs in a category or type, and its share of it in percent; a row for each, whatever their number."""
+    counts = networks.groupBy(by, name).agg(F.count("*").alias("n"))
+    whole = networks.groupBy(by).agg(F.count("*").alias("all"))
+    return counts.join(whole, counts[by].eqNullSafe(whole[by])).select(counts[by], name, "n", F.round(100.0 * F.col("n") / F.col("all"), 2).alias("share"))
 
 
 def concept_roles(placements: DataFrame) -> DataFrame:
-    """Roles that each concept appears in, as often as it does."""
-    return placements.groupBy("concept").agg(F.array_sort(F.collect_list("role")).alias("roles"))
+    """concept, role, n: the roles that each concept appears in and how often, a row for each, whatever their number."""
+    return placements.groupBy("concept", "role").agg(F.count("*").alias("n"))
 
 
 def core_statements(networks: DataFrame) -> DataFrame:

@@ -231,15 +231,14 @@ def extension_facts(spark: SparkSession, d: str) -> DataFrame:
     return R.extension_facts(f, F.substring_index("concept", ":", 1).isin(*L.STANDARD_PREFIXES)).select("p_partkey")
 
 
-@_r.add("SELECT p_type, count(*) AS n, string_agg(p_brand, ',' ORDER BY p_brand) AS names FROM part GROUP BY p_type")
+@_r.add("SELECT p_type, p_brand, count(*) AS n, round(100.0 * count(*) / sum(count(*)) OVER (PARTITION BY p_type), 2) AS share FROM part GROUP BY p_type, p_brand")
 def networks_by_type(spark: SparkSession, d: str) -> DataFrame:
-    return R.organised(table(spark, d, "part"), "p_type", "p_brand").withColumn("names", F.array_join("names", ","))
+    return R.organised(table(spark, d, "part"), "p_type", "p_brand")
 
 
-@_r.add("SELECT p_size AS concept, string_agg(p_brand, ',' ORDER BY p_brand) AS roles FROM part GROUP BY p_size")
+@_r.add("SELECT p_size AS concept, p_brand AS role, count(*) AS n FROM part GROUP BY p_size, p_brand")
 def concept_roles(spark: SparkSession, d: str) -> DataFrame:
-    rows = table(spark, d, "part").select(F.col("p_size").alias("concept"), F.col("p_brand").alias("role"))
-    return R.concept_roles(rows).withColumn("roles", F.array_join("roles", ","))
+    return R.concept_roles(table(spark, d, "part").select(F.col("p_size").alias("concept"), F.col("p_brand").alias("role")))
 
 
 @_r.add("""SELECT o_custkey AS filing_id, o_orderkey AS role, CASE o_orderstatus WHEN 'F' THEN 'CASH_FLOW' WHEN 'O' THEN 'BALANCE_SHEET' ELSE 'NOTES' END AS statement_type,

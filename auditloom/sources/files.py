@@ -22,11 +22,21 @@ MARKET_NAMES = ("sec", "esef", "edgar", "uk", "eu", "jp", "cn")
 
 
 def discover(spark: SparkSession, root: str, pattern: str = "*", content: bool = False) -> DataFrame:
-    """Files below root: path, name, folder, length, modified, depth, file_type; without content unless asked for.
+    """Files below root: path, name, folder, length, modified, depth, below, file_type; without content unless asked for.
 
-    Files over MAX_BYTES or deeper than MAX_DEPTH are left out. The content column is pruned from the scan if it is
+    Files over MAX_BYTES or deeper than MAX_DEPTH are left out; left_out lists them. The content column is pruned from the scan if it is
     not asked for.
     """
+    return _listed(spark, root, pattern, content).filter((F.col("length") <= MAX_BYTES) & (F.col("depth") <= MAX_DEPTH))
+
+
+def left_out(spark: SparkSession, root: str, pattern: str = "*") -> DataFrame:
+    """The files that discover leaves out: path, length, depth and why."""
+    why = F.when(F.col("length") > MAX_BYTES, "too large").when(F.col("depth") > MAX_DEPTH, "too deep")
+    return _listed(spark, root, pattern, False).select("path", "length", "depth", why.alias("why")).filter("why is not null")
+
+
+def _listed(spark: SparkSession, root: str, pattern: str, content: bool) -> DataFrame:
     f = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(root)
     path = F.col("path")
     base = re.sub("^[a-z]+:/*", "/", root).rstrip("/")
@@ -35,7 +45,7 @@ def discover(spark: SparkSession, root: str, pattern: str = "*", content: bool =
         path, F.substring_index(path, "/", -1).alias("name"), F.regexp_replace(path, "/[^/]*$", "").alias("folder"), "length", F.col("modificationTime").alias("modified"),
         F.size(F.split(below, "/")).alias("depth"), below.alias("below"), *([F.col("content")] if content else []),
     )
-    return out.filter((F.col("length") <= MAX_BYTES) & (F.col("depth") <= MAX_DEPTH)).withColumn("file_type", file_type(F.col("name")))
+    return out.withColumn("file_type", file_type(F.col("name")))
 
 
 def _quoted(text: str) -> str:

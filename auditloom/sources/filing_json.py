@@ -86,7 +86,7 @@ def broken_references(facts_: DataFrame, contexts_: DataFrame, units_: DataFrame
 
 
 def statements(spark: SparkSession, path: str) -> DataFrame:
-    """Facts of mapped statements, one row each, whatever the spelling of their fields; largest files first in order."""
+    """Facts of mapped statements, one row each, whatever the spelling of their fields; bytes is the size of the file, by which main statements are told."""
     schema = f"role_uri string, role string, roleUri string, role_definition string, statement_type string, facts array<struct<{_typed(STATEMENT_FACT)}>>, items array<struct<{_typed(STATEMENT_FACT)}>>"
     raw = spark.read.schema(schema).option("multiLine", "true").option("recursiveFileLookup", "true").json(path)
     rows = raw.select(F.col("_metadata.file_path").alias("filing_id"), F.col("_metadata.file_size").alias("bytes"), F.coalesce("role_uri", "roleUri", "role").alias("role"), "role_definition", "statement_type", F.posexplode(F.coalesce("facts", "items")).alias("fact_seq", "f"))

@@ -191,3 +191,51 @@ def test_british_results_and_packages(spark):
         searches.standard_rows(df, "uk", nothing="x")
     index = '{"directory": {"item": [{"name": "a.zip"}, {"name": "a-xbrl.zip"}, {"name": null}, {"name": "b_xbrl.zip"}]}}'
     assert spark.createDataFrame([(index,), ("{}",), (None,)], "i string").select(searches.package_in(F.col("i"))).collect() == [("b_xbrl.zip",), (None,), (None,)]
+
+
+# --- filings in JSON ---------------------------------------------------------------------------------------
+
+PARSED = """{"metadata": {"document_type": "10-K"}, "instance": {"facts": [{"concept": "us-gaap:Cash", "value": "5", "context_ref": "c1", "unit_ref": "u1", "decimals": "0"}, {"name": "us-gaap:Debt", "fact_value": "7", "contextRef": "c9", "unit": "u9"}],
+"contexts": {"c1": {"id": "c1", "entity": {"identifier": "77"}, "period": {"type": "duration", "start_date": "2024-01-01", "end_date": "2024-12-31"}, "segment": {"a:Axis": "a:x"}, "scenario": {"a:Axis": "a:y", "b:Axis": "b:z"}}},
+"units": [{"id": "u1", "measures": ["USD"]}, {"id": "u2", "numerator": ["USD"], "denominator": ["shares"]}]}}"""
+MAPPED_FILE = """{"role_uri": "r", "statement_type": "BALANCE_SHEET", "facts": [{"concept": "Cash", "value": "5", "contextRef": "c1", "isTotal": true, "level": 2, "endDate": "2024-12-31"}, {"name": "Head", "is_abstract": true}]}"""
+
+
+def test_filings_in_json(spark, tmp_path):
+    from auditloom.sources import filing_json as J
+
+    (tmp_path / "p").mkdir()
+    (tmp_path / "p" / "parsed.json").write_text(PARSED)
+    filings = J.read_filings(spark, f"file://{tmp_path}/p")
+    f, c, u = J.facts(filings), J.contexts(filings), J.units(filings)
+    assert [(r.concept, r.value, r.context_id, r.unit) for r in f.orderBy("fact_seq").collect()] == [("us-gaap:Cash", "5", "c1", "u1"), ("us-gaap:Debt", "7", "c9", "u9")]
+    (ctx,) = c.collect()
+    assert (ctx.context_id, ctx.entity, str(ctx.end), dict(ctx.dims)) == ("c1", "77", "2024-12-31", {"a:Axis": "a:x", "b:Axis": "b:z"})
+    assert {(r.unit_id, r.measure) for r in u.collect()} == {("u1", "USD"), ("u2", "USD/shares")}
+    assert {(r.concept, r.measure, r.dimension_count) for r in J.with_context(f, c, u).collect()} == {("us-gaap:Cash", "USD", 2), ("us-gaap:Debt", None, None)}
+    assert {(r.concept, r.problem) for r in J.broken_references(f, c, u).collect()} == {("us-gaap:Debt", "context"), ("us-gaap:Debt", "unit")}
+
+
+def test_mapped_statements_in_json(spark, tmp_path):
+    from auditloom.sources import filing_json as J
+
+    (tmp_path / "m").mkdir()
+    (tmp_path / "m" / "s.json").write_text(MAPPED_FILE)
+    rows = {r.concept: r for r in J.statements(spark, f"file://{tmp_path}/m").collect()}
+    assert (rows["Cash"].context_id, rows["Cash"].is_total, rows["Cash"].depth, rows["Cash"].period_end, rows["Cash"].bytes) == ("c1", True, 2, "2024-12-31", len(MAPPED_FILE))
+    assert rows["Head"].is_abstract and rows["Head"].value is None
+
+
+def test_files_beyond_the_limits_are_listed(spark, tmp_path, monkeypatch):
+    root = tree(tmp_path, "a/b/c.txt", "d.txt", "long_name_of_a_file.txt")
+    monkeypatch.setattr(files, "MAX_BYTES", 10)
+    monkeypatch.setattr(files, "MAX_DEPTH", 2)
+    assert {r.below for r in files.discover(spark, root).collect()} == {"d.txt"}
+    assert {(r.path.rsplit("/", 1)[-1], r.why) for r in files.left_out(spark, root).collect()} == {("c.txt", "too deep"), ("long_name_of_a_file.txt", "too large")}
+
+
+def test_european_names(spark):
+    from auditloom.functions import checks, names
+
+    df = spark.createDataFrame([("10-K", "Balance Sheet"), (" half year ", "profit_or-loss_details"), ("S-1", "Segments"), ("qfr", "Notes")], "f string, n string")
+    assert [tuple(r) for r in df.select(names.european_form(F.col("f")), checks.european_slot(F.col("n"))).collect()] == [("AFR", None), ("SFR", "income_statement"), ("S-1", None), ("QFR", "notes")]
