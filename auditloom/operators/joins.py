@@ -27,23 +27,32 @@ def near(left: DataFrame, right: DataFrame, by: list[str], at: str, other: str,
     return within(left, spread, by, at, low, high, 2 * days + 1).drop(low, high)
 
 
+def _pieces(names: DataFrame, texts: DataFrame, name: str, text: str, upto: int = 0) -> DataFrame:
+    """names beside each different piece of them: of up to some characters, and of the lengths that longer texts have."""
+    longer = F.sort_array(F.collect_set(F.when(~F.length(text).between(1, upto), F.length(text))))
+    lengths = texts.agg(F.concat(F.array(*[F.lit(k) for k in range(1, upto + 1)]).cast("array<int>"), longer).alias("_lengths"))  # one row of numbers
+    of_length = lambda k: F.transform(F.sequence(F.lit(1), F.length(name) - k + 1), lambda i: F.substring(F.col(name), i, k))
+    short_enough = F.filter("_lengths", lambda k: k <= F.length(name))
+    cut = F.array_distinct(F.flatten(F.transform(short_enough, of_length)))
+    return names.filter(F.col(name).isNotNull()).join(F.broadcast(lengths)).withColumn("piece", F.explode(cut)).drop("_lengths")
+
+
 def first_holding(texts: DataFrame, names: DataFrame, by: list[str], piece: int = 3) -> DataFrame:
     """by, text and the least id of the names of the same class (by) that equal the text, else of those that hold it.
 
-    texts: by, text; names: by, id, name. Names are indexed by their pieces of up to some characters. A text no longer
-    than that meets one row, the least id of its piece; a longer one meets the names that hold its rarest piece and is
-    looked for in these. Each different text is looked up once. A null or empty text has no row, and neither has one
+    texts: by, text; names: by, id, name. Names are indexed by their pieces of up to some characters and by those of the
+    lengths of longer texts, the least id for each, so that a text meets one row however many names hold it: the rows grow with
+    the names and not with the pairs. Each different text is looked up once. A null or empty text has no row, and neither has one
     that no name holds.
     """
     wanted = texts.select(*by, "text").filter(F.length("text") > 0).distinct()
-    cut = lambda c, k: F.transform(F.sequence(F.lit(1), F.length(c) - k + 1), lambda i: F.substring(F.col(c), i, F.lit(k)))
-    every = [F.when(F.length("name") >= k, cut("name", k)).otherwise(F.array().cast("array<string>")) for k in range(1, piece + 1)]
-    pieces = names.filter("name is not null").select(*by, "id", "name", F.explode(F.array_distinct(F.concat(*every))).alias("piece"))
-    order = F.struct(F.col("name") != F.col("piece"), "id")
-    known = pieces.groupBy(*by, "piece").agg(F.min_by("id", order).alias("id"), F.count("*").alias("n"))
-    short = wanted.filter(F.length("text") <= piece).join(known.withColumnRenamed("piece", "text"), [*by, "text"]).select(*by, "text", "id")
-
-    parts = wanted.filter(F.length("text") > piece).withColumn("piece", F.explode(F.array_distinct(cut("text", piece))))
-    rarest = parts.join(known.select(*by, "piece", "n"), [*by, "piece"]).groupBy(*by, "text").agg(F.min_by("piece", F.struct("n", "piece")).alias("piece"))
-    held = rarest.join(pieces, [*by, "piece"]).filter(F.contains("name", "text"))
-    return short.union(held.groupBy(*by, "text").agg(F.min_by("id", F.struct(F.col("name") != F.col("text"), "id")).alias("id")))
+    each = names.groupBy(*by, "name").agg(F.min("id").alias("id"))
+    pieces = _pieces(each, wanted, "name", "text", piece)
+    known = pieces.groupBy(*by, F.col("piece").alias("text")).agg(F.min(F.struct((F.col("name") != F.col("piece")).alias("other"), "id")).alias("b"))
+    return wanted.join(known, [*by, "text"]).select(*by, "text", "b.id")
+
+
+def holding(texts: DataFrame, names: DataFrame) -> DataFrame:
+    """Pairs of a text (column text) and a name (column name) that holds it, each once, by the names' pieces of the texts' lengths."""
+    wanted, each = texts.select("text").filter("text is not null").distinct(), names.select("name").distinct()
+    return _pieces(each, wanted, "name", "text").join(wanted.withColumnRenamed("text", "piece"), "piece").select(F.col("piece").alias("text"), "name")
