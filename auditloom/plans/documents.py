@@ -113,7 +113,7 @@ def _tag(name: str, *inside: str | object, **attributes: object) -> F.Column:
 
 def _instances(spark: SparkSession, d: str) -> DataFrame:
     """An order's duration context with an explicit member, an instant one with a typed member, and a broken text for each 50th."""
-    o = table(spark, d, "orders")
+    o = table(spark, d, "orders").repartition(4 * spark.sparkContext.defaultParallelism)  # a parse is a thousand times a row's scan; the table may be one file
     who = _tag("xbrli:identifier", F.col("o_custkey"), scheme="http://example.org/customers")
     day = F.date_format("o_orderdate", "yyyy-MM-dd")
     start = F.concat(F.year("o_orderdate").cast("string"), F.lit("-01-01"))
@@ -133,10 +133,10 @@ SELECT o_orderkey AS filing_id, 0 AS context_seq, 'd' || o_orderkey AS context_i
 UNION ALL SELECT o_orderkey, 1, 'i' || o_orderkey, entity, 'instant', day, NULL, NULL, 'p:Status=' || s, 'p:Status', 'iso4217:USD/p:' || s FROM o""")
 def xml_instance_contexts(spark: SparkSession, d: str) -> DataFrame:
     """Contexts and units of instance documents; what is broken has none, what comes after the root does not count."""
-    p = instance_xml.parsed(_instances(spark, d))
-    c, u = instance_xml.contexts(p), instance_xml.units(p).drop("unit_id")
+    p = instance_xml.parsed(_instances(spark, d)).withColumn("units", instance_xml.measures(F.col("x.unit")))
+    c = instance_xml.contexts(p, "filing_id", "units")  # of each document both, by one parse
     dims = F.array_join(F.transform(F.array_sort(F.map_entries("dims")), lambda e: F.concat(e["key"], F.lit("="), e["value"])), ",")
-    return c.withColumn("dims", dims).withColumn("typed", F.array_join("typed", ",")).join(u, "filing_id")
+    return c.withColumn("dims", dims).withColumn("typed", F.array_join("typed", ",")).withColumn("measure", F.explode("units.measure")).drop("units")
 
 
 @_r.add("SELECT o_orderkey AS filing_id, o_orderkey % 50 > 5 AS well_formed FROM orders")

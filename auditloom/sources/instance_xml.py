@@ -35,13 +35,14 @@ def _members(part: Column) -> Column:
     return F.map_from_entries(F.transform(names, lambda n: F.struct(n, F.element_at(F.filter(every, lambda e: e["key"] == n), -1)["value"])))
 
 
-def contexts(documents: DataFrame, key: str = "filing_id") -> DataFrame:
-    """key, context_seq, context_id, entity, kind, instant, start, end, dims, typed of the contexts of parsed documents.
+def contexts(documents: DataFrame, key: str = "filing_id", *others: str) -> DataFrame:
+    """key, context_seq, context_id, entity, kind, instant, start, end, dims, typed of the contexts of parsed documents, and other columns of these.
 
     kind is instant, duration or forever; dates that cannot be read are null. dims holds the members of segment and scenario,
     of which the segment's count where both have one; typed tells which of its dimensions have typed members. Contexts without an id are left out.
     """
-    c = documents.select(key, F.posexplode("x.context").alias("context_seq", "c"))
+    # The outer form keeps the parse of the text from being repeated in a filter below it; contexts that are none go with those without an id.
+    c = documents.select(key, *others, F.posexplode_outer("x.context").alias("context_seq", "c"))
     period = F.col("c.period")
     segment, scenario = _members(F.col("c.entity.segment")), _members(F.col("c.scenario"))
     kind = F.when(period["instant"].isNotNull(), "instant").when(period["startDate"].isNotNull() & period["endDate"].isNotNull(), "duration").otherwise("forever")
@@ -49,16 +50,21 @@ def contexts(documents: DataFrame, key: str = "filing_id") -> DataFrame:
     return c.filter(F.coalesce("c._id", F.lit("")) != "").select(
         key, "context_seq", F.col("c._id").alias("context_id"), F.trim("c.entity.identifier._VALUE").alias("entity"), kind.alias("kind"), date_or_null(F.trim(period["instant"])).alias("instant"),
         date_or_null(F.trim(period["startDate"])).alias("start"), date_or_null(F.trim(period["endDate"])).alias("end"),
-        F.map_concat(segment, F.map_filter(scenario, lambda k, v: ~F.map_contains_key(segment, k))).alias("dims"), F.array_sort(typed).alias("typed"),
+        F.map_concat(segment, F.map_filter(scenario, lambda k, v: ~F.map_contains_key(segment, k))).alias("dims"), F.array_sort(typed).alias("typed"), *others,
     )
 
 
+def measures(unit: Column) -> Column:
+    """The units of a parsed document as structs of unit_id and measure (products with *, quotients with /)."""
+    joined = lambda c: F.array_join(F.transform(c, lambda m: F.trim(m)), "*")
+    measure = lambda u: F.coalesce(F.concat(joined(u["divide"]["unitNumerator"]["measure"]), F.lit("/"), joined(u["divide"]["unitDenominator"]["measure"])), joined(u["measure"]))
+    return F.transform(unit, lambda u: F.struct(u["_id"].alias("unit_id"), measure(u).alias("measure")))
+
+
 def units(documents: DataFrame, key: str = "filing_id") -> DataFrame:
     """key, unit_id, measure (products with *, quotients with /) of parsed documents."""
-    u = documents.select(key, F.explode("x.unit").alias("u"))
-    joined = lambda c: F.array_join(F.transform(c, lambda m: F.trim(m)), "*")
-    quotient = F.concat(joined(F.col("u.divide.unitNumerator.measure")), F.lit("/"), joined(F.col("u.divide.unitDenominator.measure")))
-    return u.select(key, F.col("u._id").alias("unit_id"), F.coalesce(quotient, joined(F.col("u.measure"))).alias("measure"))
+    each = documents.select(key, measures(F.col("x.unit")).alias("units"))
+    return each.select(key, F.explode_outer("units").alias("u")).filter("u is not null").select(key, "u.*")
 
 
 def broken(documents: DataFrame, key: str = "filing_id") -> DataFrame:

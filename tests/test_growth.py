@@ -24,3 +24,13 @@ def test_filings_wanted_alike_are_looked_for_once(spark):
     assert not [line for line in plan_of(out).splitlines() if "Generate explode" in line and "want_id" in line]
     assert {r.want_id: r.folder for r in out.collect()} == {i: "f1" for i in range(8)}
     assert {(r.text, r.name) for r in joins.holding(spark.createDataFrame([("a",), ("bc",), ("",), (None,)], "text string"), spark.createDataFrame([("abc",), ("x",), (None,)], "name string")).collect()} == {("a", "abc"), ("bc", "abc"), ("", "abc"), ("", "x")}
+
+
+def test_instances_are_parsed_once(spark):
+    unit = "<unit id='u'><measure>a</measure><measure> b</measure></unit><unit id='v'><divide><unitNumerator><measure>c</measure></unitNumerator><unitDenominator><measure>d</measure></unitDenominator></divide></unit>"
+    doc = f"<xbrl><context id='x'><period><instant>2024-01-01</instant></period></context>{unit}</xbrl>"
+    p = instance_xml.parsed(spark.createDataFrame([(1, doc), (2, "<xbrl"), (3, None), (4, "<xbrl/>")], "filing_id int, xml string"))
+    contexts, units = instance_xml.contexts(p), instance_xml.units(p)
+    assert plan_of(contexts).count("from_xml(") == plan_of(units).count("from_xml(") == 1
+    assert [(r.filing_id, r.context_id) for r in contexts.collect()] == [(1, "x")]
+    assert [tuple(r) for r in units.collect()] == [(1, "u", "a*b"), (1, "v", "c/d")]
