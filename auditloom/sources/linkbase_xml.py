@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from auditloom.functions.names import href_concept
@@ -11,15 +11,31 @@ _LOC = "array<struct<_label: string, _href: string>>"
 _ARC = "array<struct<_from: string, _to: string, _order: string, _weight: string, _priority: string, _use: string, _preferredLabel: string, _arcrole: string>>"
 
 
-def _projected(raw: DataFrame, kind: str, keys: list[str]) -> DataFrame:
-    """Rows of links (keys, _role, loc, arcs of the kind) → a row for each arc, locators resolved to concepts."""
-    named = F.map_from_entries(F.transform(F.array_distinct(F.col("loc._label")), lambda x: F.struct(x, F.element_at(F.filter("loc", lambda z: z["_label"] == x), -1)["_href"])))
-    each = raw.select(*keys, F.col("_role").alias("role"), named.alias("hrefs"), F.posexplode(f"{kind}Arc").alias("arc_seq", "a"))
-    concept = lambda c: F.coalesce(href_concept(F.try_element_at("hrefs", F.col(c))), F.col(c))
+def _projected(raw: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows of links (keys, kind, role, loc, arc) → a row for each arc, locators resolved to concepts.
+
+    Locators and both ends of arcs become rows that meet on the link and the label, so that a link of any length is
+    resolved in proportion to its arcs and is never held whole.
+    """
+    none = lambda t: F.lit(None).cast(t)
+    arc_type = _ARC.removeprefix("array<").removesuffix(">")
+    entry = lambda label, end, seq, href, a: F.struct(label.alias("label"), F.lit(end).alias("end"), seq.alias("seq"), href.alias("href"), a.alias("a"))
+    listed = lambda c, f: F.coalesce(F.transform(c, f), F.array().cast("array<struct<label: string, end: string, seq: int, href: string, a: " + arc_type + ">>"))
+    entries = F.concat(
+        listed("loc", lambda x, i: entry(x["_label"], "loc", i, x["_href"], none(arc_type))),
+        listed("arc", lambda x, i: entry(x["_from"], "from", i, none("string"), x)),
+        listed("arc", lambda x, i: entry(x["_to"], "to", i, none("string"), none(arc_type))),
+    )
+    # The outer form keeps the parse of the text from being repeated in a filter below it.
+    link = raw.withColumn("_link", F.monotonically_increasing_id()).select(*keys, "kind", "role", "_link", F.inline_outer(entries))
+    href = F.max_by("href", F.when(F.col("end") == "loc", F.col("seq"))).over(Window.partitionBy("_link", "label"))
+    ends = link.withColumn("concept", F.coalesce(href_concept(F.when(F.col("label").isNotNull(), href)), F.col("label"))).filter("end <> 'loc'")
+    at = lambda end: F.max(F.when(F.col("end") == end, F.col("concept")))
+    each = ends.groupBy(*keys, "kind", "role", "_link", F.col("seq").alias("arc_seq")).agg(at("from").alias("parent"), at("to").alias("child"), F.first(F.when(F.col("end") == "from", F.col("a")), ignorenulls=True).alias("a"))
     return each.select(
-        *keys, "role", "arc_seq", concept("a._from").alias("parent"), concept("a._to").alias("child"), F.coalesce(F.col("a._order").try_cast("double"), F.lit(0.0)).alias("order"),
+        *keys, "role", "arc_seq", "parent", "child", F.coalesce(F.col("a._order").try_cast("double"), F.lit(0.0)).alias("order"),
         F.coalesce(F.col("a._weight").try_cast("double"), F.lit(1.0)).alias("weight"), F.col("a._priority").try_cast("int").alias("priority"), F.col("a._use").alias("use"),
-        F.col("a._preferredLabel").alias("preferred_label"), F.col("a._arcrole").alias("arcrole"),
+        F.col("a._preferredLabel").alias("preferred_label"), F.col("a._arcrole").alias("arcrole"), "kind",
     )
 
 
@@ -33,7 +49,7 @@ def arcs(spark: SparkSession, path: str, kind: str) -> DataFrame:
     raw = spark.read.format("xml").option("rowTag", f"{kind}Link").option("ignoreNamespace", "true").option("recursiveFileLookup", "true").schema(schema).load(path)
     # The file's place is taken from the scan's metadata, once, before anything is exploded.
     raw = raw.withColumn("filing_id", F.regexp_replace(F.col("_metadata.file_path"), "/[^/]*$", "")).withColumn("file", F.col("_metadata.file_path"))
-    return _projected(raw, kind, ["filing_id", "file"])
+    return _projected(raw.withColumnsRenamed({"_role": "role", f"{kind}Arc": "arc"}).withColumn("kind", F.lit(kind)), ["filing_id", "file"]).drop("kind")
 
 
 #: Kinds of networks that a linkbase may hold.
@@ -47,11 +63,9 @@ def arcs_of(documents: DataFrame, column: str = "xml", key: str = "filing_id") -
     """
     links = ", ".join(f"{k}Link array<struct<_role: string, loc: {_LOC}, {k}Arc: {_ARC}>>" for k in KINDS)
     parsed = documents.select(F.col(key).alias(key), F.from_xml(F.col(column), links, {"ignoreNamespace": "true", "mode": "PERMISSIVE"}).alias("x"))
-    out = None
-    for k in KINDS:
-        rows = _projected(parsed.select(key, F.posexplode(f"x.{k}Link").alias("link_seq", "l")).select(key, "link_seq", "l.*"), k, [key, "link_seq"]).withColumn("kind", F.lit(k))
-        out = rows if out is None else out.unionByName(rows)
-    return out
+    of_kind = lambda k: F.transform(F.col(f"x.{k}Link"), lambda x, i: F.struct(i.alias("link_seq"), x["_role"].alias("role"), x["loc"].alias("loc"), x[f"{k}Arc"].alias("arc"), F.lit(k).alias("kind")))
+    link = f"array<struct<link_seq: int, role: string, loc: {_LOC}, arc: {_ARC}, kind: string>>"
+    return _projected(parsed.select(key, F.inline_outer(F.concat(*[F.coalesce(of_kind(k), F.array().cast(link)) for k in KINDS]))), [key, "link_seq"])
 
 
 def role_types(spark: SparkSession, path: str) -> DataFrame:

@@ -34,3 +34,17 @@ def test_instances_are_parsed_once(spark):
     assert plan_of(contexts).count("from_xml(") == plan_of(units).count("from_xml(") == 1
     assert [(r.filing_id, r.context_id) for r in contexts.collect()] == [(1, "x")]
     assert [tuple(r) for r in units.collect()] == [(1, "u", "a*b"), (1, "v", "c/d")]
+
+
+def test_locators_of_long_links_are_met_and_not_searched(spark):
+    n = 40
+    locs = "".join(f"<loc label='l{i}' href='x.xsd#n_C{i}'/>" for i in range(n)) + "<loc label='l1' href='x.xsd#n_Last'/><loc href='x.xsd#n_None'/>"
+    arcs = "".join(f"<calculationArc from='l0' to='l{i}' weight='{i}' order='x'/>" for i in range(n + 1)) + "<calculationArc to='l2'/>"
+    link = f"<calculationLink role='r'>{locs}{arcs}</calculationLink>"
+    text = f"<linkbase>{link}<presentationLink role='p'><presentationArc from='a' to='b'/></presentationLink>{link}</linkbase>"
+    out = linkbase_xml.arcs_of(spark.createDataFrame([(1, text), (2, None), (3, "<linkbase/>")], "filing_id int, xml string"))
+    assert plan_of(out).count("from_xml(") == 1 and "map_from_entries" not in plan_of(out)
+    child = lambda i: "n:Last" if i == 1 else f"n:C{i}" if i < n else f"l{i}"
+    one = lambda k: {("calculation", k, i, "n:C0", child(i), float(i)) for i in range(n + 1)} | {("calculation", k, n + 1, None, "n:C2", 1.0)}
+    assert {(r.kind, r.link_seq, r.arc_seq, r.parent, r.child, r.weight) for r in out.collect()} == one(0) | one(1) | {("presentation", 0, 0, "a", "b", 1.0)}
+    assert out.count() == 2 * (n + 2) + 1
