@@ -40,11 +40,15 @@ def generalised_children(missing: DataFrame, facts: DataFrame, contexts: DataFra
     contexts: filing_id, context_id, period_key, dims. A fact fits if its concept and period are the same, its unit is or
     is missing, and the members of its context are some of those of the context that lacks it, but not all. Of those that
     fit the one with the most members counts, of equal ones the first (by fact_seq, then context). So a slice takes what it
-    does not report itself from the narrowest slice around it, and never from another one.
+    does not report itself from the narrowest slice around it, and never from another one. Sets are compared by context, not by fact:
+    what lacks and what is offered meet only where one context is known to lie around the other.
     """
     sized = contexts.select("filing_id", "context_id", "period_key", members(F.col("dims")).alias("members"))
-    wanted = missing.select("filing_id", "context_id", "unit", "child").join(sized, ["filing_id", "context_id"])
-    offered = facts.join(sized, ["filing_id", "context_id"]).select("filing_id", "period_key", F.col("concept").alias("child"), F.col("context_id").alias("source_context"), F.col("value").alias("child_value"), F.col("unit").alias("child_unit"), "fact_seq", "members")
-    fits = within_sets(offered, wanted, ["filing_id", "period_key", "child"]).filter((F.size("small_members") < F.size("large_members")) & P.units_equal(F.col("unit"), F.col("child_unit")))
-    best = F.min(F.struct((-F.size("small_members")).alias("fewer"), "fact_seq", "source_context", "child_value")).alias("b")
+    keys = ["filing_id", "period_key"]
+    around = within_sets(sized.withColumnRenamed("context_id", "source_context"), sized, keys).filter(F.size("small_members") < F.size("large_members"))
+    pairs = around.select("filing_id", "context_id", "source_context", F.size("small_members").alias("n_members"))
+    wanted = missing.select("filing_id", "context_id", "unit", "child").join(pairs, ["filing_id", "context_id"])
+    offered = facts.select("filing_id", F.col("concept").alias("child"), F.col("context_id").alias("source_context"), F.col("value").alias("child_value"), F.col("unit").alias("child_unit"), "fact_seq")
+    fits = wanted.join(offered, ["filing_id", "source_context", "child"]).filter(P.units_equal(F.col("unit"), F.col("child_unit")))
+    best = F.min(F.struct((-F.col("n_members")).alias("fewer"), "fact_seq", "source_context", "child_value")).alias("b")
     return fits.groupBy("filing_id", "context_id", "child").agg(best).select("filing_id", "context_id", "child", "b.source_context", "b.child_value", (-F.col("b.fewer")).alias("n_members"))

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from auditloom.operators import joins
+from auditloom.operators import facts, joins
 from auditloom.sources import files, instance_xml, linkbase_xml
 
 
@@ -48,3 +48,28 @@ def test_locators_of_long_links_are_met_and_not_searched(spark):
     one = lambda k: {("calculation", k, i, "n:C0", child(i), float(i)) for i in range(n + 1)} | {("calculation", k, n + 1, None, "n:C2", 1.0)}
     assert {(r.kind, r.link_seq, r.arc_seq, r.parent, r.child, r.weight) for r in out.collect()} == one(0) | one(1) | {("presentation", 0, 0, "a", "b", 1.0)}
     assert out.count() == 2 * (n + 2) + 1
+
+
+def test_totals_and_facts_are_shuffled_by_context_alone(spark):
+    resolved = spark.createDataFrame([(1, "c", "a", 1.0, None, 2, None), (1, "c", "b", None, "EUR", 1, None)], "filing_id int, context_id string, concept string, selected_value double, unit string, decimals int, duplicate_type string")
+    arcs = spark.createDataFrame([("r", "t", k, w, i) for i, (k, w) in enumerate([("a", 1.0), ("b", -1.0), ("x", 2.0), ("y", 1.0)])], "role string, parent string, child string, weight double, arc_seq int")
+    parents = spark.createDataFrame([(1, "c", "r", "t", 9.0, "USD", None, None, "p"), (1, "d", "r", "t", 9.0, None, None, None, "p")], "filing_id int, context_id string, role string, parent string, value double, unit string, decimals int, duplicate_type string, period_key string")
+    for size in ("-1", "10485760"):
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", size)
+        try:
+            out = facts.bind(resolved, arcs, parents)
+            exchanges = [line for line in plan_of(out).splitlines() if "Exchange hashpartitioning" in line]
+            assert exchanges and not [line for line in exchanges if "child" in line or "concept" in line]
+            assert {(r.context_id, r.status, r.n_children, r.n_found, r.expected, r.child_decimals) for r in out.collect()} == {("c", "skip_incomplete", 4, 1, 1.0, 2), ("d", "skip_no_children", 4, 0, None, None)}
+        finally:
+            spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    lacking = {}
+
+    def others(rows):
+        lacking["rows"] = {(r.context_id, r.child) for r in rows.collect()}
+        return spark.createDataFrame([(1, "c", "b", 2.0), (1, "c", "x", 3.0), (1, "d", "x", 4.0)], "filing_id int, context_id string, child string, child_value double")
+
+    out = facts.bind(resolved, arcs, parents, others)
+    got = {(r.context_id, r.status, r.n_found, r.expected, r.child_decimals) for r in out.collect()}
+    assert lacking["rows"] == {("c", "b"), ("c", "x"), ("c", "y"), ("d", "a"), ("d", "b"), ("d", "x"), ("d", "y")}
+    assert got == {("c", "skip_unit_mismatch", 3, 5.0, 1), ("d", "skip_incomplete", 1, 8.0, None)}
