@@ -1,4 +1,4 @@
-"""Cutting the lineage of frames that steps in turn build on."""
+"""Cutting the lineage of frames that steps in turn build on, and tasks whose number grows with the rows."""
 
 from __future__ import annotations
 
@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _own: list[str] = []
+# Fixed value: rows that a task sorts.
+TASK_ROWS = 300_000
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -64,3 +66,13 @@ def cut(df: DataFrame) -> DataFrame:
     written = Levels(df.sparkSession, "cut")
     written.add(df)
     return written.last()
+
+
+def tasks_for(table: DataFrame, rows: int | None = None) -> int:
+    """A task for each so many rows (TASK_ROWS) of a stored table, the session's shuffle partitions at least; the count of a Parquet table reads its footers alone."""
+    return max(-(-table.count() // (rows or TASK_ROWS)), int(table.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
+def dealt(df: DataFrame, tasks: int, *keys: str) -> DataFrame:
+    """df dealt out by keys in so many tasks, where they are more than the session's shuffle partitions; what is dealt out by them anyway keeps these tasks."""
+    return df.repartition(tasks, *keys) if tasks > int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) else df

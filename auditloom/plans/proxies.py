@@ -6,9 +6,11 @@ reported parent of a calculation over its lines. fact_seq is a total order of th
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from auditloom.operators.lineage import dealt, tasks_for
+
 FACT_ORDER = ("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity", "l_shipdate")
 
 
@@ -17,13 +19,28 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def facts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = table(spark, sf_dir, "lineitem")
+    return numbered(spark, sf_dir).select(*_fact(), "fact_seq")
+
+
+def _fact() -> list[Column]:
+    """A fact but for its place, from a line whose order is its context_id."""
     decimals = F.when(F.col("l_returnflag") == "A", -3).when(F.col("l_returnflag") == "N", 0).when(F.col("l_returnflag") == "R", 2)
-    seq = F.row_number().over(Window.partitionBy("l_orderkey").orderBy(*FACT_ORDER))
-    return lines.select(
-        F.lit(0).alias("filing_id"), F.col("l_orderkey").alias("context_id"), F.concat(F.lit("us-gaap:Line"), F.col("l_linenumber")).alias("concept"), F.col("l_extendedprice").alias("value"),
-        F.col("l_linestatus").alias("unit"), decimals.cast("int").alias("decimals"), seq.cast("long").alias("fact_seq"),
-    )
+    return [
+        F.lit(0).alias("filing_id"), F.col("context_id"), F.concat(F.lit("us-gaap:Line"), F.col("l_linenumber")).alias("concept"), F.col("l_extendedprice").alias("value"),
+        F.col("l_linestatus").alias("unit"), decimals.cast("int").alias("decimals"),
+    ]
+
+
+def unplaced(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """facts without their places, for what does not ask for these: no line is shuffled."""
+    return table(spark, sf_dir, "lineitem").withColumnRenamed("l_orderkey", "context_id").select(*_fact())
+
+
+def numbered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines with context_id and fact_seq. Lines are dealt out by context_id, under that name, so that facts stay where they are numbered."""
+    stored = table(spark, sf_dir, "lineitem")
+    lines = dealt(stored.withColumnRenamed("l_orderkey", "context_id"), tasks_for(stored), "context_id")
+    return lines.withColumn("fact_seq", F.row_number().over(Window.partitionBy("context_id").orderBy(*FACT_ORDER)).cast("long"))
 
 
 FACTS_SQL = """facts AS (

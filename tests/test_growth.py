@@ -86,3 +86,26 @@ def test_signs_are_looked_up_within_a_context(spark):
         assert sorted((r.filing_id, r.concept, r.value) for r in out.collect()) == [(1, "a:X", -1.0), (1, "a:Y", 3.0), (1, "b:X", 2.0), (2, "a:X", 4.0)]
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def exchanges(df) -> list[str]:
+    return [line for line in plan_of(df).splitlines() if "Exchange" in line and "ReusedExchange" not in line]
+
+
+def dealt_once(spark, smallest, monkeypatch, name):
+    """The query's rows are the same in more tasks, dealt out once: a task for each 1,000 of some 6,000 lines."""
+    import __spark_entry__ as entry
+    from auditloom.operators import lineage
+
+    query = entry.queries()[name]
+    rows = lambda df: sorted(map(str, df.collect()))
+    plain = rows(query(spark, smallest))
+    monkeypatch.setattr(lineage, "TASK_ROWS", 1000)
+    out = query(spark, smallest)
+    n = -(-spark.read.parquet(f"{smallest}/lineitem.parquet").count() // 1000)
+    assert n > 4 and len(exchanges(out)) == 1 and "hashpartitioning(context_id" in exchanges(out)[0] and f", {n})" in exchanges(out)[0]
+    assert rows(out) == plain
+
+
+def test_duplicates_are_judged_where_lines_are_numbered(spark, smallest, monkeypatch):
+    dealt_once(spark, smallest, monkeypatch, "dup_classify")
