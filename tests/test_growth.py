@@ -109,3 +109,7 @@ def dealt_once(spark, smallest, monkeypatch, name):
 
 def test_duplicates_are_judged_where_lines_are_numbered(spark, smallest, monkeypatch):
     dealt_once(spark, smallest, monkeypatch, "dup_classify")
+
+
+def test_inconsistent_duplicates_are_counted_where_lines_are_numbered(spark, smallest, monkeypatch):
+    dealt_once(spark, smallest, monkeypatch, "dup_inconsistent_report")
