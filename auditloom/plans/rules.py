@@ -55,17 +55,10 @@ WRITTEN_SQL = (
 @_r.add(f"WITH {WRITTEN_SQL} SELECT context_id, concept, n_entries, duplicate_type, selected_value FROM resolved")
 def dup_written(spark: SparkSession, d: str) -> DataFrame:
     """Duplicates told apart by decimals as written (INF is exact) among concepts in several spellings."""
-    lines = table(spark, d, "lineitem")
-    order = ["l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity", "l_shipdate"]
-    from pyspark.sql import Window
-
     n = F.col("l_linenumber").cast("string")
     spelled = F.when(F.col("l_suppkey") % 3 == 0, F.concat(F.lit("us-gaap:Line"), n)).when(F.col("l_suppkey") % 3 == 1, F.concat(F.lit("us-gaap_Line"), n)).otherwise(F.concat(F.lit("Line"), n))
     raw = F.when(F.col("l_returnflag") == "A", "-3").when(F.col("l_returnflag") == "N", "0").when(F.col("l_returnflag") == "R", F.when(F.col("l_quantity") > 25, "INF").otherwise("2"))
-    f = lines.select(
-        F.lit(0).alias("filing_id"), F.col("l_orderkey").alias("context_id"), spelled.alias("concept"), F.col("l_extendedprice").alias("value"), F.col("l_linestatus").alias("unit"), raw.alias("decimals_raw"),
-        F.row_number().over(Window.partitionBy("l_orderkey").orderBy(*order)).cast("long").alias("fact_seq"),
-    )
+    f = X.numbered(spark, d).select(F.lit(0).alias("filing_id"), "context_id", spelled.alias("concept"), F.col("l_extendedprice").alias("value"), F.col("l_linestatus").alias("unit"), raw.alias("decimals_raw"), "fact_seq")
     resolved = O.classify_duplicates(O.by_concept_key(f.withColumn("decimals", numbers.parse_decimals(F.col("decimals_raw")))))
     return resolved.select("context_id", "concept", "n_entries", "duplicate_type", "selected_value")
 

@@ -113,3 +113,7 @@ def test_duplicates_are_judged_where_lines_are_numbered(spark, smallest, monkeyp
 
 def test_inconsistent_duplicates_are_counted_where_lines_are_numbered(spark, smallest, monkeypatch):
     dealt_once(spark, smallest, monkeypatch, "dup_inconsistent_report")
+
+
+def test_written_duplicates_are_judged_where_lines_are_numbered(spark, smallest, monkeypatch):
+    dealt_once(spark, smallest, monkeypatch, "dup_written")
