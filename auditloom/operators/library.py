@@ -15,12 +15,13 @@ def defined(facts: DataFrame, definitions: DataFrame) -> DataFrame:
     definitions: name, period_type, balance, where of equal names the last (the highest def_seq) counts. Adds known,
     period_type and balance, null where nothing defines the concept.
     """
-    pick = F.max_by(F.struct("period_type", "balance"), "def_seq").alias("d")
-    by_name = definitions.groupBy("name").agg(pick)
-    full, local = (by_name.select(F.col("name").alias(k), F.col("d").alias(f"{k}_def")) for k in ("concept", "local"))
-    out = facts.withColumn("local", F.when(F.col("concept").contains(":"), F.get(F.split("concept", ":"), F.lit(1))).otherwise(F.col("concept")))
-    out = out.join(full, "concept", "left").join(local, "local", "left").withColumn("_def", F.coalesce("concept_def", "local_def"))
-    return out.withColumn("known", F.col("_def").isNotNull()).withColumn("period_type", F.lower("_def.period_type")).withColumn("balance", F.lower("_def.balance")).drop("local", "concept_def", "local_def", "_def")
+    # Full name and local part have the same local part, so that facts meet the definitions of theirs once.
+    local = lambda c: F.when(c.contains(":"), F.get(F.split(c, ":"), F.lit(1))).otherwise(c)
+    by_name = definitions.groupBy("name").agg(F.max_by(F.struct("period_type", "balance"), "def_seq").alias("d"))
+    alike = by_name.groupBy(local(F.col("name")).alias("local")).agg(F.collect_list(F.struct("name", "d")).alias("_alike"))
+    of = lambda c: F.get(F.filter("_alike", lambda x: x["name"] == F.col(c)), F.lit(0))["d"]
+    out = facts.withColumn("local", local(F.col("concept"))).join(alike, "local", "left").withColumn("_def", F.coalesce(of("concept"), of("local")))
+    return out.withColumn("known", F.col("_def").isNotNull()).withColumn("period_type", F.lower("_def.period_type")).withColumn("balance", F.lower("_def.balance")).drop("local", "_alike", "_def")
 
 
 def library_counts(facts: DataFrame, definitions: DataFrame) -> DataFrame:
@@ -29,20 +30,21 @@ def library_counts(facts: DataFrame, definitions: DataFrame) -> DataFrame:
     facts: filing_id, concept, value, period_start, period_end, is_abstract (such facts do not count). A fact with both
     ends is of a duration, one with an end alone an instant. One pass and one shuffle by filing after the joins.
     """
-    f = defined(facts.filter(~F.coalesce("is_abstract", F.lit(False))), definitions)
+    actual = F.when(F.col("period_end").isNotNull(), F.when(F.col("period_start").isNotNull(), "duration").otherwise("instant"))
+    told = facts.filter(~F.coalesce("is_abstract", F.lit(False))).select("filing_id", "concept", actual.alias("actual"), (F.col("value") < 0).alias("negative"))
+    f = defined(told, definitions)
     prefix = F.when(F.col("concept").contains(":"), F.lower(F.substring_index("concept", ":", 1))).otherwise("")
     extension = ~F.col("known") & (prefix != "") & ~prefix.isin(*STANDARD_PREFIXES)
-    actual = F.when(F.col("period_end").isNotNull(), F.when(F.col("period_start").isNotNull(), "duration").otherwise("instant"))
     kind, balance = F.coalesce("period_type", F.lit("")), F.coalesce("balance", F.lit(""))
-    weighed = (balance != "") & F.col("value").isNotNull()
+    weighed = (balance != "") & F.col("negative").isNotNull()
     return f.groupBy("filing_id").agg(
         F.count_if("known").alias("n_valid"),
         F.count_if(extension).alias("n_extension"),
         F.count_if(~F.col("known") & ~extension).alias("n_unknown"),
         F.count_if(kind != "").alias("n_periods"),
-        F.count_if((kind != "") & (actual != kind)).alias("n_wrong_periods"),
+        F.count_if((kind != "") & (F.col("actual") != kind)).alias("n_wrong_periods"),
         F.count_if(weighed).alias("n_balances"),
-        F.count_if(weighed & balance.isin("debit", "credit") & (F.col("value") < 0)).alias("n_negative"),
+        F.count_if(weighed & balance.isin("debit", "credit") & F.col("negative")).alias("n_negative"),
     )
 
 

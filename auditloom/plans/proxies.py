@@ -78,9 +78,10 @@ def arcs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def parents(spark: SparkSession, sf_dir: str) -> DataFrame:
+def parents(spark: SparkSession, sf_dir: str, filing: Column | None = None) -> DataFrame:
+    """Totals of orders; filing: their filing_id, else 0."""
     return table(spark, sf_dir, "orders").select(
-        F.lit(0).alias("filing_id"), F.col("o_orderkey").alias("context_id"), F.col("o_orderpriority").alias("role"), F.lit("us-gaap:Total").alias("parent"), F.col("o_totalprice").alias("value"),
+        (F.lit(0) if filing is None else filing).alias("filing_id"), F.col("o_orderkey").alias("context_id"), F.col("o_orderpriority").alias("role"), F.lit("us-gaap:Total").alias("parent"), F.col("o_totalprice").alias("value"),
         F.when(F.col("o_orderstatus") == "P", F.lit(None)).otherwise(F.col("o_orderstatus")).cast("string").alias("unit"), F.lit(None).cast("int").alias("decimals"), F.lit(None).cast("string").alias("duplicate_type"),
     )
 

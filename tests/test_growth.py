@@ -117,3 +117,31 @@ def test_inconsistent_duplicates_are_counted_where_lines_are_numbered(spark, sma
 
 def test_written_duplicates_are_judged_where_lines_are_numbered(spark, smallest, monkeypatch):
     dealt_once(spark, smallest, monkeypatch, "dup_written")
+
+
+def without_broadcasts(spark, make):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = make()
+        return out, plan_of(out), [line for line in exchanges(out) if "hashpartitioning" in line]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_facts_meet_definitions_once(spark):
+    from auditloom.operators import library
+
+    f = spark.createDataFrame([("a:X",), ("b:X",), ("X",), ("a:Y",), ("a:Z:q",), (None,)], "concept string")
+    d = spark.createDataFrame([("a:X", "Instant", None, 1), ("a:X", "duration", None, 2), ("X", "instant", "Debit", 3), ("a:Y", None, None, 4), ("Z", "instant", None, 5), (None, "instant", None, 6)], "name string, period_type string, balance string, def_seq int")
+    out, plan, _ = without_broadcasts(spark, lambda: library.defined(f, d))
+    assert plan.count("SortMergeJoin") == 1
+    assert {(r.concept, r.known, r.period_type, r.balance) for r in out.collect()} == {("a:X", True, "duration", None), ("b:X", True, "instant", "debit"), ("X", True, "instant", "debit"), ("a:Y", True, None, None), ("a:Z:q", True, "instant", None), (None, False, None, None)}
+
+
+def test_children_are_summed_in_the_row_of_their_total(spark):
+    resolved = spark.createDataFrame([(1, "c", k, v, u, d, t) for k, v, u, d, t in [("a", 1.25, "USD", 2, None), ("b", 2.0, "EUR", None, None), ("x", None, "USD", 0, "inconsistent")]], "filing_id int, context_id string, concept string, selected_value double, unit string, decimals int, duplicate_type string")
+    arcs = spark.createDataFrame([("r", "t", "a", 1.0, 0), ("r", "u", "a", -1.0, 0), ("r", "u", "b", None, 1), ("r", "v", "b", 1.0, 2), ("r", "v", "x", 1.0, 1)], "role string, parent string, child string, weight double, arc_seq int")
+    parents = spark.createDataFrame([(1, "c", "r", p, 1.0, "USD", None, None) for p in "tuv"], "filing_id int, context_id string, role string, parent string, value double, unit string, decimals int, duplicate_type string")
+    out = facts.bind(resolved, arcs, parents)
+    assert "inline" not in plan_of(out)
+    assert {(r.parent, r.status, r.n_children, r.n_found, r.expected, r.child_decimals) for r in out.collect()} == {("t", "bound", 1, 1, 1.25, 2), ("u", "skip_unit_mismatch", 2, 2, -1.25, 2), ("v", "skip_inconsistent_child", 2, 1, 2.0, None)}
