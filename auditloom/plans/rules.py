@@ -80,7 +80,7 @@ def mismatch_diagnosis(spark: SparkSession, d: str) -> DataFrame:
 
 @_r.add(f"WITH {X.FACTS_SQL}, w AS (SELECT DISTINCT concept FROM facts WHERE decimals = 2 AND concept LIKE '%7') SELECT DISTINCT concept, context_id FROM facts WHERE concept IN (SELECT concept FROM w)")
 def contexts_with_concept(spark: SparkSession, d: str) -> DataFrame:
-    f = X.facts(spark, d)
+    f = X.unplaced(spark, d)
     return O.contexts_with(f, f.filter("decimals = 2 and concept like '%7'")).select("concept", "context_id")
 
 

@@ -160,3 +160,16 @@ def test_lacking_lines_and_lines_are_dealt_out_once(spark, smallest):
 
     _, _, dealt = without_broadcasts(spark, lambda: plans.QUERIES["binding_fallback"](spark, smallest))
     assert len(dealt) == 2
+
+
+def test_contexts_of_a_common_concept_lie_in_several_tasks(spark):
+    f = spark.range(1000).select(F.lit(1).alias("filing_id"), F.lit("A").alias("concept"), (F.col("id") % 500).alias("context_id"))
+    out, _, _ = without_broadcasts(spark, lambda: facts.contexts_with(f, f.filter("context_id < 3")))
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        sizes = facts.contexts_with(f, f.filter("context_id < 3")).groupBy(F.spark_partition_id()).count().collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert len(sizes) > 1 and sum(r["count"] for r in sizes) == 500 == out.distinct().count()
