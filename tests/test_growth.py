@@ -173,3 +173,10 @@ def test_contexts_of_a_common_concept_lie_in_several_tasks(spark):
         spark.conf.unset("spark.sql.adaptive.enabled")
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert len(sizes) > 1 and sum(r["count"] for r in sizes) == 500 == out.distinct().count()
+
+
+def test_totals_meet_facts_where_these_are_numbered(spark, smallest):
+    from auditloom import plans
+
+    _, plan, dealt = without_broadcasts(spark, lambda: plans.QUERIES["mismatch_diagnosis"](spark, smallest))
+    assert len([line for line in dealt if "context_id" in line]) == 2 and "inline" not in plan
