@@ -69,10 +69,12 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 def tasks_for(table: DataFrame, rows: int | None = None) -> int:
-    """A task for each so many rows (TASK_ROWS) of a stored table, the session's shuffle partitions at least; the count of a Parquet table reads its footers alone."""
-    return max(-(-table.count() // (rows or TASK_ROWS)), int(table.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    """A task for each so many rows (TASK_ROWS) of a stored table, the session's shuffle partitions at least; 1 where one task holds all. The count of a Parquet table reads its footers alone."""
+    tasks = -(-table.count() // (rows or TASK_ROWS))
+    return max(tasks, int(table.sparkSession.conf.get("spark.sql.shuffle.partitions"))) if tasks > 1 else 1
 
 
 def dealt(df: DataFrame, tasks: int, *keys: str) -> DataFrame:
-    """df dealt out by keys in so many tasks, where they are more than the session's shuffle partitions; what is dealt out by them anyway keeps these tasks."""
-    return df.repartition(tasks, *keys) if tasks > int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) else df
+    """df dealt out by keys in so many tasks; what is dealt out by them anyway keeps these tasks. Without a number, adaptive execution
+    would put tasks together by their compressed bytes, and a task would get several times the rows. One task is left to the session."""
+    return df.repartition(tasks, *keys) if tasks > 1 else df

@@ -180,3 +180,24 @@ def test_totals_meet_facts_where_these_are_numbered(spark, smallest):
 
     _, plan, dealt = without_broadcasts(spark, lambda: plans.QUERIES["mismatch_diagnosis"](spark, smallest))
     assert len([line for line in dealt if "context_id" in line]) == 2 and "inline" not in plan
+
+
+def most_rows(spark, monkeypatch, make) -> int:
+    """The most rows of a task of what make returns, in a session with more shuffle partitions than there are tasks of 1,000 lines."""
+    from auditloom.operators import lineage
+
+    monkeypatch.setattr(lineage, "TASK_ROWS", 1000)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "16")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        return max(r["count"] for r in make().groupBy(F.spark_partition_id().alias("task")).count().collect())
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_numbered_lines_are_not_put_together_in_fewer_tasks(spark, smallest, monkeypatch):
+    from auditloom.plans import proxies
+
+    assert most_rows(spark, monkeypatch, lambda: proxies.numbered(spark, smallest)) < 1000
