@@ -201,3 +201,9 @@ def test_numbered_lines_are_not_put_together_in_fewer_tasks(spark, smallest, mon
     from auditloom.plans import proxies
 
     assert most_rows(spark, monkeypatch, lambda: proxies.numbered(spark, smallest)) < 1000
+
+
+def test_totals_and_their_facts_are_not_put_together_in_fewer_tasks(spark, smallest, monkeypatch):
+    from auditloom.plans import filings
+
+    assert most_rows(spark, monkeypatch, lambda: filings._bound(spark, smallest)) < 1000
